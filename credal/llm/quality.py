@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER_CODE, distinct_sorted, owner, per_text, prefix_hash, slices, span_hash, words
-from .runtime import columns_named
 from .spotsigs import ANCHORS, _anchor_table
 
 FEATURES = (
@@ -120,20 +119,27 @@ def model_of(sums: dict[int, tuple[int, np.ndarray, np.ndarray]], shrinkage: flo
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", shrinkage: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on all rows of ``docs`` that ``labels`` marks 0 or 1. What reaches the driver is two rows of sums a partition group."""
     marks = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("label")).where("_id IS NOT NULL AND label IN (0, 1)")
-    rows = columns_named(docs, id_col, text_col).join(marks, F.col(id_col).cast("long") == F.col("_id")).select(F.col(text_col).alias("text"), "label")
     d = len(FEATURES)
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, off in slices(batch.column(1)):
+                x = statistics(buf, off)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float64()))], ["id", "x"])
+
+    # Texts are measured where they lie: only d numbers a document meet the labels.
+    ids = F.col(f"`{id_col}`").cast("long").alias("id")
+    rows = docs.select(ids, F.col(f"`{text_col}`").alias("text")).mapInArrow(measure, "id long, x array<double>").join(marks, F.col("id") == F.col("_id")).select("x", "label")
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {c: [0, np.zeros(d), np.zeros((d, d))] for c in (0, 1)}
         for batch in batches:
-            label = batch.column(1).to_numpy()
-            for lo, hi, buf, off in slices(batch.column(0)):
-                x = statistics(buf, off)
-                for c in (0, 1):
-                    own = x[label[lo:hi] == c]
-                    sums[c][0] += len(own)
-                    sums[c][1] += own.sum(axis=0)
-                    sums[c][2] += own.T @ own
+            label, x = batch.column(1).to_numpy(), batch.column(0).flatten().to_numpy().reshape(-1, d)
+            for c in (0, 1):
+                own = x[label == c]
+                sums[c][0] += len(own)
+                sums[c][1] += own.sum(axis=0)
+                sums[c][2] += own.T @ own
         for c, (n, s, p) in sums.items():
             if n:
                 values = np.concatenate([[n], s, p.ravel()])

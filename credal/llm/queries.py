@@ -50,7 +50,7 @@ def crc_remainder(column: str = "doc_id"):
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """A fit on the labelled rows that the contract allows: crc32 of the id as text modulo 3 is not 1."""
-    return quality.fit(docs, labels.where(crc_remainder() != 1), shrinkage=0.3)
+    return quality.fit(docs.where(crc_remainder() != 1), labels.where(crc_remainder() != 1), shrinkage=0.3)
 
 
 def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
