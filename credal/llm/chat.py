@@ -1,7 +1,7 @@
 """Chat formatting with a grammar round trip, in DataFrame functions alone.
 
 A turn renders as ``<|im_start|>role\\ntext<|im_end|>\\n``. The parser is deterministic: it cuts a conversation at every
-control string, wants start, role, newline, text, end, newline in that order, and takes one escape mark off each marked
+start mark, wants role, newline, text, one end mark and a newline in each piece, and takes one escape mark off each marked
 control string. A turn is first rendered as it stands and parsed; where the parse is not the source, the conflicting
 content is escaped (one more mark inside each control string, marked ones included, so nothing is ambiguous) and the turn
 is rendered and parsed again. A turn that still differs stops the job; none can by the grammar.
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 START, END, MARK = "<|im_start|>", "<|im_end|>", "\\"
 _CONTROL = r"<\|(\\*)(im_start|im_end)\|>"
 _MARKED = r"<\|\\(\\*)(im_start|im_end)\|>"
-_CUT = r"(?=<\|im_start\|>|<\|im_end\|>)|(?<=<\|im_start\|>|<\|im_end\|>)"
 
 
 def escape(text: Column, newline: bool = False) -> Column:
@@ -43,34 +42,34 @@ def render(role: Column, text: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a rendered conversation: array of (role, text, ok), unescaped; ok is false where the grammar is broken."""
-    tokens = F.filter(F.split(formatted, _CUT), lambda x: x != "")
-    starts = F.filter(F.transform(tokens, lambda x, i: F.when(x == START, i)), lambda i: i.isNotNull())
+    """The turns of a rendered conversation: array of (role, text, ok), unescaped; ok is false where the grammar is broken.
 
-    def turn(at: Column) -> Column:
-        head = F.coalesce(F.get(tokens, at + 1), F.lit(""))
-        role = F.substring_index(head, "\n", 1)
-        body = F.substring(head, F.length(role) + F.lit(2), F.length(head))
-        ok = F.contains(head, F.lit("\n")) & (F.get(tokens, at + 2) == END) & (F.substring(F.get(tokens, at + 3), 1, 1) == "\n")
-        return F.struct(unescape(role, True).alias("role"), unescape(body).alias("text"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    Every start mark begins a turn; the first item stands for what is before the first start mark, which must be nothing.
+    Each turn is read from its own piece alone, so the work is in proportion to the text.
+    """
+    tail = END + "\n"
+
+    def turn(piece: Column, at: Column) -> Column:
+        body = F.substring(piece, F.lit(1), F.length(piece) - len(tail))
+        role = F.substring_index(body, "\n", 1)
+        text = F.substring(body, F.length(role) + 2, F.length(body))
+        ok = F.endswith(piece, F.lit(tail)) & F.contains(body, F.lit("\n")) & ~F.contains(body, F.lit(END))
+        return F.struct(unescape(role, True).alias("role"), unescape(text).alias("text"), F.when(at == 0, piece == "").otherwise(ok).alias("ok"))
 
-    return F.transform(starts, turn)
+    return F.transform(F.split(formatted, r"<\|im_start\|>"), turn)
 
 
-def parse_ok(formatted: Column) -> Column:
-    """Whether a rendered turn or conversation has the grammar's shape: start, content, end, newline, again and again."""
-    tokens = F.filter(F.split(formatted, _CUT), lambda x: x != "")
-    kinds = F.array_join(F.transform(tokens, lambda x: F.when(x == START, "S").when(x == END, "E").when(x == "\n", "N").otherwise("c")), "")
-    return F.regexp_like(kinds, F.lit("^(ScEN)*$"))
+def expected(turns: Column) -> Column:
+    """What parse has to give for turns (array of structs with role and text)."""
+    item = lambda role, text: F.struct(role.alias("role"), text.alias("text"), F.lit(True).alias("ok"))
+    return F.concat(F.array(item(F.lit(""), F.lit(""))), F.transform(turns, lambda x: item(x["role"], x["text"])))
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
     """Each row's rendered turn. turns: conv_id, turn, role, text. Adds ``rendered`` and ``escaped`` (whether it had to be)."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     df = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    same = lambda rendered: F.coalesce(
-        (F.size(parse(rendered)) == 1) & parse_ok(rendered) & (parse(rendered)[0]["role"] == F.col("role")) & (parse(rendered)[0]["text"] == F.col("text")), F.lit(False)
-    )
+    same = lambda rendered: parse(rendered) == expected(F.array(F.struct("role", "text")))
     # Only content with a control string, marked or not, or a role with a mark or newline can conflict: the others need no parse.
     suspect = F.contains(F.col("text"), F.lit("<|")) | F.contains(F.col("role"), F.lit("<|")) | F.contains(F.col("role"), F.lit("\\")) | F.contains(F.col("role"), F.lit("\n"))
     raw, marked = render(F.col("role"), F.col("text")), render(escape(F.col("role"), True), escape(F.col("text")))
@@ -87,13 +86,11 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     item = F.struct("turn", "role", "text", "rendered", "escaped")
     df = format_turns(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("source"))
     df = df.select("conv_id", "source", F.array_join(F.col("source.rendered"), "").alias("formatted"))
-    df = df.withColumn("turns", parse(F.col("formatted")))
-    flat = lambda c: F.transform(F.col(c), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    held = parse_ok(F.col("formatted")) & (flat("turns") == flat("source"))
+    df = df.withColumn("parsed", parse(F.col("formatted"))).withColumn("held", F.col("parsed") == expected(F.col("source")))
     return df.select(
         "conv_id",
-        F.when(held, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not survive the round trip"))).alias("formatted"),
-        flat("turns").alias("turns"),
+        F.when(F.col("held"), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not survive the round trip"))).alias("formatted"),
+        F.transform(F.slice("parsed", 2, F.size("parsed")), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),
         F.size(F.filter("source", lambda x: x["escaped"])).cast("long").alias("n_escaped"),
         F.lit(loss_role).alias("loss_role"),
     )
