@@ -7,11 +7,11 @@ sequence is one shingle; without words the set is empty and links with nothing.
 1. Sets are ordered by a bounded sketch of shingle frequencies (rare first), then by hash. Equal sets become one class.
 2. A class posts the prefix of its set that any partner must share, with size and position. Index lists are read in order of
    size; each entry is paired with the list's first entry and with the one before it, if size and position allow a link.
-3. These pairs are verified exactly, and the verified links make components. A set's difference to its most similar leader
+3. Pairs that counts by hash bucket rule out are gone; the others are verified exactly, and the verified links make components. A set's difference to its most similar leader
    is kept: its answers are derived from the leader's, as |x & y| = |L| - |L\\x + L\\y| + |x\\L & y\\L|.
 4. Lists that hold further pairs are read again in blocks by position. A block pair is skipped when its sizes, its positions or
-   its components leave nothing to find; what is left is derived from differences to a common leader, or verified in full.
-Only pairs whose ends are linked already are skipped, so components are exact; no list is expanded into all its pairs.
+   its components leave nothing to find, a pair when its bucket counts do; what is left is derived from differences to a common leader, or verified in full.
+Only pairs that cannot link or whose ends are linked already are skipped, so components are exact; no list is expanded into all its pairs.
 
 Null text is empty. A null id takes part in no link and has no component. Rows that repeat an id share its component; one of
 their sets (the smallest by hash) takes part in links. Equal sets are linked. An empty table gives an empty result.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER_CODE, binary_column, distinct_sorted, mix, per_text, prefix_hash, ragged, shingles, slices, span_hash, words
+from .arrays import LOWER_CODE, binary_column, distinct_sorted, mix, owner, per_text, prefix_hash, ragged, shingles, slices, span_hash, words
 from .graph import components
 from .runtime import columns_named, hash_counts, marked, materialise, release
 
@@ -57,6 +57,34 @@ def _possible(n1, p1, n2, p2, percent: int):
     return (100 * small >= percent * large) & (np.minimum(n1 - p1, n2 - p2) >= needed(n1, n2, percent))
 
 
+def signatures(v: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's element counts by hash bucket (half as many buckets as elements, a power of two), and the offsets by text.
+
+    The sum of the smaller counts, bucket by bucket, is never less than the intersection: what it rules out has no link.
+    """
+    n = np.diff(cuts)
+    bits = np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64)
+    size = np.where(n > 0, 1 << bits, 0)
+    at = np.concatenate([[0], np.cumsum(size)])
+    who = owner(cuts)
+    bucket = np.where(bits[who] > 0, (v >> np.uint64(1)) >> (63 - bits[who]).astype(np.uint64), 0).astype(np.int64)
+    counts = np.bincount(at[:-1][who] + bucket, minlength=int(at[-1]))
+    return np.minimum(counts, 255).astype(np.uint8), at
+
+
+def _folded(sig: bytes, size: int) -> np.ndarray:
+    """A signature's counts over fewer buckets; a full count (255) stands for any number."""
+    own = np.frombuffer(sig, dtype=np.uint8).astype(np.uint32)
+    own[own == 255] = 1 << 20
+    return own.reshape(size, -1).sum(axis=1, dtype=np.uint32)
+
+
+def may_share(x: bytes, y: bytes, least: int) -> bool:
+    """Whether two signatures leave room for so large an intersection."""
+    size = min(len(x), len(y))
+    return size > 0 and int(np.minimum(_folded(x, size), _folded(y, size)).sum()) >= least
+
+
 class _Runs:
     """Cuts sorted batches into whole runs of equal tokens, holding the unfinished run."""
 
@@ -90,7 +118,7 @@ def _starts(token: np.ndarray) -> np.ndarray:
 
 
 def _index(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2, prefix: size, two set hashes, and the prefix in the common order."""
+    """doc_id, n, s1, s2, prefix, sig: size, two set hashes, the prefix in the common order, the bucket signature."""
 
     def shingles_in(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
@@ -113,11 +141,11 @@ def _index(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 take = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), pa.array(n), *(pa.array((u[cuts[1:]] - u[cuts[:-1]]).view(np.int64)) for u in (upto1, upto2)),
-                     binary_column(ordered[ragged(cuts[:-1], take)], np.concatenate([[0], np.cumsum(take)]))],
-                    ["doc_id", "n", "s1", "s2", "prefix"],
+                     binary_column(ordered[ragged(cuts[:-1], take)], np.concatenate([[0], np.cumsum(take)])), binary_column(*signatures(v, cuts))],
+                    ["doc_id", "n", "s1", "s2", "prefix", "sig"],
                 )
 
-    return materialise(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary"), "sets")
+    return materialise(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary, sig binary"), "sets")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -176,14 +204,14 @@ def _further_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in the long lists, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _Runs(["token", "n", "pos", "rep", "component"]).feed(batches):
+        for r in _Runs(["token", "n", "pos", "rep", "component", "sig"]).feed(batches):
             begin = _starts(r["token"])
             found: list[np.ndarray] = []
             for lo, hi in zip(begin, np.append(begin[1:], len(r["token"]))):
                 comp = r["component"][lo:hi]
                 if (comp == comp[0]).all():
                     continue
-                found += _pairs_in(r["n"][lo:hi], r["pos"][lo:hi], r["rep"][lo:hi], comp, percent)
+                found += _pairs_in(r["n"][lo:hi], r["pos"][lo:hi], r["rep"][lo:hi], comp, r["sig"][lo:hi], percent)
             if found:
                 pair = np.unique(np.concatenate(found), axis=0)
                 for k in range(0, len(pair), 1 << 16):
@@ -192,10 +220,27 @@ def _further_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return _sorted(entries).mapInArrow(run, "a long, b long")
 
 
-def _pairs_in(n, pos, rep, comp, percent: int) -> list[np.ndarray]:
+def _may_link(n, sig, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (x, y) of a list's entries the signatures leave possible."""
+    size = np.array([len(s) for s in sig])
+    least, common = needed(n[x], n[y], percent), np.minimum(size[x], size[y])
+    ok = np.zeros(len(x), dtype=bool)
+    for width in np.unique(common):
+        at = np.flatnonzero(common == width)
+        rows, back = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
+        table = np.stack([_folded(sig[r], width) for r in rows])
+        u, v = back[: len(at)], back[len(at) :]
+        step = max(1, (1 << 20) // int(width))
+        for lo in range(0, len(at), step):
+            part = slice(lo, lo + step)
+            ok[at[part]] = np.minimum(table[u[part]], table[v[part]]).sum(axis=1) >= least[at[part]]
+    return ok
+
+
+def _pairs_in(n, pos, rep, comp, sig, percent: int) -> list[np.ndarray]:
     """Pairs of one list: entries sorted by size, cut in blocks; block pairs are skipped by size, position, component."""
     order = np.lexsort((pos, n))
-    n, pos, rep, comp = n[order], pos[order], rep[order], comp[order]
+    n, pos, rep, comp, sig = n[order], pos[order], rep[order], comp[order], sig[order]
     blocks = [(lo, min(lo + BLOCK, len(n))) for lo in range(0, len(n), BLOCK)]
     least, most = [n[a] for a, _ in blocks], [n[b - 1] for _, b in blocks]
     left = [(n[a:b] - pos[a:b]).max() for a, b in blocks]
@@ -213,7 +258,8 @@ def _pairs_in(n, pos, rep, comp, percent: int) -> list[np.ndarray]:
                 ok &= np.arange(b - a)[:, None] < np.arange(d - c)[None, :]
             x, y = np.nonzero(ok)
             if len(x):
-                u, v = rep[a + x], rep[c + y]
+                fine = _may_link(n, sig, a + x, c + y, percent)
+                u, v = rep[a + x[fine]], rep[c + y[fine]]
                 out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
     return out
 
@@ -282,6 +328,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool)
     return both.mapInArrow(run, "a long, b long, linked boolean, size long, gone binary, new binary")
 
 
+def _possible_pairs(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their signatures leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = needed(b.column("na").to_numpy(), b.column("nb").to_numpy(), percent).tolist()
+            ok = [may_share(x.as_py(), y.as_py(), m) for x, y, m in zip(b.column("sa"), b.column("sb"), least)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda side: sigs.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"s{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
+
+
 def _derive(pairs: DataFrame, answers: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Answers for pairs with a common leader, from differences to it; and the pairs without one."""
     known = answers.where("gone IS NOT NULL").groupBy("b").agg(F.min_by(F.struct("a", "size", "gone", "new"), F.struct(F.length("gone") + F.length("new"), "a")).alias("d"))
@@ -315,12 +374,16 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     # A set of fewer shingles than this links only with equal ones.
     alone = 100 // (100 - percent) if percent < 100 else 1 << 62
     first = materialise(_first_pairs(_postings(classes.where(F.col("n") >= alone).select("rep", "n", "prefix")), percent), "lists")
-    pairs = materialise(first.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
+    reps = classes.select("rep", "n", "s1", "s2")
+    sigs = index.select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "sig").join(reps, ["rep", "n", "s1", "s2"], "left_semi").groupBy("rep", "n").agg(F.first("sig").alias("sig"))
+    pairs = materialise(_possible_pairs(first.where("b IS NOT NULL").select("a", "b").distinct(), sigs, percent), "pairs")
     sets = _sets_for(docs, pairs, width)
     answers = materialise(_verify(pairs, sets, percent, True), "answers")
     edges = answers.where("linked").select("a", "b")
     comp = materialise(components(edges), "components")
     entries = first.where("b IS NULL").select("token", "n", "pos", F.col("a").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = entries.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    entries = entries.join(mixed, "token", "left_semi").join(sigs.select("rep", "sig"), "rep")
     more = materialise(_further_pairs(entries, percent).distinct().join(pairs, ["a", "b"], "left_anti"), "further")
     if not more.isEmpty():
         derived, rest = _derive(more, answers, percent)
