@@ -3,8 +3,9 @@
 Each vector is scaled to length 1, rotated by one seeded random orthogonal matrix and kept as the packed signs of its
 coordinates with a correction scalar f = <signs / sqrt(D), rotated>. For a query q the inner product is estimated as
 <signs / sqrt(D), q> / f, with an error of at most eps * sqrt((1 - f^2) / f^2) * sqrt(1 - <signs / sqrt(D), q>^2) / sqrt(D - 1)
-but for a chance that falls exponentially in eps^2. Vectors whose upper bound reaches the k-th largest lower bound are
-reranked with the original vectors in double precision; the others cannot be among the nearest within that chance.
+but for a chance that falls exponentially in eps^2. The best few estimates are looked
+up in the original vectors; the k-th best of these cosines is a floor, and every vector whose upper bound reaches it is
+reranked in double precision. The others cannot be among the nearest within that chance.
 
 Candidates and queries are cut into blocks of bounded size; every block of candidates meets every block of queries in a
 task of its own, so nothing is broadcast and no group is gathered. A block keeps its k nearest for each query, and these
@@ -46,13 +47,13 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def bounds(codes: np.ndarray, f: np.ndarray, turned_queries: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the cosines, queries by candidates, from codes and scalars alone."""
+    """Estimates of the cosines, queries by candidates, and bounds of their errors, from codes and scalars alone."""
     dim = turned_queries.shape[1]
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    s = (turned_queries.astype(np.float32) @ signs.T).astype(np.float64) / np.sqrt(dim)
-    estimate = s / f
-    error = eps * np.sqrt(np.maximum(0, 1 - f * f)) / f * np.sqrt(np.maximum(0, 1 - s * s)) / np.sqrt(max(dim - 1, 1)) + 1e-5
-    return estimate - error, estimate + error
+    s = (turned_queries.astype(np.float32) @ signs.T) / np.float32(np.sqrt(dim))
+    f = f.astype(np.float32)
+    slack = np.float32(eps / np.sqrt(max(dim - 1, 1))) * np.sqrt(np.maximum(0, 1 - f * f)) / f
+    return s / f, slack * np.sqrt(np.maximum(0, 1 - s * s)) + np.float32(1e-5)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,12 +68,16 @@ def _search_block(q_ids, queries, c_ids, vectors, k: int, eps: float, seed: int)
     turned = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ turn
     out = []
     for lo in range(0, len(q_ids), 64):
-        low, high = bounds(codes, f, turned[lo : lo + 64], eps)
+        estimate, error = bounds(codes, f, turned[lo : lo + 64], eps)
         own = q_ids[lo : lo + 64, None] == c_ids[None, :]
-        low[own], high[own] = -np.inf, -np.inf
-        m = min(k, low.shape[1])
-        floor = -np.partition(-low, m - 1, axis=1)[:, m - 1]
-        qi, ci = np.nonzero((high >= floor[:, None]) & ~own)
+        estimate[own] = -np.inf
+        # The k-th best true cosine of a few best estimates is a floor that the k nearest reach.
+        m = min(8 * k, len(c_ids))
+        few = np.argpartition(-estimate, m - 1, axis=1)[:, :m]
+        true = cosine(np.repeat(queries[lo : lo + 64], m, axis=0), vectors[few.ravel()]).reshape(-1, m)
+        true[np.take_along_axis(own, few, axis=1)] = -np.inf
+        floor = -np.partition(-true, min(k, m) - 1, axis=1)[:, min(k, m) - 1]
+        qi, ci = np.nonzero((estimate + error >= floor[:, None].astype(np.float32) - np.float32(1e-5)) & ~own)
         for part in range(0, len(qi), 1 << 16):
             a, b = qi[part : part + (1 << 16)], ci[part : part + (1 << 16)]
             score = cosine(queries[lo + a], vectors[b])
