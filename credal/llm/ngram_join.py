@@ -30,7 +30,7 @@ from .arrays import LOWER_CODE, binary_column, distinct_sorted, mix, owner, per_
 from .graph import components
 from .runtime import columns_named, hash_counts, marked, materialise, release
 
-SKETCH_BITS, MARK_BITS, BLOCK, CHUNK = 21, 26, 256, 256
+SKETCH_BITS, MARK_BITS, BLOCK, CHUNK, SHORT_BITS = 21, 26, 256, 256, 6
 
 
 def sets_of(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,13 +57,13 @@ def _possible(n1, p1, n2, p2, percent: int):
     return (100 * small >= percent * large) & (np.minimum(n1 - p1, n2 - p2) >= needed(n1, n2, percent))
 
 
-def signatures(v: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(v: np.ndarray, cuts: np.ndarray, most_bits: int = 62) -> tuple[np.ndarray, np.ndarray]:
     """Each set's element counts by hash bucket (half as many buckets as elements, a power of two), and the offsets by text.
 
     The sum of the smaller counts, bucket by bucket, is never less than the intersection: what it rules out has no link.
     """
     n = np.diff(cuts)
-    bits = np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64)
+    bits = np.minimum(np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64), most_bits)
     size = np.where(n > 0, 1 << bits, 0)
     at = np.concatenate([[0], np.cumsum(size)])
     who = owner(cuts)
@@ -118,7 +118,7 @@ def _starts(token: np.ndarray) -> np.ndarray:
 
 
 def _index(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2, prefix, sig: size, two set hashes, the prefix in the common order, the bucket signature."""
+    """doc_id, n, s1, s2, prefix, sig, short: size, two set hashes, the prefix in the common order, bucket signatures."""
 
     def shingles_in(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
@@ -141,11 +141,11 @@ def _index(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 take = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), pa.array(n), *(pa.array((u[cuts[1:]] - u[cuts[:-1]]).view(np.int64)) for u in (upto1, upto2)),
-                     binary_column(ordered[ragged(cuts[:-1], take)], np.concatenate([[0], np.cumsum(take)])), binary_column(*signatures(v, cuts))],
-                    ["doc_id", "n", "s1", "s2", "prefix", "sig"],
+                     binary_column(ordered[ragged(cuts[:-1], take)], np.concatenate([[0], np.cumsum(take)])), binary_column(*signatures(v, cuts)), binary_column(*signatures(v, cuts, SHORT_BITS))],
+                    ["doc_id", "n", "s1", "s2", "prefix", "sig", "short"],
                 )
 
-    return materialise(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary, sig binary"), "sets")
+    return materialise(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary, sig binary, short binary"), "sets")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     alone = 100 // (100 - percent) if percent < 100 else 1 << 62
     first = materialise(_first_pairs(_postings(classes.where(F.col("n") >= alone).select("rep", "n", "prefix")), percent), "lists")
     reps = classes.select("rep", "n", "s1", "s2")
-    sigs = index.select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "sig").join(reps, ["rep", "n", "s1", "s2"], "left_semi").groupBy("rep", "n").agg(F.first("sig").alias("sig"))
+    sigs = index.select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "sig").join(reps, ["rep", "n", "s1", "s2"], "left_semi").groupBy("rep", "n").agg(F.first("sig").alias("sig"), F.first("short").alias("short"))
     pairs = materialise(_possible_pairs(first.where("b IS NOT NULL").select("a", "b").distinct(), sigs, percent), "pairs")
     sets = _sets_for(docs, pairs, width)
     answers = materialise(_verify(pairs, sets, percent, True), "answers")
@@ -383,8 +383,9 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     comp = materialise(components(edges), "components")
     entries = first.where("b IS NULL").select("token", "n", "pos", F.col("a").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = entries.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    entries = entries.join(mixed, "token", "left_semi").join(sigs.select("rep", "sig"), "rep")
-    more = materialise(_further_pairs(entries, percent).distinct().join(pairs, ["a", "b"], "left_anti"), "further")
+    entries = entries.join(mixed, "token", "left_semi").join(sigs.select("rep", F.col("short").alias("sig")), "rep")
+    more = _further_pairs(entries, percent).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = materialise(_possible_pairs(more, sigs, percent), "further")
     if not more.isEmpty():
         derived, rest = _derive(more, answers, percent)
         links = derived.where("linked").select("a", "b")
