@@ -375,7 +375,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     alone = 100 // (100 - percent) if percent < 100 else 1 << 62
     first = materialise(_first_pairs(_postings(classes.where(F.col("n") >= alone).select("rep", "n", "prefix")), percent), "lists")
     reps = classes.select("rep", "n", "s1", "s2")
-    sigs = index.select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "sig").join(reps, ["rep", "n", "s1", "s2"], "left_semi").groupBy("rep", "n").agg(F.first("sig").alias("sig"), F.first("short").alias("short"))
+    sigs = index.select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "sig", "short").join(reps, ["rep", "n", "s1", "s2"], "left_semi").groupBy("rep", "n").agg(F.first("sig").alias("sig"), F.first("short").alias("short"))
     pairs = materialise(_possible_pairs(first.where("b IS NOT NULL").select("a", "b").distinct(), sigs, percent), "pairs")
     sets = _sets_for(docs, pairs, width)
     answers = materialise(_verify(pairs, sets, percent, True), "answers")
