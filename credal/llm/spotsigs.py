@@ -8,8 +8,8 @@ the base64 form of the sorted distinct signatures, 32 bits each: equal texts hav
 holds all that a comparison needs.
 
 Likeness is the Jaccard similarity of the signature sets; two empty sets are alike (1), an empty and another are not (0).
-Comparison is pruned by set length first: sets whose lengths alone rule the threshold out are never intersected, and
-``similar`` deals sets by length partitions and looks partners up in its own and the next partition alone.
+Comparison is pruned by set length first: sets whose lengths alone rule the threshold out are never intersected. A join of
+all documents by these sets, dealt by length partitions, is not there yet.
 """
 
 from __future__ import annotations
