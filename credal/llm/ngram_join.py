@@ -19,7 +19,8 @@ their sets (the smallest by hash) takes part in links. Equal sets are linked. An
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .arrays import LOWER_CODE, binary_column, distinct_sorted, mix, owner, per_
 from .graph import components
 from .runtime import columns_named, hash_counts, marked, materialise, release
 
+#: Texts (bytes, offsets) to their sets (ascending distinct 64-bit hashes, offsets).
+Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 SKETCH_BITS, MARK_BITS, BLOCK, CHUNK, SHORT_BITS = 21, 26, 256, 256, 6
 
 
@@ -117,13 +120,13 @@ def _starts(token: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
 
 
-def _index(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _index(docs: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """doc_id, n, s1, s2, prefix, sig, short: size, two set hashes, the prefix in the common order, bucket signatures."""
 
     def shingles_in(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             for _, _, buf, off in slices(b.column(1)):
-                yield sets_of(buf, off, width)[0]
+                yield sets(buf, off)[0]
 
     counts = hash_counts(docs, shingles_in, SKETCH_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # 4 * 2 ** SKETCH_BITS bytes
@@ -132,7 +135,7 @@ def _index(docs: DataFrame, width: int, percent: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, buf, off in slices(batch.column(1)):
-                v, cuts = sets_of(buf, off, width)
+                v, cuts = sets(buf, off)
                 n = np.diff(cuts)
                 upto1, upto2 = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(v, s), dtype=np.uint64)]) for s in (101, 202))
                 # rare first: the class goes above the hash's top bits, which is one total order for all documents
@@ -148,8 +151,26 @@ def _index(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return materialise(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary, sig binary, short binary"), "sets")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """token, n, pos, rep: one row a prefix shingle."""
+def length_partition(n: np.ndarray, percent: int) -> np.ndarray:
+    """The partition of sets of these sizes: starts are 1 and then the least size that can't link with the start before.
+
+    Sets that link lie in one partition or in two that follow one another.
+    """
+    starts = [1]
+    while starts[-1] <= int(n.max(initial=0)):
+        starts.append(100 * starts[-1] // percent + 1)
+    return np.searchsorted(np.array(starts), n, side="right") - 1
+
+
+def _postings(classes: DataFrame, percent: int, by_length: bool) -> DataFrame:
+    """token, n, pos, rep: one row a prefix shingle; by length: one in its own partition's list and one in the next partition's."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            token, n = b.column("token").to_numpy().view(np.uint64), b.column("n").to_numpy()
+            part = length_partition(n, percent)
+            for k in (0, 1):
+                yield b.set_column(0, "token", pa.array((token ^ mix((part + k).astype(np.uint64), 53)).view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,7 +183,9 @@ def _postings(classes: DataFrame) -> DataFrame:
                     ["token", "n", "pos", "rep"],
                 )
 
-    return classes.mapInArrow(run, "token long, n long, pos long, rep long")
+    schema = "token long, n long, pos long, rep long"
+    found = classes.mapInArrow(run, schema)
+    return found.mapInArrow(dealt, schema) if by_length else found
 
 
 def _sorted(df: DataFrame) -> DataFrame:
@@ -268,7 +291,7 @@ def _id_hash(ids: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.int64).view(np.uint64), 31)
 
 
-def _sets_for(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _sets_for(docs: DataFrame, pairs: DataFrame, sets: Sets) -> DataFrame:
     """id, set of the documents in the pairs (and of few others, by the marks' collisions), from their texts."""
 
     def ids_in(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -282,7 +305,7 @@ def _sets_for(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
         for b in batches:
             b = b.filter(pa.array(marked(marks.value, _id_hash(b.column(0).fill_null(0).to_numpy()), MARK_BITS)))
             for lo, hi, buf, off in slices(b.column(1)):
-                v, cuts = sets_of(buf, off, width)
+                v, cuts = sets(buf, off)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), binary_column(v, cuts)], ["id", "set"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -367,18 +390,23 @@ def _derive(pairs: DataFrame, answers: DataFrame, percent: int) -> tuple[DataFra
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return join_sets(docs, partial(sets_of, width=width), percent, id_col, text_col).withColumnRenamed("n", "n_shingles")
+
+
+def join_sets(docs: DataFrame, sets: Sets, percent: int, id_col: str = "doc_id", text_col: str = "text", by_length: bool = False) -> DataFrame:
+    """doc_id, n (set size), component_id of every row; by_length deals the index lists by partitions of set sizes."""
     docs = columns_named(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    index = _index(docs, width, percent)
+    index = _index(docs, sets, percent)
     one = index.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n", "prefix")).alias("x")).select("doc_id", "x.*")
     classes = materialise(one.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
     # A set of fewer shingles than this links only with equal ones.
     alone = 100 // (100 - percent) if percent < 100 else 1 << 62
-    first = materialise(_first_pairs(_postings(classes.where(F.col("n") >= alone).select("rep", "n", "prefix")), percent), "lists")
+    first = materialise(_first_pairs(_postings(classes.where(F.col("n") >= alone).select("rep", "n", "prefix"), percent, by_length), percent), "lists")
     reps = classes.select("rep", "n", "s1", "s2")
     sigs = index.select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "sig", "short").join(reps, ["rep", "n", "s1", "s2"], "left_semi").groupBy("rep", "n").agg(F.first("sig").alias("sig"), F.first("short").alias("short"))
     pairs = materialise(_possible_pairs(first.where("b IS NOT NULL").select("a", "b").distinct(), sigs, percent), "pairs")
-    sets = _sets_for(docs, pairs, width)
-    answers = materialise(_verify(pairs, sets, percent, True), "answers")
+    held = _sets_for(docs, pairs, sets)
+    answers = materialise(_verify(pairs, held, percent, True), "answers")
     edges = answers.where("linked").select("a", "b")
     comp = materialise(components(edges), "components")
     entries = first.where("b IS NULL").select("token", "n", "pos", F.col("a").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -391,12 +419,12 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
         links = derived.where("linked").select("a", "b")
         rest = materialise(rest, "rest")
         if not rest.isEmpty():
-            other = _sets_for(docs, rest, width)
+            other = _sets_for(docs, rest, sets)
             links = links.union(_verify(rest, other, percent, False).where("linked").select("a", "b"))
         comp = materialise(components(edges.union(links)), "components")
     release(first)
-    release(sets)
+    release(held)
     found = classes.select("n", "s1", "s2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     # Few columns: equal sets are joined back by their hashes; a row whose id was represented by another set follows the id.
     by_id = one.select("doc_id", "n", "s1", "s2").join(found, ["n", "s1", "s2"]).select("doc_id", "component_id")
-    return index.select("doc_id", F.col("n").alias("n_shingles")).join(by_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return index.select("doc_id", "n").join(by_id, "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))

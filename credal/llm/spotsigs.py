@@ -8,14 +8,17 @@ the base64 form of the sorted distinct signatures, 32 bits each: equal texts hav
 holds all that a comparison needs.
 
 Likeness is the Jaccard similarity of the signature sets; two empty sets are alike (1), an empty and another are not (0).
-Comparison is pruned by set length first: sets whose lengths alone rule the threshold out are never intersected. A join of
-all documents by these sets, dealt by length partitions, is not there yet.
+Comparison is pruned by set length first: sets whose lengths alone rule the threshold out are never intersected. ``link``
+joins all documents: each set posts its rarest signatures in the lists of its length partition and of the next one, whose
+sets are the only larger ones it can link with; lists are pruned by length, position and bucket counts before sets are
+intersected, and a list of near copies is never expanded into all its pairs (the index lists of ``ngram_join`` do that).
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER_CODE, SPACE, distinct_sorted, mix, per_text, prefix_hash, slices, span_hash, words
+from .ngram_join import join_sets
 from .runtime import columns_named
 
 #: Common words of English, German, French and Spanish that serve as anchors.
@@ -123,3 +127,18 @@ def fingerprints(docs: DataFrame, chain: int = 2, anchors: str = ANCHORS, id_col
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([fingerprint(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "fingerprint", "n_signatures"])
 
     return columns_named(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string, n_signatures long")
+
+
+def _joined_sets(buf: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, chain: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures as evenly spread 64-bit hashes, ascending by text."""
+    values, cuts = signatures(buf, offsets, anchors, chain)
+    return distinct_sorted(mix(values.astype(np.uint64), 71), cuts)
+
+
+def link(docs: DataFrame, percent: int = 80, chain: int = 2, anchors: str = ANCHORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_signatures, component_id of every row: the smallest id reachable by links of likeness percent / 100 or more.
+
+    A text without signatures links with nothing, null text is empty; null and repeated ids as in ``ngram_join``.
+    """
+    sets = partial(_joined_sets, anchors=_anchor_table(tuple(anchors.split())), chain=chain)
+    return join_sets(docs, sets, percent, id_col, text_col, by_length=True).withColumnRenamed("n", "n_signatures")

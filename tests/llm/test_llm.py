@@ -92,6 +92,10 @@ def _brute(rows, width, percent):
     for i, t in rows:
         w = (t or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split()
         sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    return _linked(sets, percent)
+
+
+def _linked(sets, percent):
     up = {i: i for i in sets}
 
     def find(x):
@@ -222,6 +226,33 @@ def test_fingerprints_of_edited_texts(spark, docs, odd_docs):
     assert neighbours.edited_fingerprints(docs.limit(1)).count() == 1 and neighbours.edited_fingerprints(docs.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_fingerprint_join_is_exact(spark, percent):
+    rnd = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(300)] + spotsigs.ANCHORS.split()
+    base = [rnd.choice(vocabulary) for _ in range(240)]
+    rows = [(10 + i, " ".join([w if rnd.random() > r else rnd.choice(vocabulary) for w in base][: 240 - 9 * (i % 11)])) for i, r in enumerate([0.0, 0.02, 0.05, 0.2] * 25)]
+    rows += [(1, None), (2, ""), (3, "the end now"), (4, "THE end, now"), (5, " \n"), (6, "bare"), (7, "bare")] + [(500 + k, " ".join(rnd.choice(vocabulary[:6] + ["the"] * 4) for _ in range(rnd.randint(2, 30)))) for k in range(120)]
+    sets = {i: set(v.tolist()) for (i, _), v in zip(rows, spotsigs.fingerprint_texts(pa.array([t for _, t in rows])))}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("rep", F.lit(0))
+    want = _linked(sets, percent)
+    assert {tuple(r) for r in spotsigs.link(df, percent).collect()} == want and len({c for _, _, c in want}) < len(want) - 40
+
+
+def test_fingerprint_join_on_odd_tables(spark, odd_docs, docs):
+    got = spotsigs.link(odd_docs).collect()
+    assert len(got) == odd_docs.count() and [r.component_id for r in got if r.doc_id is None] == [None]
+    assert spotsigs.link(docs.where("false")).collect() == []
+
+
+def test_length_partitions_hold_all_that_can_link():
+    for percent in (50, 60, 80, 90, 100):
+        part = ngram_join.length_partition(np.arange(1, 400), percent)
+        for a in range(1, 400):
+            most = min(399, 100 * a // percent)
+            assert part[most - 1] - part[a - 1] in (0, 1)
+
+
 def test_line_dedup(spark, odd_docs):
     passage = " ".join(f"passage{chr(97 + k % 26)}x{'y' * k}" for k in range(60))
     own = lambda i: " ".join(f"{chr(97 + i)}own{'q' * k}" for k in range(12))
