@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER_CODE, binary_column, distinct_sorted, mix, owner, per_text, prefix_hash, ragged, shingles, slices, span_hash, words
+from .arrays import LOWER_CODE, binary_column, distinct_sorted, give_back, mix, owner, per_text, prefix_hash, ragged, shingles, slices, span_hash, words
 from .graph import components
 from .runtime import columns_named, hash_counts, marked, materialise, release
 
@@ -110,6 +110,8 @@ class _Runs:
             self.held.append({n: c[cut:] for n, c in cols.items()})
         if self.held:
             yield self._join(None)
+        self.held = []
+        give_back()
 
     def _join(self, last: dict | None) -> dict[str, np.ndarray]:
         parts = self.held + ([last] if last is not None else [])
@@ -347,6 +349,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool)
                 out.append((a, b, linked, len(leader), leader[~_common(leader, own)].tobytes() if near else None, own[~held].tobytes() if near else None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()))], ["a", "b", "linked", "size", "gone", "new"])
+        give_back()
 
     return both.mapInArrow(run, "a long, b long, linked boolean, size long, gone binary, new binary")
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import give_back
+
 _made: list[tuple[SparkSession, str]] = []
 SKETCH_PARTS = 16
 
@@ -88,20 +90,21 @@ def hash_counts(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterat
         return np.frombuffer(pa.decompress(data, width, "zstd", asbytes=True), dtype=np.uint8 if marks else np.uint32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, dtype=bool if marks else np.uint32)
+        table = np.zeros((1 << bits) // 8, np.uint8) if marks else np.zeros(1 << bits, np.uint32)
         found = False
         for h in emit(batches):
             for lo in range(0, len(h), 1 << 20):
                 at = (h[lo : lo + (1 << 20)] >> np.uint64(64 - bits)).astype(np.int64)
                 found = True
                 if marks:
-                    table[at] = True
+                    np.bitwise_or.at(table, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
                 else:
                     np.add.at(table, at, np.uint32(1))
         if found:
             for k in range(SKETCH_PARTS):
-                part = table[k * size : (k + 1) * size]
-                yield rows([(k, np.packbits(part) if marks else part)])
+                step = len(table) // SKETCH_PARTS
+                yield rows([(k, table[k * step : (k + 1) * step])])
+        give_back()
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width if marks else size, dtype=np.uint8 if marks else np.uint64)
