@@ -1,4 +1,4 @@
-"""Sends this package to the executors, so that workers can import it wherever they run."""
+"""Prepares a session: the package's sources on the executors, and Arrow batches small enough for workers with little memory."""
 
 from __future__ import annotations
 
@@ -9,10 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: Rows of an Arrow batch, where the session doesn't say: documents of a few KB make batches of a few MB.
+BATCH_ROWS = "2000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package's sources to the session's Python files, once an application."""
+    """Adds the package's sources to the session's Python files, once an application, and bounds its Arrow batches."""
+    if spark.conf.get(_BATCH) == "10000":  # Spark's own default
+        spark.conf.set(_BATCH, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
