@@ -26,8 +26,10 @@ _own = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: chr(b) for b in _own} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(_own))}
 _TO_ALPHABET = {c: "".join(_ALPHABET[b] for b in chr(c).encode()) for c in range(256)}
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Units kept by a worker; beyond it the cache starts anew, which costs time, never results.
-CACHE_UNITS = 500_000
+#: Units kept by a worker, spaced and bare; beyond it the cache starts anew, which costs time, never results.
+CACHE_UNITS = {True: 1_200_000, False: 500_000}
+#: Pieces of units kept beside them.
+CACHE_PIECES = 60_000
 _open: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -44,7 +46,7 @@ class HashIndex:
     def __init__(self, bits: int = 16):
         self.bits = bits
         self.keys = np.zeros(1 << bits, dtype=np.uint64)
-        self.rows = np.full(1 << bits, -1, dtype=np.int64)
+        self.rows = np.full(1 << bits, -1, dtype=np.int32)
         self.n = 0
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -68,12 +70,12 @@ class HashIndex:
         """Distinct new keys get the next rows."""
         rows = np.arange(self.n, self.n + len(keys))
         self.n += len(keys)
-        if 2 * self.n > len(self.keys):
+        if 4 * self.n > 3 * len(self.keys):
             old = self.rows >= 0
             keys, rows = np.concatenate([self.keys[old], keys]), np.concatenate([self.rows[old], rows])
-            while 2 * self.n > 1 << self.bits:
+            while 4 * self.n > 3 << self.bits:
                 self.bits += 1
-            self.keys, self.rows = np.zeros(1 << self.bits, dtype=np.uint64), np.full(1 << self.bits, -1, dtype=np.int64)
+            self.keys, self.rows = np.zeros(1 << self.bits, dtype=np.uint64), np.full(1 << self.bits, -1, dtype=np.int32)
         slot = self._slot(keys)
         while len(keys):
             free = self.rows[slot] < 0
@@ -103,8 +105,8 @@ class Encoder:
         self.pieces: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 14, dtype=np.int64)
-        self.length = np.zeros(1 << 14, dtype=np.int64)
+        self.start = np.zeros(1 << 14, dtype=np.int32)
+        self.length = np.zeros(1 << 14, dtype=np.int32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -130,7 +132,7 @@ class Encoder:
         n, k = self.index.n, len(texts)
         if n + k > len(self.start):
             grow = max(2 * len(self.start), n + k)
-            self.start, self.length = (np.concatenate([x, np.zeros(grow - len(x), np.int64)]) for x in (self.start, self.length))
+            self.start, self.length = (np.concatenate([x, np.zeros(grow - len(x), x.dtype)]) for x in (self.start, self.length))
         flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32)
         length = np.fromiter(map(len, ids), dtype=np.int64, count=k)
         if self.used + len(flat) > len(self.flat):
@@ -139,7 +141,7 @@ class Encoder:
         self.start[n : n + k], self.length[n : n + k] = self.used + np.cumsum(length) - length, length
         self.used += len(flat)
         self.index.add(hashes)
-        if len(self.pieces) > CACHE_UNITS // 8:
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
 
     def units(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +166,7 @@ class Encoder:
         new = np.flatnonzero(rows < 0)
         if len(new):
             distinct, first = np.unique(keys[new], return_index=True)
-            if self.index.n + len(distinct) > CACHE_UNITS and self.index.n:
+            if self.index.n + len(distinct) > CACHE_UNITS[self.spaced] and self.index.n:
                 self._reset()
                 return self.unit_rows(buf, start, end)
             raw = buf.tobytes()
