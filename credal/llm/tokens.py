@@ -27,7 +27,7 @@ _ALPHABET = {b: chr(b) for b in _own} | {b: chr(256 + k) for k, b in enumerate(x
 _TO_ALPHABET = {c: "".join(_ALPHABET[b] for b in chr(c).encode()) for c in range(256)}
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Units kept by a worker, spaced and bare; beyond it the cache starts anew, which costs time, never results.
-CACHE_UNITS = {True: 1_200_000, False: 500_000}
+CACHE_UNITS = {True: 1_200_000, False: 780_000}
 #: Pieces of units kept beside them.
 CACHE_PIECES = 60_000
 _open: dict[tuple[str, bool], "Encoder"] = {}
