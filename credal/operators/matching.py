@@ -24,19 +24,36 @@ def signature(groups: list[list[Column]]) -> Column:
 
 
 def candidates(templates: DataFrame, records: DataFrame, columns: list[str], template_id: str, record_id: str, k: int = 20, cutoff: float = 0.0) -> DataFrame:
-    """template_id, record_id, score, rank: the k records that share most of the rarest values, by inverse frequency.
+    """template_id, record_id, score, rank: the k records that share most of the rarest values, by inverse frequency, ties to the smaller id.
 
-    Both sides post (column, value) pairs. Templates with equal values are looked up once; each posting list meets templates
-    by equi-join only, and scores add up per pair. A value that most records have has a score near zero: it is left out of the lookup
-    when its inverse frequency is under ``cutoff`` (0 keeps all).
+    No list of a frequent value ever meets the templates. For each set of columns, records with the same values there keep
+    their k smallest ids (limited before the shuffle as well); a template looks up its own values for each set. That is exact: a
+    record beyond those k in the set on which it agrees has k records before it that agree on as much and have smaller ids. A
+    template meets at most k records a set, so columns are limited to 8 (255 sets). Null values agree with nothing. Scores under
+    ``cutoff`` are left out.
     """
-    posts = lambda df, key: df.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.lower(F.col(c).cast("string")).alias("value")) for c in columns])).alias("p")).select("key", "p.field", "p.value").where("value IS NOT NULL")
-    r, t = posts(records, record_id), posts(templates, template_id)
+    if len(columns) > 8:
+        raise ValueError("at most 8 columns")
+    values = [F.lower(F.col(c).cast("string")).alias(f"v{j}") for j, c in enumerate(columns)]
+    r, t = records.select(F.col(record_id).alias("r"), *values), templates.select(F.col(template_id).alias("t"), *values)
+    post = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(j).alias("field"), F.col(f"v{j}").alias("value")) for j in range(len(columns))])).alias("p")).select("p.*").where("value IS NOT NULL")
     n = records.agg(F.count("*").alias("n"))
-    idf = r.groupBy("field", "value").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("field", "value", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).where(F.col("idf") >= cutoff)
-    scored = t.join(idf, ["field", "value"]).withColumnRenamed("key", "t").join(r.withColumnRenamed("key", "r"), ["field", "value"]).groupBy("t", "r").agg(F.sum("idf").alias("score"))
+    idf = post(r).groupBy("field", "value").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("field", "value", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+    sets = [s for size in range(1, len(columns) + 1) for s in itertools.combinations(range(len(columns)), size)]
+    whole = F.struct(*[f"v{j}" for j in range(len(columns))])
+
+    def keyed(df: DataFrame, key: str) -> DataFrame:
+        one = lambda i, s: F.when(F.array_contains(F.array(*[F.col(f"v{j}").isNull() for j in s]), True), None).otherwise(F.struct(F.lit(i).alias("set"), F.array(*[F.col(f"v{j}") for j in s]).alias("at")))
+        return df.select(key, whole.alias(f"{key}_values"), F.explode(F.array(*[one(i, s) for i, s in enumerate(sets)])).alias("e")).where("e IS NOT NULL").select(key, f"{key}_values", "e.set", "e.at")
+
+    first = Window.partitionBy("set", "at").orderBy("r")
+    heads = keyed(r, "r").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    pairs = keyed(t, "t").join(heads, ["set", "at"]).select("t", "r", "t_values", "r_values").dropDuplicates(["t", "r"])
+    shared = F.filter(F.array(*[F.when(F.col(f"t_values.v{j}") == F.col(f"r_values.v{j}"), F.struct(F.lit(j).alias("field"), F.col(f"t_values.v{j}").alias("value"))) for j in range(len(columns))]), lambda x: x.isNotNull())
+    scored = pairs.select("t", "r", F.explode(shared).alias("p")).select("t", "r", "p.*").join(idf, ["field", "value"]).groupBy("t", "r").agg(F.sum("idf").alias("score"))
     order = Window.partitionBy("t").orderBy(F.desc(F.round("score", 9)), "r")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("t").alias(template_id), F.col("r").alias(record_id), F.round("score", 6).alias("score"), "rank")
+    return scored.where(F.col("score") >= cutoff).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("t").alias(template_id), F.col("r").alias(record_id), F.round("score", 6).alias("score"), "rank")
 
 
 def immediate(posterior: Column, conditional: Column) -> Column:
@@ -82,7 +99,7 @@ def modified(templates: DataFrame, changes: dict[str, dict[str, Column]], order:
 
 def first_boost(points: DataFrame, areas: DataFrame, id_col: str, location_col: str) -> DataFrame:
     """Each point's boost from the first area (by its order) with its location; 1 without one."""
-    hits = points.join(F.broadcast(areas), F.col(location_col) == F.col("area_location"))
+    hits = points.join(areas, F.col(location_col) == F.col("area_location"))
     found = hits.groupBy(id_col).agg(F.min_by("boost", "area_order").alias("boost"))
     return points.join(found, id_col, "left").withColumn("boost", F.coalesce("boost", F.lit(1.0)))
 

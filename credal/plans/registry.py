@@ -81,7 +81,7 @@ def conditional_parameters(spark: SparkSession, d: str) -> DataFrame:
 def _nation_matches(spark: SparkSession, d: str) -> DataFrame:
     """For every segment as a template, the posterior of every nation that has it."""
     rows = _t(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.abs("c_acctbal").alias("w"))
-    p = parameters.conditionals(rows, "segment", ["nation"], "w").join(F.broadcast(parameters.priors(rows, "nation", "w").drop("weight")), "nation")
+    p = parameters.conditionals(rows, "segment", ["nation"], "w").join(parameters.priors(rows, "nation", "w").drop("weight"), "nation")
     return p.select("segment", "nation", "prior", *[c.alias(k) for k, c in parameters.posterior(F.col("prior"), F.col("p_t"), F.col("p_f"), F.lit(True)).items()])
 
 
@@ -108,14 +108,14 @@ def match_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""WITH p AS (SELECT p_partkey AS k, unnest([['brand', lower(p_brand)], ['type', lower(p_type)], ['size', p_size::VARCHAR]]) AS x FROM part),
     i AS (SELECT x, ln(1 + ((SELECT count(*) FROM part) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p WHERE x[2] IS NOT NULL GROUP BY x),
-    t AS (SELECT * FROM p WHERE k % 50 = 0),
+    t AS (SELECT * FROM p WHERE k % 20 = 0),
     s AS (SELECT t.k AS template, p.k AS record, sum(idf) AS score FROM t JOIN i USING (x) JOIN p USING (x) GROUP BY 1, 2)
     SELECT template, record, round(score, 6) AS score, rank::INTEGER AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY template ORDER BY round(score, 9) DESC, record) AS rank FROM s) WHERE rank <= 20""")
 def candidate_top_k(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set (every fiftieth part) against all parts, 20 candidates each."""
+    """The stated query set (every twentieth part) against all parts, 20 candidates each."""
     part = _t(spark, d, "part").select(F.col("p_partkey").alias("record"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size"))
-    return matching.candidates(part.where("record % 50 = 0").withColumnRenamed("record", "template"), part, ["brand", "type", "size"], "template", "record")
+    return matching.candidates(part.where("record % 20 = 0").withColumnRenamed("record", "template"), part, ["brand", "type", "size"], "template", "record")
 
 
 @_query("""WITH s AS (SELECT s_suppkey, s_nationkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
@@ -235,7 +235,7 @@ def modified_templates(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""SELECT l_orderkey AS id, round(1 - product(1 - l_discount), 9) AS boost FROM lineitem GROUP BY 1""")
 def combined_boosts(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("l_discount").alias("b")).select("id", _r(parameters.any_of(F.col("b")), 9).alias("boost"))
+    return _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(_r(1 - F.product(1 - F.col("l_discount")), 9).alias("boost"))
 
 
 @_query("""WITH p AS (SELECT r.v AS rain, s.v AS sprinkler, w.v AS wet,
