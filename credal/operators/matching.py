@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from credal.functions import geometry as G
+from credal.functions import names as N
+from credal.functions import strings as S
+
 
 def agrees(given: Column, main: Column, variants: Column | None = None) -> Column:
     """Three-valued match of a template's value with a record's: null where either side has none."""
@@ -104,5 +108,64 @@ def first_boost(points: DataFrame, areas: DataFrame, id_col: str, location_col:
     return points.join(found, id_col, "left").withColumn("boost", F.coalesce("boost", F.lit(1.0)))
 
 
+def first_area(points: DataFrame, areas: DataFrame, id_col: str, x: str, y: str, locations: str | None = None, cell: float = 1.0) -> DataFrame:
+    """Each point with boost: that of the first area (area_order, area_location, wkt, boost) whose location is one of its own or whose polygon holds it; else 1.
+
+    An area is listed under each grid cell (``cell`` wide) that its box meets, and a point under its own, so both meet by equi-join
+    and only polygons of the point's cell are tested; choose cells that large areas cover with few. Locations meet by equi-join as well.
+    """
+    shape = areas.withColumn("_rings", G.rings(F.col("wkt"))).withColumn("_box", G.box(F.col("_rings"))).where("_rings IS NOT NULL")
+    span = lambda axis: F.sequence(F.floor(F.col(f"_box.low_{axis}") / cell), F.floor(F.col(f"_box.high_{axis}") / cell))
+    cells = shape.select("area_order", F.col("boost").alias("_boost"), "_rings", F.explode(span("x")).alias("_cx"), span("y").alias("_ys")).withColumn("_cy", F.explode("_ys")).drop("_ys")
+    at = points.select(F.col(id_col).alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / cell).alias("_cx"), F.floor(F.col(y) / cell).alias("_cy"))
+    hits = at.join(cells, ["_cx", "_cy"]).where(G.contains(F.col("_rings"), F.col("_x"), F.col("_y"))).select("_id", "area_order", "_boost")
+    if locations:
+        own = points.select(F.col(id_col).alias("_id"), F.explode(locations).alias("area_location"))
+        hits = hits.unionByName(own.join(areas.select("area_location", "area_order", F.col("boost").alias("_boost")), "area_location").select("_id", "area_order", "_boost"))
+    found = hits.groupBy("_id").agg(F.min_by("_boost", "area_order").alias("boost"))
+    return points.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn("boost", F.coalesce("boost", F.lit(1.0)))
+
+
+def first_per(df: DataFrame, query: str, accepted: str, score: str, tie: str) -> DataFrame:
+    """The best result of each accepted record a query has: greatest score, then the least tie; a map-side maximum, no sort."""
+    best = F.min_by(F.struct(*df.columns), F.struct(-F.col(score), F.col(tie)))
+    return df.groupBy(F.col(query).alias("_q"), F.col(accepted).alias("_a")).agg(best.alias("r")).select("r.*")
+
+
+def mean_likeness(parts: list[Column]) -> Column:
+    """The mean of the parts that are not null; 0 where all are."""
+    there = F.filter(F.array(*parts), lambda x: x.isNotNull())
+    return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there)).otherwise(0.0)
+
+
+def best_likeness(a: Column, b: Column, like) -> Column:
+    """The greatest likeness of any value of one set with any of the other; null if either is empty."""
+    return F.array_max(F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: like(x, y)))))
+
+
+def matched_any(given: Column, variants: Column, equal) -> Column:
+    """Three-valued match of a value with a record's values under ``equal`` (null: not comparable): true if one is equal, false if one compares
+    and none is equal, null if the value, all values or all comparisons are null."""
+    judged = F.filter(F.transform(F.filter(variants, lambda v: v.isNotNull()), lambda v: equal(given, v)), lambda e: e.isNotNull())
+    return F.when(given.isNull() | variants.isNull() | (F.size(judged) == 0), None).otherwise(F.exists(judged, lambda e: e))
+
+
+def suggest(names: DataFrame, fragments: DataFrame, n: int = 10, least: int = 3, most: int = 30) -> DataFrame:
+    """fragment, name, score, rank: the n names that hold each fragment (any case, without accents), by likeness times weight, ties by name.
+
+    names: name, weight. fragments: fragment. Names are posted under their runs of ``least`` characters and a fragment looks up its rarest one,
+    so no fragment scans all names; fragments shorter than ``least`` find only names as short. Fragments above ``most`` find nothing.
+    """
+    plain = lambda c: F.lower(S.unicode_form(c, "NFD", True))
+    known = names.withColumn("_plain", plain(F.col("name"))).withColumn("gram", F.explode(S.ngrams(F.col("_plain"), least, least)))
+    asked = fragments.select("fragment").distinct().withColumn("_part", plain(F.col("fragment"))).where(F.length("_part") <= most).withColumn("gram", F.explode(S.ngrams(F.col("_part"), least, least)))
+    count = known.groupBy("gram").agg(F.count("*").alias("_df"))
+    rarest = asked.join(count, "gram", "left").groupBy("fragment", "_part").agg(F.min_by("gram", F.struct(F.coalesce("_df", F.lit(0)), F.col("gram"))).alias("gram"))
+    hits = known.join(rarest, "gram").where(F.contains(F.col("_plain"), F.col("_part")) & ((F.length("_part") >= least) | (F.col("_plain") == F.col("_part"))))
+    score = N.lcs_likeness(F.col("_part"), F.col("_plain")) * F.col("weight")
+    order = Window.partitionBy("fragment").orderBy(F.desc(F.round("score", 9)), "name")
+    return hits.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("fragment", "name", "score", "rank")
+
+
 def suggestion_weight(name: Column, major: Column) -> Column:
     return 10 / (F.log(F.greatest(F.lit(4), F.length(name))) + 1) * F.when(major, 10.0).otherwise(1.0)

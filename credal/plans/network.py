@@ -94,3 +94,73 @@ class Network:
         total = sum((joint(c) for c in cases), F.lit(0.0))
         true = sum((joint(c) for c in cases if c[hypothesis]), F.lit(0.0))
         return {"evidence": total, "posterior": F.when(total < 1e-9, 0.0).otherwise(true / total)}
+
+    def below(self, v: str) -> list[str]:
+        """All vertices that edges lead to from a vertex, in order."""
+        found: set[str] = set()
+        todo = [v]
+        while todo:
+            for s, t in self.edges:
+                if s == todo[0] and t not in found:
+                    found.add(t)
+                    todo.append(t)
+            todo.pop(0)
+        return [x for x in self.ordered() if x in found]
+
+    def horizon(self, v: str) -> tuple[list[str], list[str]]:
+        """(horizon, interior) of a vertex: its targets, nearest level first, where those that share what follows with the rest of the queue
+        are interior and passed through; the others are the horizon."""
+        level: dict[str, int] = {}
+        for x in self.ordered():
+            level[x] = max((level[p] + 1 for p in self.parents(x)), default=0)
+        reach = {x: {x, *self.below(x)} for x in self.vertices}
+        queue = {t for s, t in self.edges if s == v}
+        edge, inner = [], []
+        while queue:
+            x = min(queue, key=lambda q: (level[q], q))
+            queue.remove(x)
+            if any((reach[x] - {x}) & reach[o] for o in queue):
+                inner.append(x)
+                queue |= {t for s, t in self.edges if s == x}
+            else:
+                edge.append(x)
+        return edge, inner
+
+    def sources(self) -> set[str]:
+        """Vertices whose probability is computed: those on a horizon, and outputs. Others count by evidence alone."""
+        return {x for v in self.vertices for x in self.horizon(v)[0]} | set(self.outputs())
+
+    def derivation_order(self, needs: dict[str, list[str]]) -> list[str]:
+        """Vertices with derivations after those that they derive from, ties by declaration; a loop is an error."""
+        return Network(self.id, [v for v in self.vertices if v in needs], [(s, v) for v, xs in needs.items() for s in xs if s in needs]).ordered()
+
+    def json(self) -> str:
+        """The text that ``read`` reads."""
+        return json.dumps({"id": self.id, "vertices": [{"id": v} | ({"group": self.groups[v]} if v in self.groups else {}) for v in self.vertices], "edges": [{"source": s, "target": t} for s, t in self.edges]})
+
+    def dot(self, full: bool = False) -> str:
+        """The network in the DOT language; ``full`` adds groups as clusters and marks hypotheses and outputs."""
+        lines = [f'digraph "{self.id}" {{']
+        for v in self.vertices:
+            marks = " [shape=box]" if full and v in self.inputs() else " [shape=doublecircle]" if full and v in self.outputs() else ""
+            lines.append(f'  "{v}"{marks};')
+        if full:
+            for g in self.group_order():
+                inside = " ".join(f'"{v}";' for v in self.vertices if self.groups.get(v) == g)
+                lines.append(f'  subgraph "cluster_{g}" {{ label="{g}"; {inside} }}')
+        return "\n".join([*lines, *[f'  "{s}" -> "{t}";' for s, t in self.edges], "}"])
+
+    def by_signature(self, signature: Column, hypothesis: str, evidence: dict[str, Column], parameter: dict[str, dict[str, Column]], present: list[str]) -> dict[str, Column]:
+        """evidence and posterior of each row by the program of its signature's sub-network; a signature not in ``present`` is an error in the row.
+
+        parameter: by signature, the parameters of that sub-network. Only signatures that the data hold need be given.
+        """
+        order = self.group_order()
+        out: dict[str, Column] = {}
+        for part in ("evidence", "posterior"):
+            chosen = F.raise_error(F.concat(F.lit("unknown signature "), F.coalesce(signature, F.lit("null")))).cast("double")
+            for s in present:
+                sub = self.erase({g for g, bit in zip(order, s) if bit == "F"})
+                chosen = F.when(signature == s, sub.posterior(hypothesis, {v: e for v, e in evidence.items() if v in sub.vertices}, parameter[s])[part]).otherwise(chosen)
+            out[part] = chosen
+        return out
