@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,50 +82,50 @@ def in_scope(locations: Column, scope: Column) -> Column:
 
 @dataclass(frozen=True)
 class Change:
-    """A modification: new values by column (in order, each sees the ones before), a guard, columns that are derived and cleared first, an issue."""
+    """A modification: new values by column (in order, each sees the ones before), a guard, columns that are derived and cleared first, issues."""
 
     name: str
     sets: tuple[tuple[str, Column], ...]
     guard: Column
     clears: tuple[str, ...] = ()
-    issue: str | None = None
-    parts: tuple["Change", ...] = field(default=())
+    issues: tuple[str, ...] = ()
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """The template with the change where its guard holds; issue joins the array column ``issues``."""
+        """The template with the change where its guard held before; issues join the array column ``issues``."""
         out = df.withColumn("_go", F.coalesce(self.guard, F.lit(False)))
         go = F.col("_go")
-        if self.clears:
-            out = out.withColumns({c: F.when(~go, F.col(c)) for c in self.clears})
-        for p in self.parts:
-            inner = Change(p.name, p.sets, p.guard, p.clears, p.issue, p.parts).apply(out.withColumn("_outer", go))
-            out = inner.withColumn("_go", F.col("_outer")).drop("_outer")
+        for c in self.clears:
+            out = out.withColumn(c, F.when(~go, F.col(c)))
         for c, value in self.sets:
             out = out.withColumn(c, F.when(go, value).otherwise(F.col(c)))
-        if self.issue:
-            out = out.withColumn("issues", F.when(go, F.array_union("issues", F.array(F.lit(self.issue)))).otherwise(F.col("issues")))
+        if self.issues:
+            out = out.withColumn("issues", F.when(go, F.array_union("issues", F.array(*map(F.lit, self.issues)))).otherwise(F.col("issues")))
         return out.drop("_go")
 
 
+def _issues(issue: str | None) -> tuple[str, ...]:
+    return (issue,) if issue else ()
+
+
 def remove(name: str, columns: list[str], clears: tuple[str, ...] = (), issue: str | None = None, where: Column | None = None) -> Change:
     """Nulls columns, where any of them has a value."""
     guard = present(columns) if where is None else present(columns) & where
-    return Change(name, tuple((c, F.lit(None)) for c in columns), guard, clears, issue)
+    return Change(name, tuple((c, F.lit(None)) for c in columns), guard, clears, _issues(issue))
 
 
 def assign(name: str, column: str, value, issue: str | None = None, where: Column | None = None) -> Change:
     """Sets a constant (or null)."""
-    return Change(name, ((column, F.lit(value)),), F.lit(True) if where is None else where, (), issue)
+    return Change(name, ((column, F.lit(value)),), F.lit(True) if where is None else where, (), _issues(issue))
 
 
 def choose(name: str, target: str, columns: list[str], issue: str | None = None) -> Change:
     """Sets the first value there is."""
-    return Change(name, ((target, F.coalesce(*columns)),), present(columns), (), issue)
+    return Change(name, ((target, F.coalesce(*columns)),), present(columns), (), _issues(issue))
 
 
 def join(name: str, target: str, columns: list[str], issue: str | None = None) -> Change:
     """Sets the values joined with a space, where all are there."""
-    return Change(name, ((target, F.concat_ws(" ", *columns)),), present(columns, every=True), (), issue)
+    return Change(name, ((target, F.concat_ws(" ", *columns)),), present(columns, every=True), (), _issues(issue))
 
 
 def suffix(name: str, column: str, text: str, downstream: tuple[str, ...] = (), issue: str | None = None) -> Change:
@@ -133,9 +133,10 @@ def suffix(name: str, column: str, text: str, downstream: tuple[str, ...] = (),
     new = F.concat(F.col(column), F.lit(text))
     ending = F.endswith(F.lower(F.col(column)), F.lit(text.lower()))
     follow = tuple((d, F.when(F.col(d) == F.col(column), F.concat(F.col(d), F.lit(text))).otherwise(F.col(d))) for d in downstream)
-    return Change(name, (*follow, (column, new)), F.col(column).isNotNull() & ~ending, (), issue)
+    return Change(name, (*follow, (column, new)), F.col(column).isNotNull() & ~ending, (), _issues(issue))
 
 
 def composite(name: str, parts: list[Change], issue: str | None = None) -> Change:
-    """All changes one after the other, where the guard of each holds of the template as it was."""
-    return Change(name, (), combined([p.guard for p in parts]), (), issue, tuple(Change(p.name, p.sets, F.lit(True) & F.col("_outer"), p.clears, p.issue, p.parts) for p in parts))
+    """All changes one after the other, where the guards of all hold of the template as it was; derived columns are cleared first."""
+    sets = tuple(x for p in parts for x in p.sets)
+    return Change(name, sets, combined([p.guard for p in parts]), tuple(dict.fromkeys(c for p in parts for c in p.clears)), tuple(i for p in parts for i in p.issues) + _issues(issue))

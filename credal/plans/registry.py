@@ -10,43 +10,11 @@ from pyspark.sql.window import Window
 
 from credal.functions import strings as S
 from credal.operators import hierarchy, matching, parameters
+from credal.plans import taxa  # noqa: F401  (registers its queries)
+from credal.plans.base import PLACES as _PLACES, QUERIES as _QUERIES, SQL as _SQL, places as _places, query as _query, rounded as _r, table as _t
 from credal.plans.network import Network
 from credal.sources import archive
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _r(c, n: int = 6):
-    return F.round(c, n)
-
-
-def _places(spark: SparkSession, d: str) -> DataFrame:
-    """A tree of a root, regions and nations: id, parent, name."""
-    region = _t(spark, d, "region").select((F.col("r_regionkey") + 1000).cast("long").alias("id"), F.lit(1).cast("long").alias("parent"), F.col("r_name").alias("name"))
-    nation = _t(spark, d, "nation").select((F.col("n_nationkey") + 10000).cast("long").alias("id"), (F.col("n_regionkey") + 1000).cast("long").alias("parent"), F.col("n_name").alias("name"))
-    root = spark.createDataFrame([(1, None, "WORLD")], "id long, parent long, name string")
-    return root.unionByName(region).unionByName(nation)
-
-
-_PLACES = """places AS (SELECT 1::BIGINT AS id, NULL::BIGINT AS parent, 'WORLD' AS name
-    UNION ALL SELECT r_regionkey + 1000, 1, r_name FROM region UNION ALL SELECT n_nationkey + 10000, n_regionkey + 1000, n_name FROM nation)"""
-
-
 @_query(f"""WITH {_PLACES}, t AS (
     SELECT id, '1' AS trail, 0 AS depth, '1' AS k FROM places WHERE parent IS NULL
     UNION ALL SELECT id, '1/' || id, 1, '1/' || lpad(id::VARCHAR, 20, '0') FROM places WHERE parent = 1
