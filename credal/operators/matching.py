@@ -77,7 +77,7 @@ def single(matches: DataFrame, template_id: str, record_id: str) -> DataFrame:
 
     matches: template, record, posterior, evidence, conditional.
     """
-    best = F.max_by(F.struct(record_id, "posterior", "conditional"), F.struct("posterior", -F.col(record_id)))
+    best = F.min_by(F.struct(record_id, "posterior", "conditional"), F.struct(-F.col("posterior"), F.col(record_id)))
     fine = acceptable(F.col("posterior"), F.col("evidence"), F.col("conditional"))
     grouped = matches.groupBy(template_id).agg(best.alias("best"), F.sum(F.when(fine, 1).otherwise(0)).alias("n"), F.min(F.when(fine, F.col(record_id))).alias("only"))
     at_once = immediate(F.col("best.posterior"), F.col("best.conditional"))

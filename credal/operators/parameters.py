@@ -49,28 +49,24 @@ def any_of(boosts: Column) -> Column:
     return 1 - F.aggregate(boosts, F.lit(1.0), lambda acc, x: acc * (1 - x))
 
 
-def signed_conditionals(rows: DataFrame, outcome: str, inputs: list[str], weight: str, default: float = 1.0) -> DataFrame:
-    """outcome, inputs and p_<signs> for every sign pattern of the inputs (t: the row's value, f: not it): weight with the outcome over weight.
+def signed_weights(rows: DataFrame, outcome: str, inputs: list[str], weight: str, default: float = 1.0) -> DataFrame:
+    """outcome, inputs and, for every sign pattern of the inputs (t: the row's value, f: not it), g_<signs>, the weight of the pattern, and
+    b_<signs>, the weight of the pattern with the outcome.
 
     One row for each distinct combination with an outcome. "Not a value" holds of null as well. A null input is left out of the
-    evidence; where all are null the probability is 1 for the all-true pattern and 0 for others. Probabilities are clamped; a weight
-    of nothing gives the least.
-
-    All signed sums are inclusion-exclusion over positive marginals, and those come from grouping sets of one pre-aggregated table:
-    each combination looks up one marginal for each subset of the columns, so no combination meets another.
+    evidence. All signed sums are inclusion-exclusion over positive marginals, and those come from one pre-aggregated table: each
+    combination looks up one marginal for each subset of the columns, so no combination meets another.
     """
     w = F.coalesce(F.col(weight), F.lit(default))
     columns = [outcome, *inputs]
     names = [f"c{k}" for k in range(len(columns))]
     base = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(columns, names)]).agg(F.sum(w).alias("w"))
     masks = range(2 ** len(names))
-    held = lambda mask: [n for k, n in enumerate(names) if mask >> k & 1]
-    key = lambda mask: F.struct(*[(F.col(n) if n in held(mask) else F.lit(None).cast(base.schema[n].dataType)).alias(n) for n in names])
-    each = lambda pairs: F.explode(F.array(*[F.struct(F.lit(m).alias("want"), e.alias("mask"), k.alias("key")) for m, e, k in pairs]))
+    key = lambda mask: F.struct(*[(F.col(n) if mask >> k & 1 else F.lit(None).cast(base.schema[n].dataType)).alias(n) for k, n in enumerate(names)])
+    each = lambda pairs: F.explode(F.array(*[F.struct(F.lit(m).alias("want"), e.alias("mask"), F.to_json(k).alias("key")) for m, e, k in pairs]))
     there = lambda mask: sum((F.when(F.col(n).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k, n in enumerate(names) if mask >> k & 1), F.lit(0))
     sums = base.select("w", each([(m, F.lit(m), key(m)) for m in masks]).alias("e")).groupBy("e.mask", "e.key").agg(F.sum("w").alias("sum"))
-    sums = sums.select("mask", F.to_json("key").alias("key"), "sum")
-    wanted = base.where("c0 IS NOT NULL").select(*names, each([(m, there(m), key(m)) for m in masks]).alias("e")).select(*names, "e.want", "e.mask", F.to_json("e.key").alias("key"))
+    wanted = base.where("c0 IS NOT NULL").select(*names, each([(m, there(m), key(m)) for m in masks]).alias("e")).select(*names, "e.want", "e.mask", "e.key")
     found = wanted.join(sums, ["mask", "key"]).withColumn("id", F.to_json(F.struct(*names)))
     table = found.groupBy("id").agg(*[F.first(n).alias(n) for n in names], *[F.max(F.when(F.col("want") == m, F.col("sum"))).alias(f"w{m}") for m in masks])
 
@@ -86,15 +82,29 @@ def signed_conditionals(rows: DataFrame, outcome: str, inputs: list[str], weight
                 total = total + F.when(blank, 0.0).otherwise((-1.0) ** size * F.col(f"w{yes + sum(1 << (k + 1) for k in taken)}"))
         return total
 
-    blank = F.coalesce(*[F.col(n).cast("string") for n in names[1:]]).isNull()
+    both = [(prefix, signs) for prefix in "gb" for signs in itertools.product((True, False), repeat=len(inputs))]
+    return table.select(*[F.col(n).alias(c) for n, c in zip(names, columns)], *[signed(p == "b", s).alias(f"{p}_{sign_name(s)}") for p, s in both])
+
+
+def sign_name(signs: tuple[bool, ...]) -> str:
+    return "".join("t" if s else "f" for s in signs)
+
+
+def signed_conditionals(rows: DataFrame, outcome: str, inputs: list[str], weight: str, default: float = 1.0) -> DataFrame:
+    """outcome, inputs and p_<signs> for every sign pattern of the inputs: the pattern's weight with the outcome over its weight.
+
+    As ``signed_weights``, but where all inputs are null the probability is 1 for the all-true pattern and 0 for others. Probabilities
+    are clamped; a weight of nothing gives the least.
+    """
+    table = signed_weights(rows, outcome, inputs, weight, default)
+    blank = F.coalesce(*[F.col(n).cast("string") for n in inputs], F.lit(None).cast("string")).isNull() if inputs else F.lit(False)
     out = []
     for signs in itertools.product((True, False), repeat=len(inputs)):
-        under = signed(False, signs)
-        p = F.when(blank, 1.0 if all(signs) else 0.0).when(under < LEAST, LEAST).otherwise(clamp(signed(True, signs) / under))
-        out.append(p.alias("p_" + "".join("t" if s else "f" for s in signs)))
-    return table.select(*[F.col(n).alias(c) for n, c in zip(names, columns)], *out)
+        n = sign_name(signs)
+        out.append(F.when(blank, 1.0 if all(signs) else 0.0).otherwise(own_conditional(F.lit(0.0), F.col(f"b_{n}"), F.col(f"g_{n}"))).alias(f"p_{n}"))
+    return table.select(outcome, *inputs, *out)
 
 
 def own_conditional(own: Column, with_outcome: Column, given: Column) -> Column:
-    """The probability of an outcome among all records but the one supposed: its own weight is taken from both sums."""
+    """The clamped probability of an outcome among all records but the one supposed: its own weight is taken from both sums."""
     return F.when(given - own < LEAST, LEAST).otherwise(clamp((with_outcome - own) / (given - own)))

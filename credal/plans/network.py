@@ -6,7 +6,7 @@ import itertools
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -164,3 +164,55 @@ class Network:
                 chosen = F.when(signature == s, sub.posterior(hypothesis, {v: e for v, e in evidence.items() if v in sub.vertices}, parameter[s])[part]).otherwise(chosen)
             out[part] = chosen
         return out
+
+    def program(self, df: DataFrame, hypothesis: str, evidence: dict[str, Column], parameter: dict[str, Column], prior: Column) -> DataFrame:
+        """Adds evidence, conditional and posterior of a hypothesis to each row.
+
+        For either sign of the hypothesis, each source vertex in order has a weight for true and one for false: the sum over the signs of
+        the vertices between it and the sources above, of its probability, theirs, and the weights above. Vertices that are no source
+        count by evidence alone: null evidence allows both signs. The outputs' weights multiply to the probability of the evidence.
+        Cost is exponential in what lies between two sources, not in the network.
+        """
+        sources = (self.sources() | {hypothesis}) & set(self.vertices)
+        seen = {v: evidence.get(v, F.lit(None)).cast("boolean") for v in self.vertices}
+        allowed = lambda v, sign: F.when(seen[v].isNull() | (seen[v] == F.lit(sign)), 1.0).otherwise(0.0)
+        order = [v for v in self.ordered() if v in sources and v != hypothesis]
+        col = lambda h, v, sign: F.col(f"_{'t' if h else 'f'}_{v}_{'t' if sign else 'f'}")
+
+        def p(v: str, signs: dict[str, bool]) -> Column:
+            above = self.parents(v)
+            name = f"inf_{v}_t${''.join('t' if signs[x] else 'f' for x in above)}" if above else f"prior_{v}"
+            return parameter[name] if signs[v] else 1 - parameter[name]
+
+        def weight(h: bool, v: str, sign: bool) -> Column:
+            between, above, todo = [], [], list(self.parents(v))
+            while todo:
+                x = todo.pop(0)
+                if x in sources:
+                    above += [x] if x not in above else []
+                elif x not in between:
+                    between.append(x)
+                    todo += self.parents(x)
+            free = between + [x for x in above if x != hypothesis]
+            total = F.lit(0.0)
+            for signs in itertools.product((True, False), repeat=len(free)):
+                at = dict(zip(free, signs)) | {hypothesis: h, v: sign}
+                term = p(v, at)
+                for x in between:
+                    term = term * p(x, at) * allowed(x, at[x])
+                for x in above:
+                    term = term * col(h, x, at[x]) if x != hypothesis else term
+                total = total + term
+            return total * allowed(v, sign)
+
+        out = df
+        for v in order:
+            out = out.withColumns({f"_{'t' if h else 'f'}_{v}_{'t' if s else 'f'}": weight(h, v, s) for h in (True, False) for s in (True, False)})
+        made = [f"_{h}_{v}_{s}" for v in order for h in "tf" for s in "tf"]
+        result = {h: allowed(hypothesis, h) for h in (True, False)}
+        for v in self.outputs():
+            if v != hypothesis:
+                result = {h: r * (col(h, v, True) + col(h, v, False)) for h, r in result.items()}
+        out = out.withColumns({"_prior": prior, "_ph": result[True] * prior, "_pn": result[False] * (1 - prior)}).withColumn("evidence", F.col("_ph") + F.col("_pn"))
+        conditional = F.when(F.col("_prior") < 1e-9, 0.0).otherwise(F.col("_ph") / F.col("_prior"))
+        return out.withColumns({"conditional": conditional, "posterior": F.when(F.col("evidence") < 1e-9, 0.0).otherwise(F.col("_ph") / F.col("evidence"))}).drop("_prior", "_ph", "_pn", *made)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from credal.functions import names, taxonomy
 from credal.operators import conditions as C
 from credal.operators import decisions, hierarchy, matching, parameters, waves
+from credal.plans import resolver
 from credal.plans.base import PLACES, places, query, rounded, table
+from credal.plans.network import Network
 
 
 def _joined(c: Column) -> Column:
@@ -228,3 +230,31 @@ def suggested_names(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "part").groupBy(F.col("p_type").alias("name")).agg(F.count("*").cast("double").alias("weight"))
     asked = known.select(F.explode(F.split("name", " ")).alias("w")).select(F.left("w", F.lit(6)).alias("fragment")).distinct()
     return matching.suggest(known, asked).withColumn("score", rounded("score"))
+
+
+def _likely(column: str) -> str:
+    """The probability of agreeing or not on a column, with the record (1 less the least) and without it."""
+    other = f"least(1 - 1e-9, greatest(1e-9, (w_{column} - w) / (total - w)))"
+    return f"CASE WHEN t_{column} IS NULL OR {column} IS NULL THEN 1 WHEN t_{column} = {column} THEN {{}} ELSE 1 - {{}} END".format("1 - 1e-9", "(1 - 1e-9)"), f"CASE WHEN t_{column} IS NULL OR {column} IS NULL THEN 1 WHEN t_{column} = {column} THEN {other} ELSE 1 - {other} END"
+
+
+_LIKELY = [_likely(c) for c in ("brand", "kind", "size")]
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS id, lower(p_brand) AS brand, lower(p_type) AS kind, p_size AS size, p_retailprice::DOUBLE AS w FROM part),
+    a AS (SELECT *, sum(w) OVER (PARTITION BY brand) AS w_brand, sum(w) OVER (PARTITION BY kind) AS w_kind, sum(w) OVER (PARTITION BY size) AS w_size, sum(w) OVER () AS total FROM r),
+    t AS (SELECT id AS template, brand AS t_brand, kind AS t_kind, CASE WHEN id % 40 = 0 THEN size END AS t_size FROM r WHERE id % 20 = 0),
+    i AS (SELECT x, ln(1 + ((SELECT count(*) FROM r) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM (SELECT unnest([['b', brand], ['k', kind], ['s', size::VARCHAR]]) AS x FROM r) GROUP BY x),
+    p AS (SELECT *, CASE WHEN t_brand = brand THEN (SELECT idf FROM i WHERE x = ['b', brand]) ELSE 0 END + CASE WHEN t_kind = kind THEN (SELECT idf FROM i WHERE x = ['k', kind]) ELSE 0 END
+        + CASE WHEN t_size = size THEN (SELECT idf FROM i WHERE x = ['s', size::VARCHAR]) ELSE 0 END AS score FROM t, a WHERE t_brand = brand OR t_kind = kind OR t_size = size),
+    k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY template ORDER BY round(score, 9) DESC, id) <= 20),
+    e AS (SELECT template, id, w / total AS prior, {' * '.join(x for x, _ in _LIKELY)} AS yes, {' * '.join(x for _, x in _LIKELY)} AS no FROM k)
+    SELECT template, id, round(prior * yes / (prior * yes + (1 - prior) * no), 6) AS posterior, round(prior * yes + (1 - prior) * no, 6) AS evidence FROM e""")
+def resolved_parts(spark: SparkSession, d: str) -> DataFrame:
+    """An index over all parts, weighted by price, and the candidates' posteriors for the stated query set (every twentieth part, half without size)."""
+    k = F.col("p_partkey")
+    part = table(spark, d, "part").select(k.alias("id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("weight"))
+    model = resolver.Model(Network("parts", ["id", "brand", "kind", "size"], [("id", "brand"), ("id", "kind"), ("id", "size")]), "id")
+    asked = part.where("id % 20 = 0").select(F.col("id").alias("template"), "brand", "kind", F.when(F.col("id") % 40 == 0, F.col("size")).alias("size"))
+    out = resolver.score(model, resolver.build(model, part), asked, "template")
+    return out.select("template", "id", rounded("posterior").alias("posterior"), rounded("evidence").alias("evidence"))
