@@ -403,7 +403,7 @@ def join_sets(docs: DataFrame, sets: Sets, percent: int, id_col: str = "doc_id",
     one = index.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n", "prefix")).alias("x")).select("doc_id", "x.*")
     classes = materialise(one.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
     # A set of fewer shingles than this links only with equal ones.
-    alone = 100 // (100 - percent) if percent < 100 else 1 << 62
+    alone = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
     first = materialise(_first_pairs(_postings(classes.where(F.col("n") >= alone).select("rep", "n", "prefix"), percent, by_length), percent), "lists")
     reps = classes.select("rep", "n", "s1", "s2")
     sigs = index.select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "sig", "short").join(reps, ["rep", "n", "s1", "s2"], "left_semi").groupBy("rep", "n").agg(F.first("sig").alias("sig"), F.first("short").alias("short"))

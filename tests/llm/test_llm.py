@@ -123,6 +123,24 @@ def test_ngram_join_is_exact(spark, width, percent):
     assert {tuple(r) for r in ngram_join.link(df, width, percent).collect()} == _brute(rows, width, percent)
 
 
+@pytest.mark.parametrize("width,percent,least", [(3, 90, 9), (5, 80, 4), (1, 50, 1), (2, 67, 3)])
+def test_ngram_join_links_the_least_sets_with_those_of_one_more(spark, width, percent, least):
+    rows = []
+    for k in range(4):  # the least set and its extensions by a word; the set one smaller and its extension
+        w = [f"v{k}x{j}" for j in range(least + width + 1)]
+        rows += [(10 * k + j, " ".join(t)) for j, t in enumerate([w[1:-1], w[1:], w[:-1]] if k % 2 else [w[:-3], w[:-2]]) if t]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _brute(rows, width, percent)
+    assert {tuple(r) for r in ngram_join.link(df, width, percent).collect()} == want
+    assert {c for i, _, c in want if i // 10 == 1} == {10}
+
+
+def test_fingerprint_join_links_four_with_five(spark):
+    rows = [(10 * k + n, " ".join(f"the v{k}x{j} w{k}x{j}" for j in range(n))) for k in range(5) for n in (3, 4, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in spotsigs.link(df, 80).collect()} == {(i, i % 10, i - (i % 10 == 5)) for i, _ in rows}
+
+
 def test_ngram_join_on_odd_tables(spark, odd_docs, docs):
     got = ngram_join.link(odd_docs).collect()
     assert len(got) == odd_docs.count() and [r.component_id for r in got if r.doc_id is None] == [None]
