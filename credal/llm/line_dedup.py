@@ -5,8 +5,9 @@ Lines (between newlines) of at least ``min_words`` words are parsed by a tree of
 template that agrees with it in the largest share of positions, ``similarity`` at least (wildcards agree with
 all), and positions that differ become wildcards; else it begins a template. Lines enter a leaf in order of how many documents have them, so
 results don't depend on how rows are dealt. A template recurs when at least ``min_docs`` documents have a line of it
-(``long_docs`` for lines of at least ``long_words`` words); its lines then stay in the first of these documents (smallest
-id) and are dropped from the others.
+(``long_docs`` for lines of at least ``long_words`` words, ``short_docs`` for lines of fewer than ``short_words``, which repeat by
+chance); its lines then stay in the first of these documents (smallest id) and are dropped from the others. A line of up to
+``FIELDS`` words that are all variable fields is no template: its words stand for themselves.
 
 Only leaves that several documents reach are looked at line by line, found by exact counts of 64-bit leaf hashes. Counts are
 aggregated before they are shuffled, templates are parsed leaf by leaf from a sorted stream, and drops go back to their
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .arrays import LOWER_CODE, binary_column, mix, owner, per_text, prefix_hash, ragged, slices, span_hash, words
 from .runtime import hash_counts, marked, materialise, release
 
-MARK_BITS = 26
+MARK_BITS, FIELDS = 26, 4
 _NEWLINE, _DIGIT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _NEWLINE[10] = True
 _DIGIT[48:58] = True
@@ -41,7 +42,8 @@ def parse_lines(buf: np.ndarray, offsets: np.ndarray, depth: int, min_words: int
     start, end = words(buf, offsets)
     h = span_hash(prefix_hash(buf, LOWER_CODE), start, end)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[buf])])
-    h[digits[end] > digits[start]] = np.uint64(0)  # variable field
+    plain, variable = h.copy(), digits[end] > digits[start]
+    h[variable] = np.uint64(0)
     l_start, l_end = words(buf, offsets, _NEWLINE)
     cuts = np.append(np.searchsorted(start, l_start), len(start))
     count = np.diff(cuts)
@@ -50,6 +52,10 @@ def parse_lines(buf: np.ndarray, offsets: np.ndarray, depth: int, min_words: int
     number = breaks[l_start] - breaks[offsets[:-1]][text]
     keep = np.flatnonzero(count >= max(min_words, 1))
     first, count, text, number = cuts[:-1][keep], count[keep], text[keep], number[keep]
+    fixed = np.concatenate([[0], np.cumsum(~variable)])
+    bare = np.flatnonzero((count <= FIELDS) & (fixed[first + count] == fixed[first]))
+    own = ragged(first[bare], count[bare])
+    h[own] = plain[own]
     leaf = mix(count.astype(np.uint64), 5)
     for k in range(depth):
         some = count > k
@@ -148,10 +154,10 @@ def _templates(lines: DataFrame, similarity: float) -> DataFrame:
     return lines.repartition(parts, "leaf").sortWithinPartitions("leaf", F.desc("docs"), "line").mapInArrow(run, "leaf long, line long, template long")
 
 
-def find_drops(docs: DataFrame, depth: int = 4, min_words: int = 5, min_docs: int = 3, long_words: int = 30, long_docs: int = 2, similarity: float = 0.8) -> DataFrame:
+def find_drops(docs: DataFrame, depth: int = 4, min_words: int = 1, min_docs: int = 3, long_words: int = 30, long_docs: int = 2, similarity: float = 0.8, short_words: int = 3, short_docs: int = 11) -> DataFrame:
     """uid, numbers: the numbers of each document's lines to drop. docs: uid, doc_id, text."""
     lines = materialise(_lines(docs, depth, min_words), "lines")
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min(min_docs, long_docs)).select("leaf")
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min(min_docs, long_docs, short_docs)).select("leaf")
     some = materialise(lines.join(leaves, "leaf", "left_semi"), "recurring")
     release(lines)
     known = materialise(some.groupBy("leaf", "line", "uid").agg(F.count("*").alias("k")).groupBy("leaf", "line").agg(F.count("*").alias("docs")), "known")
@@ -164,7 +170,7 @@ def find_drops(docs: DataFrame, depth: int = 4, min_words: int = 5, min_docs: in
     by_doc = named.groupBy("leaf", "template", "uid").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("number").alias("numbers"))
     by_doc = materialise(by_doc, "occurrences")
     recurs = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.first("n_words").alias("n_words"), F.min(F.struct("doc_id", "uid")).alias("home"))
-    recurs = recurs.where((F.col("docs") >= min_docs) | ((F.col("n_words") >= long_words) & (F.col("docs") >= long_docs))).select("leaf", "template", F.col("home.uid").alias("home"))
+    recurs = recurs.where((F.col("docs") >= F.when(F.col("n_words") < short_words, short_docs).otherwise(min_docs)) | ((F.col("n_words") >= long_words) & (F.col("docs") >= long_docs))).select("leaf", "template", F.col("home.uid").alias("home"))
     drops = by_doc.join(recurs, ["leaf", "template"]).where("uid <> home").groupBy("uid").agg(F.flatten(F.collect_list("numbers")).alias("numbers"))
     release(some)
     return materialise(drops, "drops")

@@ -285,6 +285,17 @@ def test_line_dedup(spark, odd_docs):
     assert line_dedup.dedup(odd_docs.where("false")).collect() == []
 
 
+def test_short_lines_that_recur_are_dropped(spark):
+    own = lambda i: f"{chr(97 + i)}own {chr(97 + i)}line"
+    rows = [(i, f"{own(i)}\nall rights reserved.\nPage {i} of 12\n{i} {i + 1}\nMenu\n{'Seldom seen' if i < 10 else own(i)}\n77", "en", "s", 9) for i in range(12)]
+    out = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out[0].dropped_lines == [] and out[0].text == rows[0][1]
+    assert all(out[i].dropped_lines == [1, 2, 4, 6] for i in range(1, 12))  # neither lines of other numbers nor two words in ten documents
+    rows = [(i, f"{own(i)}\nIn three documents\n{'In two documents' if i < 2 else own(i)}", "en", "s", 9) for i in range(3)]
+    out = {r.doc_id: r.dropped_lines for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {0: [], 1: [1], 2: [1]}
+
+
 def test_line_dedup_leaves_one_of_each_copy(spark):
     text = "\n".join(" ".join(f"{chr(97 + k)}{j}word"[::-1] + "z" * j for j in range(9)) for k in range(4)).replace("1", "one").translate(str.maketrans("023456789", "abcdefghi"))
     out = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame([(i, text, "en", "s", 1) for i in (4, 2, 9)], DOCS)).collect()}
