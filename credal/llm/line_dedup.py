@@ -6,7 +6,9 @@ template that agrees with it in the largest share of positions, ``similarity`` a
 all), and positions that differ become wildcards; else it begins a template. Lines enter a leaf in order of how many documents have them, so
 results don't depend on how rows are dealt. A template recurs when at least ``min_docs`` documents have a line of it
 (``long_docs`` for lines of at least ``long_words`` words, ``short_docs`` for lines of fewer than ``short_words``, which repeat by
-chance); its lines then stay in the first of these documents (smallest id) and are dropped from the others. A line of up to
+chance); its lines then stay in the first of these documents (smallest id) and are dropped from the others. A run of lines of
+at least ``long_words`` words together that two documents share is dropped from the second one, from the first to the last line
+that only these two have, wherever the line breaks are; empty lines don't end a run. A line of up to
 ``FIELDS`` words that are all variable fields is no template: its words stand for themselves.
 
 Only leaves that several documents reach are looked at line by line, found by exact counts of 64-bit leaf hashes. Counts are
@@ -21,6 +23,7 @@ are (n_chars, where there is one, is set to the new length). An empty table give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +74,7 @@ def parse_lines(buf: np.ndarray, offsets: np.ndarray, depth: int, min_words: int
 
 
 def _lines(docs: DataFrame, depth: int, min_words: int) -> DataFrame:
-    """uid, doc_id, number, leaf, line, n_words of every long enough line."""
+    """uid, doc_id, number, place (among these lines), leaf, line, n_words of every long enough line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,12 +82,13 @@ def _lines(docs: DataFrame, depth: int, min_words: int) -> DataFrame:
             for lo, hi, buf, off in slices(batch.column(2)):
                 text, number, leaf, line, count, _, _ = parse_lines(buf, off, depth, min_words)
                 at = pa.array(text + lo)
+                place = np.arange(len(text)) - np.searchsorted(text, text)
                 yield pa.RecordBatch.from_arrays(
-                    [uid.take(at), doc.take(at), pa.array(number.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)), pa.array(count.astype(np.int32))],
-                    ["uid", "doc_id", "number", "leaf", "line", "n_words"],
+                    [uid.take(at), doc.take(at), pa.array(number.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)), pa.array(count.astype(np.int32))],
+                    ["uid", "doc_id", "number", "place", "leaf", "line", "n_words"],
                 )
 
-    return docs.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, number int, leaf long, line long, n_words int")
+    return docs.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, number int, place int, leaf long, line long, n_words int")
 
 
 def _line_words(docs: DataFrame, leaves: DataFrame, depth: int, min_words: int) -> DataFrame:
@@ -154,6 +158,146 @@ def _templates(lines: DataFrame, similarity: float) -> DataFrame:
     return lines.repartition(parts, "leaf").sortWithinPartitions("leaf", F.desc("docs"), "line").mapInArrow(run, "leaf long, line long, template long")
 
 
+class Runs:
+    """All runs of a sequence: the suffix automaton of its parts."""
+
+    def __init__(self):
+        self.step, self.up, self.size = [{}], [-1], [0]
+        self.last = 0
+
+    def part(self) -> None:
+        """No run reaches from what was added into what will be."""
+        self.last = 0
+
+    def add(self, key: int) -> None:
+        p = self.last
+        q = self.step[p].get(key)
+        if q is not None and self.size[q] == self.size[p] + 1:
+            self.last = q
+            return
+        cur = q if q is not None else self._state({}, 0, self.size[p] + 1)
+        if q is None:
+            while p >= 0 and key not in self.step[p]:
+                self.step[p][key] = cur
+                p = self.up[p]
+            if p < 0:
+                self.last = cur
+                return
+            q = self.step[p][key]
+            if self.size[q] == self.size[p] + 1:
+                self.up[cur], self.last = q, cur
+                return
+        copy = self._state(dict(self.step[q]), self.up[q], self.size[p] + 1)
+        self.up[q] = copy
+        self.last = copy if cur == q else cur
+        if cur != q:
+            self.up[cur] = copy
+        while p >= 0 and self.step[p].get(key) == q:
+            self.step[p][key] = copy
+            p = self.up[p]
+
+    def _state(self, step: dict, up: int, size: int) -> int:
+        self.step.append(step)
+        self.up.append(up)
+        self.size.append(size)
+        return len(self.step) - 1
+
+    def follow(self, state: int, size: int, key: int) -> tuple[int, int]:
+        """The longest run at the end of what was followed so far: its state and its size."""
+        while state and key not in self.step[state]:
+            state = self.up[state]
+            size = self.size[state]
+        return (self.step[state][key], size + 1) if key in self.step[state] else (0, 0)
+
+
+def shared_runs(one: list[tuple], other: list[tuple], long_words: int) -> set[int]:
+    """The places in other of runs of long_words or more that one has too. Both: place, key, words, by place."""
+    runs, before = Runs(), None
+    for place, key, _ in one:
+        if before is None or place != before + 1:
+            runs.part()
+        runs.add(key)
+        before = place
+    found: set[int] = set()
+    upto = np.concatenate([[0], np.cumsum([w for _, _, w in other])])
+    state, size, before, done = 0, 0, None, 0
+    for i, (place, key, _) in enumerate(other):
+        state, size = runs.follow(*((state, size) if before is not None and place == before + 1 else (0, 0)), key)
+        if upto[i + 1] - upto[i + 1 - size] >= long_words:
+            found.update(p for p, _, _ in other[max(done, i + 1 - size) : i + 1])
+            done = i + 1
+        before = place
+    return found
+
+
+def between_own(rows: list[tuple], found: set[int]) -> list[int]:
+    """The numbers of the found places, without lines of more documents at either end of a stretch. Rows: place, number, own."""
+    out: list[int] = []
+    held: list[int] = []
+    before = None
+    for place, number, own in rows:
+        if place not in found:
+            before = None
+            continue
+        if before is None or place != before + 1:
+            held, inside = [], False
+        before = place
+        if own:
+            out += [*(held if inside else []), number]
+            held, inside = [], True
+        else:
+            held.append(number)
+    return out
+
+
+def pair_segments(lines: list[dict], long_words: int) -> Iterator[tuple[tuple[int, int], list[dict]]]:
+    """The stretches of a document's lines (by place) that a pair of documents may share: lines of this pair or of more documents."""
+    pair, lo, after = None, 0, 0  # the stretch's pair and first line; the line after the pair's last one
+    for i, x in enumerate([*lines, None]):
+        broken = x is None or (i > 0 and x["place"] != lines[i - 1]["place"] + 1)
+        own = (x["home"], x["other"]) if x is not None and x["home"] is not None else None
+        if broken or (own is not None and own != pair):
+            if pair is not None and sum(y["words"] for y in lines[lo:i]) >= long_words:
+                yield pair, lines[lo:i]
+            if broken:
+                pair, lo = None, i
+            elif pair is not None:
+                lo = after
+        if own is not None:
+            pair, after = own, i + 1
+
+
+def _run_drops(by_doc: DataFrame, counts: DataFrame, long_words: int) -> DataFrame:
+    """uid, numbers: lines of the second of two documents in runs that both have."""
+    two = F.col("docs") == 2
+    known = counts.where("docs > 1").select("leaf", "template", F.when(two, F.col("home.uid")).alias("home"), F.when(two, F.col("away.uid")).alias("other"))
+    shared = by_doc.join(known, ["leaf", "template"]).select("uid", "n_words", F.xxhash64("leaf", "template").alias("key"), "home", "other", F.explode("at").alias("at"))
+    line = F.struct("at.place", "at.number", "key", F.col("n_words").alias("words"), "home", "other")
+    texts = shared.groupBy("uid").agg(F.array_sort(F.collect_set(line)).alias("lines"), F.count("home").alias("pairs")).where("pairs > 0").select("uid", "lines")
+    names = ["home", "other", "uid", "place", "number", "key", "words", "own"]
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(*pair, uid, x["place"], x["number"], x["key"], x["words"], x["home"] is not None) for uid, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for pair, some in pair_segments(lines, long_words) for x in some]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64(), pa.int32(), pa.bool_()])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in names)))
+        for (home, other), group in groupby(rows, lambda r: r[:2]):
+            sides: dict[int, list[tuple]] = {home: [], other: []}
+            for r in group:
+                sides[r[2]].append(r[3:])
+            found = shared_runs([(p, k, w) for p, _, k, w, _ in sides[home]], [(p, k, w) for p, _, k, w, _ in sides[other]], long_words)
+            found = between_own([(p, n, own) for p, n, _, _, own in sides[other]], found)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([other], pa.int64()), pa.array([found], pa.list_(pa.int32()))], ["uid", "numbers"])
+
+    parts = int(by_doc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = texts.mapInArrow(segments, "home long, other long, uid long, place int, number int, key long, words int, own boolean")
+    return made.repartition(parts, "home", "other").sortWithinPartitions("home", "other", "uid", "place").mapInArrow(run, "uid long, numbers array<int>")
+
+
 def find_drops(docs: DataFrame, depth: int = 4, min_words: int = 1, min_docs: int = 3, long_words: int = 30, long_docs: int = 2, similarity: float = 0.8, short_words: int = 3, short_docs: int = 11) -> DataFrame:
     """uid, numbers: the numbers of each document's lines to drop. docs: uid, doc_id, text."""
     lines = materialise(_lines(docs, depth, min_words), "lines")
@@ -166,12 +310,16 @@ def find_drops(docs: DataFrame, depth: int = 4, min_words: int = 1, min_docs: in
     templates = _templates(known.join(shared, "leaf", "left_semi").join(text, ["leaf", "line"]), similarity)
     # Lines alone in their leaf are their own templates; so is every line whose template is not another one's.
     moved = materialise(templates.where("template <> line").select("leaf", "line", "template"), "templates")
-    named = some.join(moved, ["leaf", "line"], "left").select("uid", "doc_id", "number", "n_words", "leaf", F.coalesce("template", "line").alias("template"))
-    by_doc = named.groupBy("leaf", "template", "uid").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("number").alias("numbers"))
+    named = some.join(moved, ["leaf", "line"], "left").select("uid", "doc_id", "number", "place", "n_words", "leaf", F.coalesce("template", "line").alias("template"))
+    by_doc = named.groupBy("leaf", "template", "uid").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list(F.struct("number", "place")).alias("at"))
     by_doc = materialise(by_doc, "occurrences")
-    recurs = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.first("n_words").alias("n_words"), F.min(F.struct("doc_id", "uid")).alias("home"))
-    recurs = recurs.where((F.col("docs") >= F.when(F.col("n_words") < short_words, short_docs).otherwise(min_docs)) | ((F.col("n_words") >= long_words) & (F.col("docs") >= long_docs))).select("leaf", "template", F.col("home.uid").alias("home"))
-    drops = by_doc.join(recurs, ["leaf", "template"]).where("uid <> home").groupBy("uid").agg(F.flatten(F.collect_list("numbers")).alias("numbers"))
+    place = F.struct("doc_id", "uid")
+    counts = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.first("n_words").alias("n_words"), F.min(place).alias("home"), F.max(place).alias("away"))
+    recurs = counts.where((F.col("docs") >= F.when(F.col("n_words") < short_words, short_docs).otherwise(min_docs)) | ((F.col("n_words") >= long_words) & (F.col("docs") >= long_docs))).select("leaf", "template", F.col("home.uid").alias("home"))
+    drops = by_doc.join(recurs, ["leaf", "template"]).where("uid <> home").select("uid", F.col("at.number").alias("numbers"))
+    if long_docs <= 2:
+        drops = drops.union(_run_drops(by_doc, counts, long_words))
+    drops = drops.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers"))
     release(some)
     return materialise(drops, "drops")
 

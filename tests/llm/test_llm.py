@@ -296,6 +296,33 @@ def test_short_lines_that_recur_are_dropped(spark):
     assert out == {0: [], 1: [1], 2: [1]}
 
 
+def test_shared_runs_against_brute_force():
+    rnd = random.Random(12)
+    for _ in range(300):
+        places = sorted(rnd.sample(range(40), 30))
+        one, other = ([(p, rnd.randint(0, 2), 0) for p in rnd.sample(places, 24)] for _ in range(2))
+        one, other = ([(p, k, k + 2) for p, k, _ in sorted(x)] for x in (one, other))
+        unbroken = lambda x: all(a[0] + 1 == b[0] for a, b in zip(x, x[1:]))
+        have = {tuple(k for _, k, _ in one[a:b]) for a in range(24) for b in range(a + 1, 25) if unbroken(one[a:b])}
+        want = {p for a in range(24) for b in range(a + 1, 25) if unbroken(other[a:b]) and sum(w for _, _, w in other[a:b]) >= 12 and tuple(k for _, k, _ in other[a:b]) in have for p, _, _ in other[a:b]}
+        assert line_dedup.shared_runs(one, other, 12) == want
+
+
+def test_runs_of_lines_that_two_documents_share_are_dropped(spark):
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    line = lambda k, n: " ".join(f"w{word(k)}x{word(j)}" for j in range(n))
+    passage = [line(1, 12), "", line(2, 2), line(3, 9), line(4, 10)]
+    rows = {
+        5: [line(50, 8), *passage, line(51, 8), line(5, 14), line(6, 15), line(52, 9)],
+        3: [*passage, line(30, 8), line(31, 9), line(5, 14), line(32, 9), line(6, 15)],  # 5 and 6 are apart here
+        8: [line(2, 2), line(80, 7), line(7, 16), line(8, 13)],
+        9: [line(7, 16), line(8, 13), line(90, 7), line(2, 2)],  # 29 words together
+        10: [line(2, 2), line(100, 8)],
+    }
+    df = spark.createDataFrame([(i, "\n".join(x), "en", "s", 1) for i, x in rows.items()], DOCS)
+    assert {r.doc_id: r.dropped_lines for r in line_dedup.dedup(df).collect()} == {3: [], 5: [1, 3, 4, 5], 8: [], 9: [], 10: []}
+
+
 def test_line_dedup_leaves_one_of_each_copy(spark):
     text = "\n".join(" ".join(f"{chr(97 + k)}{j}word"[::-1] + "z" * j for j in range(9)) for k in range(4)).replace("1", "one").translate(str.maketrans("023456789", "abcdefghi"))
     out = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame([(i, text, "en", "s", 1) for i in (4, 2, 9)], DOCS)).collect()}
