@@ -2,7 +2,8 @@
 
 With p the sources' shares of all tokens, weights are p ** alpha, normalised. alpha is found by bisection between 1 (as they
 are) and 0 (all sources alike): the smallest alpha whose weights have at most ``target_entropy`` (a fraction of the largest
-possible one) and ask no source for more than ``max_epochs`` passes at the budget. The budget is in tokens; by default it is the
+possible one) and ask no source for more than ``max_epochs`` passes at the budget. Where the shares as they are have more entropy,
+alpha goes beyond 1 (large sources gain) until the target is met or the passes forbid it; ``met`` and a warning say if it is not. The budget is in tokens; by default it is the
 smallest one that lets no source fall short of one pass, so nothing is left out and small sources are repeated.
 
 A source's tokens are realised as block permutations: in each pass its documents are dealt into blocks of about
@@ -20,6 +21,7 @@ the same places. Further columns are kept. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,11 +45,12 @@ class Mix:
     weights: dict[str | None, float]
     quota: dict[str | None, float]
     epochs: dict[str | None, float]
+    met: bool = True
 
 
 def weights_at(tokens: dict, alpha: float) -> dict:
-    total = sum(tokens.values())
-    raw = {s: (t / total) ** alpha if t else 0.0 for s, t in tokens.items()}
+    most = max(tokens.values())
+    raw = {s: (t / most) ** alpha if t else 0.0 for s, t in tokens.items()}
     return {s: w / sum(raw.values()) for s, w in raw.items()}
 
 
@@ -64,11 +67,17 @@ def choose(tokens: dict, budget: float | None = None, target_entropy: float = 1.
 
     def at(alpha: float) -> tuple[dict, float]:
         w = weights_at(full, alpha)
-        return w, budget if budget is not None else max(full[s] / w[s] for s in full)
+        return w, budget if budget is not None else max(full[s] / w[s] if w[s] else math.inf for s in full)
 
-    def fits(alpha: float) -> bool:
+    def even(alpha: float) -> bool:
+        return entropy(at(alpha)[0]) > limit + 1e-12
+
+    def allowed(alpha: float, slack: float = 0.0) -> bool:
         w, b = at(alpha)
-        return entropy(w) <= limit + 1e-12 and max(b * w[s] / full[s] for s in full) <= max_epochs + 1e-9
+        return b < math.inf and max(b * w[s] / full[s] for s in full) <= max_epochs + slack
+
+    def fits(alpha: float) -> bool:
+        return not even(alpha) and allowed(alpha, 1e-9)
 
     lo, hi = 0.0, 1.0
     if fits(0.0):
@@ -77,9 +86,20 @@ def choose(tokens: dict, budget: float | None = None, target_entropy: float = 1.
         for _ in range(60):  # alpha = 1 is kept even where the budget alone asks for more passes
             mid = (lo + hi) / 2
             lo, hi = (lo, mid) if fits(mid) else (mid, hi)
+    if even(1.0) and allowed(1.0) and len(set(full.values())) > 1:
+        lo, hi = 1.0, 2.0
+        while even(hi) and allowed(hi):
+            lo, hi = hi, 2 * hi
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if even(mid) and allowed(mid) else (lo, mid)
+        hi = hi if allowed(hi) else lo
     w, b = at(hi)
+    met = not even(hi)
+    if not met:
+        warnings.warn(f"mixing: entropy {entropy(w) / math.log(len(full)):.4f} of the largest at alpha {hi:.4f}, above the target of {target_entropy}", stacklevel=2)
     quota = {s: b * w.get(s, 0.0) for s in tokens}
-    return Mix(hi, b, {s: w.get(s, 0.0) for s in tokens}, quota, {s: quota[s] / full[s] if s in full else 0.0 for s in tokens})
+    return Mix(hi, b, {s: w.get(s, 0.0) for s in tokens}, quota, {s: quota[s] / full[s] if s in full else 0.0 for s in tokens}, met)
 
 
 def mix(docs: DataFrame, budget: float | None = None, target_entropy: float = 1.0, max_epochs: float = 2.0, seed: int = 11,

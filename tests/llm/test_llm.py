@@ -229,6 +229,19 @@ def test_mixing(spark):
     assert mixing.mix(df.where("false")).collect() == []
 
 
+def test_mixing_meets_targets_below_the_natural_entropy():
+    tokens = {f"s{k}": 1000 + 40 * k for k in range(20)}
+    share = lambda plan: mixing.entropy(plan.weights) / np.log(20)
+    assert share(mixing.choose(tokens)) > 0.99
+    plan = mixing.choose(tokens, None, 0.97, 20.0)
+    assert plan.met and plan.alpha > 1 and abs(share(plan) - 0.97) < 1e-6 and min(plan.epochs.values()) > 1 - 1e-9
+    with pytest.warns(UserWarning, match="above the target"):
+        plan = mixing.choose(tokens, None, 0.5, 4.0)
+    assert not plan.met and abs(max(plan.epochs.values()) - 4) < 1e-6 and share(plan) < 0.99
+    with pytest.warns(UserWarning, match="above the target"):
+        assert mixing.choose({"a": 5, "b": 5}, None, 0.9, 4.0).alpha == 1.0
+
+
 def test_fingerprints_of_edited_texts(spark, docs, odd_docs):
     rows = sorted([(r.doc_id, r.text or "") for r in docs.collect()], reverse=True)
     got = {r.doc_id: r for r in neighbours.edited_fingerprints(docs).collect()}
