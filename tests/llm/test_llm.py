@@ -135,6 +135,44 @@ def test_ngram_join_links_the_least_sets_with_those_of_one_more(spark, width, pe
     assert {c for i, _, c in want if i // 10 == 1} == {10}
 
 
+@pytest.mark.parametrize("percent", [50, 60, 80, 90])
+def test_ngram_join_at_every_boundary_of_nested_sets(spark, percent):
+    rows = []
+    for a in range(1, 41):
+        for b in range(a + 1, 42):
+            if abs(100 * a - percent * b) <= 100:  # on both sides of the threshold
+                rows += [(1000 * a + 10 * b + j, " ".join(f"v{a}x{b}x{k}" for k in range(m))) for j, m in enumerate((a, b))]
+    got = {r.doc_id: r.component_id for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent).collect()}
+    assert got == {i: i - (i % 10 if 100 * ((i // 1000)) >= percent * (i % 1000 // 10) else 0) for i, _ in rows}
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_ngram_join_answers_near_misses_from_their_leader(spark, percent, monkeypatch):
+    rnd = random.Random(percent)
+    base = [f"b{k}" for k in range(220)]
+    some = [f"e{k}" for k in range(40)]  # edits that recur, so that some copies meet through them alone
+    rows = [(0, " ".join(base))]
+    for i in range(1, 260):
+        w = list(base)
+        for k in rnd.sample(range(220), rnd.choice([4, 9, 14, 20, 26])):
+            w[k] = rnd.choice(some) if i % 3 else f"u{i}x{k}"
+        rows.append((i, " ".join(w)))
+    for i in range(300, 330):  # pairs beside the leader's links, near each other
+        w = [x if k % 7 else f"p{i // 2}x{k}" for k, x in enumerate(base)]
+        rows.append((i, " ".join(w[: 220 - i % 2])))
+    asked, own = [], ngram_join._derived_links
+    monkeypatch.setattr(ngram_join, "_derived_links", lambda *a: asked.append(own(*a)) or asked[0])
+    got = {tuple(r) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent).collect()}
+    assert got == _brute(rows, 1, percent) and asked[0].count() > 0
+
+
+def test_ngram_join_with_repeated_ids(spark):
+    text = lambda k: " ".join(f"t{k}x{j}" for j in range(30))
+    rows = [(i, text(2 * i + j)) for i in range(40) for j in (0, 1)] + [(100 + k, text(k) + " more") for k in range(80)] + [(5, text(10)), (7, ""), (300, "")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
+    assert got == {(i, 28, i) for i in range(40)} | {(100 + k, 29, k // 2) for k in range(80)} | {(7, 0, 7), (300, 0, 300)}
+
+
 def test_fingerprint_join_links_four_with_five(spark):
     rows = [(10 * k + n, " ".join(f"the v{k}x{j} w{k}x{j}" for j in range(n))) for k in range(5) for n in (3, 4, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
