@@ -6,16 +6,18 @@ possible one) and ask no source for more than ``max_epochs`` passes at the budge
 alpha goes beyond 1 (large sources gain) until the target is met or the passes forbid it; ``met`` and a warning say if it is not. The budget is in tokens; by default it is the
 smallest one that lets no source fall short of one pass, so nothing is left out and small sources are repeated.
 
-A source's tokens are realised as block permutations: in each pass its documents are dealt into blocks of about
-``block_tokens`` tokens by a seeded hash, blocks and documents in them are ordered by hash, and the pass is cut where the
-source's budget ends. Only the block that the budget ends in is cut inside. ``slot`` in [0, 1) is an occurrence's place
-in the mixed stream: sorting by it interleaves the sources by their weights.
-
-Sources, tokens and budgets are sums by source (bounded by the number of sources, which the driver sees). The cut of a
-source's last pass is one place in its order, found on ids and counts alone: first by block, then inside one block. Texts are
-only filtered by it, in place, so a hot source is as parallel as any. Null source: a source of its own. Null or
-empty text has 0 words, and a document without tokens is kept once. Repeated rows are documents of their own but go to
-the same places. Further columns are kept. An empty table gives an empty result.
+A source's tokens are realised as block permutations: in each pass its documents are dealt by a seeded hash into blocks of
+about ``block_tokens`` tokens (larger ones where a source would have more than its part of ``PLAN`` blocks), blocks and the
+documents in them are ordered by hash, and the pass is cut where the source's budget ends. Only the block that the budget
+ends in is cut inside. ``slot`` in [0, 1) is an occurrence's place in the mixed stream: the tokens of its source before it,
+to the block exactly and inside a block by hash, over the source's quota. Sorting by it interleaves the sources by weight.
+
+Sources, tokens and budgets are sums by source (at most ``SOURCES`` sources, else an error), sums of blocks at most ``PLAN`` a
+pass: this alone is collected or broadcast. The cut of a source's last pass is one place in its order, found on ids and
+counts: first by block, then inside one block. Texts are only filtered by it, in place, so a hot source is as parallel as
+any. Null source: a source of its own. Null or empty text has 0 words, and a document without tokens is kept once. Repeated
+rows are documents of their own but go to the same places. Further columns are kept, whatever their names; one named like a
+column that is added gives way to it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from pyspark.sql.window import Window
 
 from .runtime import materialise
 
+#: The columns that ``mix`` adds; the most sources; the most blocks of a pass, over all sources.
+ADDED = ("mix_tokens", "mix_weight", "mix_epoch", "mix_block", "slot")
+SOURCES, PLAN = 1 << 16, 1 << 16
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -104,40 +109,52 @@ def choose(tokens: dict, budget: float | None = None, target_entropy: float = 1.
 
 def mix(docs: DataFrame, budget: float | None = None, target_entropy: float = 1.0, max_epochs: float = 2.0, seed: int = 11,
         block_tokens: int = 1 << 18, tokens: Column | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """All columns of docs for every occurrence, and mix_tokens, mix_weight, mix_epoch (from 0), mix_block, slot.
+    """The columns of docs for every occurrence, and mix_tokens, mix_weight, mix_epoch (from 0), mix_block, slot.
 
     tokens: a document's token count; the words of its column ``text`` by default. A pass takes whole documents: the one in which the
     source's budget ends is the last.
     """
-    spark, names = docs.sparkSession, docs.columns
-    source, ident = F.col(f"`{source_col}`"), F.col(f"`{id_col}`").cast("long")
+    spark, names = docs.sparkSession, [c for c in docs.columns if c not in ADDED]
+    source, ident = F.col(f"`{source_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
     count = F.coalesce((tokens if tokens is not None else word_count(F.col("text"))).cast("long"), F.lit(0))
     # Ids and counts alone: all sums and cuts are found on these.
-    slim = materialise(docs.select(source.alias("_s"), ident.alias("_id"), count.alias("mix_tokens")), "mix")
-    totals = {r["_s"]: r["t"] or 0 for r in slim.groupBy("_s").agg(F.sum("mix_tokens").alias("t")).collect()}
+    slim = materialise(docs.select(source.alias("s"), ident.alias("id"), count.alias("n")), "mix")
+    totals = {r["s"]: r["t"] or 0 for r in slim.groupBy("s").agg(F.sum("n").alias("t")).limit(SOURCES + 1).collect()}
+    if len(totals) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
     chosen = choose({s: totals[s] for s in sorted(totals, key=lambda s: (s is not None, s or ""))}, budget, target_entropy, max_epochs)
     passes = {s: max(1, math.ceil(chosen.epochs[s] - 1e-9)) for s in totals}
-    # The source, its weight, quota, passes and blocks, and what its last pass may take; nothing where that is all of it.
-    rows = [(s, chosen.weights[s], chosen.quota[s], float(t), passes[s], max(1, math.ceil(t / block_tokens)), chosen.quota[s] - (passes[s] - 1) * t if chosen.quota[s] < passes[s] * t - 0.5 else None) for s, t in totals.items()]
-    table = spark.createDataFrame(rows, "_s string, mix_weight double, _quota double, _total double, _passes int, _blocks long, _left double")
+    most = max(1, PLAN // max(1, len(totals)))
+    # The source, its weight, tokens, quota, passes and blocks, and what its last pass may take; nothing where that is all of it.
+    rows = [(s, chosen.weights[s], float(t), max(chosen.quota[s], 1.0), passes[s], min(most, math.ceil(t / block_tokens) or 1), chosen.quota[s] - (passes[s] - 1) * t if chosen.quota[s] < passes[s] * t - 0.5 else None) for s, t in totals.items()]
+    table = spark.createDataFrame(rows, "ts string, weight double, total double, quota double, passes int, blocks long, room double")
 
     def dealt(df: DataFrame) -> DataFrame:
-        """With _h, mix_block and _bh, the order of documents and blocks in the pass mix_epoch."""
-        df = df.withColumn("_h", F.xxhash64(F.lit(seed), "mix_epoch", "_id")).withColumn("mix_block", F.pmod("_h", F.col("_blocks")))
-        return df.withColumn("_bh", F.xxhash64(F.lit(seed + 1), "mix_epoch", "mix_block"))
-
-    last = dealt(slim.where("mix_tokens > 0").join(F.broadcast(table.where("_left IS NOT NULL")), slim["_s"].eqNullSafe(table["_s"])).drop(table["_s"]).withColumn("mix_epoch", F.col("_passes") - 1))
-    before = lambda *order: F.coalesce(F.sum("_sum").over(Window.partitionBy("_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = last.groupBy("_s", "_bh", "mix_block").agg(F.sum("mix_tokens").alias("_sum"), F.first("_left").alias("_left")).withColumn("_before", before("_bh", "mix_block"))
-    edge = blocks.where("_before < _left AND _before + _sum >= _left").select(F.col("_s").alias("_es"), F.col("mix_block").alias("_eb"), (F.col("_left") - F.col("_before")).alias("_room"))
-    inside = last.join(F.broadcast(edge), F.col("_s").eqNullSafe(F.col("_es")) & (F.col("mix_block") == F.col("_eb")))
-    inside = inside.groupBy("_s", "_bh", "mix_block", "_h", "_id").agg(F.sum("mix_tokens").alias("_sum"), F.first("_room").alias("_room")).withColumn("_before", before("_h", "_id"))
-    cuts = inside.where("_before < _room").groupBy("_s").agg(F.max(F.struct("_bh", "mix_block", "_h", "_id")).alias("_cut"))
-    # One row a source: a broadcast bounded by the number of sources.
-    plan = table.join(cuts.withColumnRenamed("_s", "_cs"), F.col("_s").eqNullSafe(F.col("_cs")), "left").drop("_cs")
-    every = docs.withColumns({"mix_tokens": count, "_id": ident}).join(F.broadcast(plan), source.eqNullSafe(F.col("_s")))
-    every = dealt(every.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1))))
-    cut = F.col("_cut").isNotNull() & (F.col("mix_epoch") == F.col("_passes") - 1)
-    kept = F.when(F.col("mix_tokens") == 0, F.col("mix_epoch") == 0).otherwise(~cut | (F.struct("_bh", "mix_block", "_h", "_id") <= F.col("_cut")))
-    place = (F.col("mix_epoch") + (F.shiftright("_bh", 34) + (1 << 29)) / float(1 << 30)) / F.greatest(F.col("_quota") / F.greatest("_total", F.lit(1.0)), F.lit(1.0))
-    return every.where(kept).select(*[F.col(f"`{c}`") for c in names], "mix_tokens", "mix_weight", "mix_epoch", "mix_block", F.least(place, F.lit(1.0)).alias("slot"))
+        """With h, block and bh, the order of documents and blocks in the pass."""
+        df = df.withColumn("h", F.xxhash64(F.lit(seed), "s", "pass", "id")).withColumn("block", F.pmod("h", F.col("blocks")))
+        return df.withColumn("bh", F.xxhash64(F.lit(seed + 1), "s", "pass", "block"))
+
+    every = dealt(slim.join(F.broadcast(table), F.col("s").eqNullSafe(F.col("ts"))).withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))))
+    before = lambda part, order: F.coalesce(F.sum("sum").over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = every.groupBy("s", "pass", "bh", "block").agg(F.sum("n").alias("sum"), F.first("blocks").alias("blocks"), F.first(F.when(F.col("pass") == F.col("passes") - 1, F.col("room"))).alias("room"))
+    sums = materialise(sums.withColumn("before", before(["s", "pass"], ["bh", "block"])), "mixblocks")
+    edge = sums.where("before < room AND before + sum >= room").select(F.col("s").alias("es"), F.col("pass").alias("ep"), F.col("block").alias("eb"), (F.col("room") - F.col("before")).alias("left"))
+    inside = every.where("n > 0").join(F.broadcast(edge), F.col("s").eqNullSafe(F.col("es")) & (F.col("pass") == F.col("ep")) & (F.col("block") == F.col("eb")))
+    inside = inside.groupBy("s", "bh", "block", "h", "id").agg(F.sum("n").alias("sum"), F.first("left").alias("left")).withColumn("before", before(["s"], ["h", "id"]))
+    cuts = inside.where("before < left").groupBy("s").agg(F.max(F.struct("bh", "block", "h", "id")).alias("cut"))
+    # One row a source, with its blocks' sums by pass and block: at most PLAN of them a pass.
+    places = F.struct((F.col("pass") * F.col("blocks") + F.col("block")).alias("at"), F.col("before").cast("double").alias("before"), F.col("sum").cast("double").alias("sum"))
+    dense = table.select("ts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") * F.col("blocks") - 1)).alias("k")).join(sums.select("s", places.alias("p")), F.col("ts").eqNullSafe(F.col("s")) & (F.col("k") == F.col("p.at")), "left")
+    arrays = dense.groupBy("ts").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p.before", "p.sum"))), lambda x: F.struct(x["before"].alias("before"), x["sum"].alias("sum"))).alias("places"))
+    plan = table.join(cuts, F.col("ts").eqNullSafe(F.col("s")), "left").drop("s")
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    out = docs.select(row, source.alias("s"), ident.alias("id"), count.alias("n")).join(F.broadcast(plan), F.col("s").eqNullSafe(F.col("ts"))).drop("ts")
+    out = dealt(out.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))))
+    last = F.col("cut").isNotNull() & (F.col("pass") == F.col("passes") - 1)
+    kept = F.when(F.col("n") == 0, F.col("pass") == 0).otherwise(~last | (F.struct("bh", "block", "h", "id") <= F.col("cut")))
+    out = out.where(kept).join(F.broadcast(arrays), F.col("s").eqNullSafe(F.col("ts")))
+    place = F.expr("places[int(pass * blocks + block)]")
+    share = (F.shiftright("h", 34) + (1 << 29)) / float(1 << 30)
+    whole = F.when(F.col("room").isNull(), F.col("passes") * F.col("total")).otherwise(F.col("quota"))
+    done = F.when(F.col("total") > 0, (F.col("pass") * F.col("total") + place["before"] + place["sum"] * share) / whole).otherwise(share)
+    return out.select(*[F.col(f"row.`{c}`") for c in names], F.col("n").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.col("pass").alias("mix_epoch"), F.col("block").alias("mix_block"), F.least(done, F.lit(1 - 2.0**-40)).alias("slot"))

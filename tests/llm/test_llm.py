@@ -262,11 +262,39 @@ def test_mixing(spark):
         for s, quota in plan.quota.items():
             own = [r for r in out if r.source == s]
             assert s == "empty" or abs(sum(r.mix_tokens for r in own) - quota) <= 40
-        assert len({(r.doc_id, r.mix_epoch) for r in out}) == len(out) and all(0 <= r.slot <= 1 for r in out)
+        assert len({(r.doc_id, r.mix_epoch) for r in out}) == len(out) and all(0 <= r.slot < 1 for r in out)
         assert budget or len({r.doc_id for r in out}) == len(rows)
     assert mixing.mix(df.where("false")).collect() == []
 
 
+def test_mixing_is_a_brute_force_version_s(spark):
+    """Weights, kept occurrences and slots by plain loops over the documents, from the operator's blocks and hashes alone."""
+    rnd = random.Random(6)
+    rows = [(i, "w " * rnd.randint(1, 60), "en", rnd.choice(["a", "a", "a", "b", "b", "c"]), 7, "x", 1) for i in range(900)]
+    df = spark.createDataFrame(rows, DOCS + ", s string, slot int")
+    tokens = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in "abc"}
+    for budget in (None, 9_000, 40_000):
+        plan = mixing.choose(tokens, budget, 0.95, 4.0)
+        assert abs(mixing.entropy(plan.weights) - 0.95 * np.log(3)) < 1e-6 or not plan.met or max(plan.epochs.values()) > 4 - 1e-6 or budget
+        frame = mixing.mix(df, budget=budget, target_entropy=0.95, max_epochs=4.0, block_tokens=700)
+        assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars", "s", *mixing.ADDED]
+        out = frame.withColumn("h", F.xxhash64(F.lit(11), "source", "mix_epoch", "doc_id")).withColumn("bh", F.xxhash64(F.lit(12), "source", "mix_epoch", "mix_block")).collect()
+        for s, quota in plan.quota.items():
+            own = sorted([r for r in out if r.source == s], key=lambda r: (r.mix_epoch, r.bh, r.mix_block, r.h, r.doc_id))
+            at, total = 0, tokens[s]
+            for r in own:  # a pass is whole but the last one, which ends with the document that fills the quota
+                assert at < quota + 0.5 and abs(r.slot - at / max(quota, 1)) < 1500 / max(quota, 1) and abs(r.mix_weight - plan.weights[s]) < 1e-12
+                at += r.mix_tokens
+            assert quota - 1 <= at <= quota + 60 and [r.slot for r in own] == sorted(r.slot for r in own)
+            for e in range(int(quota // total)):
+                assert sum(r.mix_tokens for r in own if r.mix_epoch == e) == total
+        stream, whole = sorted(out, key=lambda r: r.slot), sum(r.mix_tokens for r in out)
+        for k in range(4):  # quarters of the stream hold the sources at their weights
+            part = [r for r in stream if k / 4 <= r.slot < (k + 1) / 4]
+            for s, w in plan.weights.items():
+                assert abs(sum(r.mix_tokens for r in part if r.source == s) / sum(r.mix_tokens for r in part) - w) < 0.08 + 1200 / whole
+
+
 def test_mixing_meets_targets_below_the_natural_entropy():
     tokens = {f"s{k}": 1000 + 40 * k for k in range(20)}
     share = lambda plan: mixing.entropy(plan.weights) / np.log(20)
