@@ -1,23 +1,28 @@
 """Line dedup by a log-template tree.
 
-Lines (between newlines) of at least ``min_words`` words are parsed by a tree of fixed depth: token count, then the leading
-``depth`` tokens, then the leaf's templates. A token with a digit is a variable field. Within a leaf a line joins the
-template that agrees with it in the largest share of positions, ``similarity`` at least (wildcards agree with
-all), and positions that differ become wildcards; else it begins a template. Lines enter a leaf in order of how many documents have them, so
-results don't depend on how rows are dealt. A template recurs when at least ``min_docs`` documents have a line of it
-(``long_docs`` for lines of at least ``long_words`` words, ``short_docs`` for lines of fewer than ``short_words``, which repeat by
-chance); its lines then stay in the first of these documents (smallest id) and are dropped from the others. A run of lines of
-at least ``long_words`` words together that two documents share is dropped from the second one, from the first to the last line
-that only these two have, wherever the line breaks are; empty lines don't end a run. A line of up to
-``FIELDS`` words that are all variable fields is no template: its words stand for themselves.
-
-Only leaves that several documents reach are looked at line by line, found by exact counts of 64-bit leaf hashes. Counts are
-aggregated before they are shuffled, templates are parsed leaf by leaf from a sorted stream, and drops go back to their
-documents as line numbers, which built-in functions then cut out.
+Lines (between newlines) are parsed by a tree of fixed depth: token count, then the leading ``depth`` tokens, then the leaf's
+templates. A token with a digit is a variable field. Within a leaf a line joins the template that agrees with it in the
+largest share of positions, ``similarity`` at least (wildcards agree with all), and positions that differ become wildcards;
+else it begins a template. A line of up to ``FIELDS`` words that are all variable fields is no template: its words stand for
+themselves. A leaf's lines are dealt by hash into ``PARTS`` parts, each parsed by itself, and then the parts' templates are parsed
+in the same way, so a leaf that a third of all lines reach is spread over tasks. Lines (templates) enter in order of how many
+documents have them, so results don't depend on how rows are dealt.
+
+One rule says what recurs, for lines of any length: a template whose repeats hold ``repeated_words`` words at least, counted as
+(documents that have it - 1) * words. Its lines stay in the first of these documents (smallest id; ``keep_first`` false: in none)
+and are dropped from the others. The same rule holds for runs of lines: one of as many words that two documents share is
+dropped from the second one, from the first to the last line that only these two have, wherever the line breaks are;
+empty lines don't end a run.
+
+Lines are counted first, by 64-bit hashes; only leaves that several documents reach are parsed, found by exact counts. Counts
+are aggregated before they are shuffled, and drops go back to their documents as line numbers, which built-in functions then
+cut out. Words are compared by 32 bits of their hashes: two different words in one place of one leaf pass for the same once
+in four billion cases.
 
 Null text stays null and has no lines; empty texts stay; a document all of whose lines are dropped keeps an empty text. Rows
-that repeat id and text count as one document. A null id is an id like others, before all. Further columns are kept as they
-are (n_chars, where there is one, is set to the new length). An empty table gives an empty result.
+that repeat id and text count as one document. A null id is an id like others, before all. Ties in the number of documents go
+by hash. Further columns are kept as they are, whatever their names (n_chars, where there is one, is set to the new length;
+a column named like one that is added gives way). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,15 +38,17 @@ from pyspark.sql import functions as F
 from .arrays import LOWER_CODE, binary_column, mix, owner, per_text, prefix_hash, ragged, slices, span_hash, words
 from .runtime import hash_counts, marked, materialise, release
 
-MARK_BITS, FIELDS = 26, 4
+MARK_BITS, FIELDS, PARTS = 26, 4, 16
+#: The columns that ``dedup`` adds.
+ADDED = ("dropped_lines", "first_lines")
 _NEWLINE, _DIGIT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _NEWLINE[10] = True
 _DIGIT[48:58] = True
 _BASE, _MASK = 0xD6E8FEB86659FD93, (1 << 64) - 1
 
 
-def parse_lines(buf: np.ndarray, offsets: np.ndarray, depth: int, min_words: int):
-    """Of the long enough lines: text, line number, leaf hash, line hash, word count; and the words' hashes and line offsets."""
+def parse_lines(buf: np.ndarray, offsets: np.ndarray, depth: int):
+    """Of the lines with words: text, line number, leaf hash, line hash, word count; and the words' hashes and line offsets."""
     start, end = words(buf, offsets)
     h = span_hash(prefix_hash(buf, LOWER_CODE), start, end)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[buf])])
@@ -53,7 +60,7 @@ def parse_lines(buf: np.ndarray, offsets: np.ndarray, depth: int, min_words: int
     text = owner(per_text(l_start, offsets))
     breaks = np.concatenate([[0], np.cumsum(_NEWLINE[buf])])
     number = breaks[l_start] - breaks[offsets[:-1]][text]
-    keep = np.flatnonzero(count >= max(min_words, 1))
+    keep = np.flatnonzero(count > 0)
     first, count, text, number = cuts[:-1][keep], count[keep], text[keep], number[keep]
     fixed = np.concatenate([[0], np.cumsum(~variable)])
     bare = np.flatnonzero((count <= FIELDS) & (fixed[first + count] == fixed[first]))
@@ -73,14 +80,14 @@ def parse_lines(buf: np.ndarray, offsets: np.ndarray, depth: int, min_words: int
     return text, number, leaf, line, count, h, first
 
 
-def _lines(docs: DataFrame, depth: int, min_words: int) -> DataFrame:
-    """uid, doc_id, number, place (among these lines), leaf, line, n_words of every long enough line."""
+def _lines(docs: DataFrame, depth: int) -> DataFrame:
+    """uid, doc_id, number, place (among these lines), leaf, line, n_words of every line with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, doc = batch.column(0), batch.column(1)
             for lo, hi, buf, off in slices(batch.column(2)):
-                text, number, leaf, line, count, _, _ = parse_lines(buf, off, depth, min_words)
+                text, number, leaf, line, count, _, _ = parse_lines(buf, off, depth)
                 at = pa.array(text + lo)
                 place = np.arange(len(text)) - np.searchsorted(text, text)
                 yield pa.RecordBatch.from_arrays(
@@ -91,7 +98,7 @@ def _lines(docs: DataFrame, depth: int, min_words: int) -> DataFrame:
     return docs.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, number int, place int, leaf long, line long, n_words int")
 
 
-def _line_words(docs: DataFrame, leaves: DataFrame, depth: int, min_words: int) -> DataFrame:
+def _line_words(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
     """leaf, line, words (unsigned 32 bits each) of the lines in the leaves (and in few others, by the marks' collisions)."""
 
     def leaf_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -103,7 +110,7 @@ def _line_words(docs: DataFrame, leaves: DataFrame, depth: int, min_words: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, buf, off in slices(batch.column(0)):
-                _, _, leaf, line, count, h, first = parse_lines(buf, off, depth, min_words)
+                _, _, leaf, line, count, h, first = parse_lines(buf, off, depth)
                 hit = np.flatnonzero(marked(marks.value, leaf, MARK_BITS))
                 hit = hit[np.unique(line[hit], return_index=True)[1]]
                 flat = (h[ragged(first[hit], count[hit])] >> np.uint64(32)).astype(np.uint32)
@@ -121,41 +128,74 @@ class Leaf:
     def __init__(self, size: int, similarity: float):
         self.rows, self.wild = np.zeros((4, size), np.uint32), np.zeros((4, size), bool)
         self.names: list[int] = []
+        self.docs: list[int] = []
         self.similarity = similarity
 
-    def place(self, line: int, own: np.ndarray) -> int:
-        """The template of a line, by the hash of the line that began it."""
+    def place(self, line: int, own: np.ndarray, wild: np.ndarray | None = None, docs: int = 0) -> int:
+        """The template of a line (or of a template with wildcards), by the hash of the line that began it."""
         n = len(self.names)
         if n:
             fits = (self.rows[:n] == own) | self.wild[:n]
+            if wild is not None:
+                fits |= wild
             share = fits.mean(axis=1)
             best = int(share.argmax())
             if share[best] >= self.similarity:
-                self.wild[best] |= ~fits[best]
+                self.wild[best] |= ~fits[best] if wild is None else ~fits[best] | wild
+                self.docs[best] += docs
                 return self.names[best]
             if n == len(self.rows):
                 self.rows, self.wild = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.wild))
         self.rows[n] = own
+        if wild is not None:
+            self.wild[n] = wild
         self.names.append(line)
+        self.docs.append(docs)
         return line
 
 
 def _templates(lines: DataFrame, similarity: float) -> DataFrame:
-    """line, template: leaves parsed one after the other from a stream sorted by leaf."""
+    """leaf, line, template of the lines whose template another line began. lines: leaf, line, docs, words."""
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["leaf", "line", "template", "docs", "words", "wild"]
+    schema = "leaf long, line long, template long, docs long, words binary, wild binary"
+
+    def parsed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+        """Rows without words: a line and its template. Rows with: a template of the group that the first ``keys`` columns name."""
+        now, leaf, out = None, None, []
+
+        def ended() -> list[tuple]:
+            return [(now[0], t, t, d, r.tobytes(), np.packbits(w).tobytes()) for t, d, r, w in zip(leaf.names, leaf.docs, leaf.rows, leaf.wild)] if leaf else []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), pa.schema([(n, pa.binary() if n in ("words", "wild") else pa.int64()) for n in names]))], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaf = None, None
         for b in batches:
-            out = []
-            for key, line, data in zip(b.column("leaf").to_pylist(), b.column("line").to_pylist(), b.column("words")):
-                own = np.frombuffer(data.as_py(), dtype=np.uint32)
+            wilds = b.column("wild") if "wild" in b.schema.names else None
+            for k, (line, docs, *key) in enumerate(zip(*(b.column(c).to_pylist() for c in ["line", "docs", "leaf", "part"][: 2 + keys]))):
+                own = np.frombuffer(b.column("words")[k].as_py(), dtype=np.uint32)
                 if key != now:
+                    out += ended()
                     now, leaf = key, Leaf(len(own), similarity)
-                out.append(leaf.place(line, own))
-            yield pa.RecordBatch.from_arrays([b.column("leaf"), b.column("line"), pa.array(out, pa.int64())], ["leaf", "line", "template"])
-
-    return lines.repartition(parts, "leaf").sortWithinPartitions("leaf", F.desc("docs"), "line").mapInArrow(run, "leaf long, line long, template long")
+                wild = np.unpackbits(np.frombuffer(wilds[k].as_py(), np.uint8), count=len(own)).astype(bool) if wilds is not None else None
+                template = leaf.place(line, own, wild, docs)
+                if template != line:
+                    out.append((key[0], line, template, None, None, None))
+                if len(out) >= 2000:
+                    yield batch()
+                    out.clear()
+        out += ended()
+        if out:
+            yield batch()
+
+    dealt = lines.withColumn("part", F.pmod("line", F.lit(PARTS)))
+    first = dealt.repartition(parts, "leaf", "part").sortWithinPartitions("leaf", "part", F.desc("docs"), "line").mapInArrow(lambda x: parsed(x, 2), schema)
+    first = materialise(first, "parts")
+    again = first.where("words IS NOT NULL").select("leaf", "line", "docs", "words", "wild").repartition(parts, "leaf").sortWithinPartitions("leaf", F.desc("docs"), "line")
+    second = materialise(again.mapInArrow(lambda x: parsed(x, 1), schema).where("words IS NULL").select("leaf", "line", "template"), "merged")
+    own = first.where("words IS NULL").select("leaf", "line", "template")
+    moved = own.join(second.select("leaf", F.col("line").alias("template"), F.col("template").alias("final")), ["leaf", "template"], "left").select("leaf", "line", F.coalesce("final", "template").alias("template"))
+    return moved.union(second)
 
 
 class Runs:
@@ -298,41 +338,58 @@ def _run_drops(by_doc: DataFrame, counts: DataFrame, long_words: int) -> DataFra
     return made.repartition(parts, "home", "other").sortWithinPartitions("home", "other", "uid", "place").mapInArrow(run, "uid long, numbers array<int>")
 
 
-def find_drops(docs: DataFrame, depth: int = 4, min_words: int = 1, min_docs: int = 3, long_words: int = 30, long_docs: int = 2, similarity: float = 0.8, short_words: int = 3, short_docs: int = 11) -> DataFrame:
-    """uid, numbers: the numbers of each document's lines to drop. docs: uid, doc_id, text."""
-    lines = materialise(_lines(docs, depth, min_words), "lines")
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min(min_docs, long_docs, short_docs)).select("leaf")
-    some = materialise(lines.join(leaves, "leaf", "left_semi"), "recurring")
-    release(lines)
-    known = materialise(some.groupBy("leaf", "line", "uid").agg(F.count("*").alias("k")).groupBy("leaf", "line").agg(F.count("*").alias("docs")), "known")
-    shared = known.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("docs")).where(F.col("n") > 1).where(F.col("docs") > 1).select("leaf")
-    text = _line_words(docs, shared, depth, min_words).groupBy("leaf", "line").agg(F.first("words").alias("words"))
-    templates = _templates(known.join(shared, "leaf", "left_semi").join(text, ["leaf", "line"]), similarity)
-    # Lines alone in their leaf are their own templates; so is every line whose template is not another one's.
-    moved = materialise(templates.where("template <> line").select("leaf", "line", "template"), "templates")
-    named = some.join(moved, ["leaf", "line"], "left").select("uid", "doc_id", "number", "place", "n_words", "leaf", F.coalesce("template", "line").alias("template"))
+def find_drops(docs: DataFrame, depth: int = 4, similarity: float = 0.8, repeated_words: int = 12, keep_first: bool = True) -> DataFrame:
+    """uid, numbers, firsts: the numbers of each document's lines to drop, and of recurring ones it keeps. docs: uid, doc_id, text."""
+    lines = materialise(_lines(docs, depth), "lines")
+    known = materialise(lines.groupBy("leaf", "line", "uid").agg(F.first("n_words").alias("n_words")).groupBy("leaf", "line").agg(F.count("*").alias("docs")), "known")
+    # A line recurs itself, or may share a template; what is alone in its leaf and in one document does neither.
+    leaves = known.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("docs")).where("docs > 1")
+    leaves = materialise(leaves, "leaves")
+    several = known.join(leaves.where("n > 1").select("leaf"), "leaf", "left_semi")
+    text = _line_words(docs, leaves.where("n > 1").select("leaf"), depth).groupBy("leaf", "line").agg(F.first("words").alias("words"))
+    moved = materialise(_templates(several.join(text, ["leaf", "line"]), similarity), "templates")
+    some = known.join(leaves.select("leaf"), "leaf", "left_semi").join(moved, ["leaf", "line"], "left").select("leaf", "line", F.coalesce("template", "line").alias("template"), "docs")
+    # Templates of one document have nothing to drop.
+    again = some.groupBy("leaf", "template").agg(F.sum("docs").alias("docs")).where("docs > 1").select("leaf", "template")
+    some = some.join(again, ["leaf", "template"], "left_semi").select("leaf", "line", "template")
+    named = lines.join(some, ["leaf", "line"]).select("uid", "doc_id", "number", "place", "n_words", "leaf", "template")
     by_doc = named.groupBy("leaf", "template", "uid").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list(F.struct("number", "place")).alias("at"))
     by_doc = materialise(by_doc, "occurrences")
     place = F.struct("doc_id", "uid")
     counts = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.first("n_words").alias("n_words"), F.min(place).alias("home"), F.max(place).alias("away"))
-    recurs = counts.where((F.col("docs") >= F.when(F.col("n_words") < short_words, short_docs).otherwise(min_docs)) | ((F.col("n_words") >= long_words) & (F.col("docs") >= long_docs))).select("leaf", "template", F.col("home.uid").alias("home"))
-    drops = by_doc.join(recurs, ["leaf", "template"]).where("uid <> home").select("uid", F.col("at.number").alias("numbers"))
-    if long_docs <= 2:
-        drops = drops.union(_run_drops(by_doc, counts, long_words))
-    drops = drops.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers"))
-    release(some)
+    recurs = counts.where((F.col("docs") - 1) * F.col("n_words") >= repeated_words).select("leaf", "template", F.col("home.uid").alias("home"))
+    stays = (F.col("uid") == F.col("home")) & F.lit(keep_first)
+    drops = by_doc.join(recurs, ["leaf", "template"]).select("uid", F.col("at.number").alias("numbers"), stays.alias("first"))
+    drops = drops.unionByName(_run_drops(by_doc, counts, repeated_words).withColumn("first", F.lit(False)))
+    every = lambda first: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("first") == first, F.col("numbers")))))
+    drops = drops.groupBy("uid").agg(F.array_sort(every(False)).alias("numbers"), every(True).alias("firsts"))
+    # A line kept as a template's first may lie in a run that an earlier document has.
+    drops = drops.withColumn("firsts", F.array_sort(F.array_except("firsts", "numbers")))
+    release(lines)
     return materialise(drops, "drops")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """All columns of docs with recurring lines cut out of the text, and ``dropped_lines``, the numbers of these lines."""
-    uid = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    rows = docs.select(uid.alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    drops = find_drops(rows, **rules).select(F.col("uid").alias("_uid"), F.col("numbers").alias("_numbers"))
-    both = docs.withColumn("_key", uid).join(drops.hint("shuffle_hash"), F.col("_key") == F.col("_uid"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda _, i: ~F.array_contains("_numbers", i)), "\n")
-    text = F.when(F.col("_numbers").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
-    out = both.withColumn(text_col, text).withColumn("dropped_lines", F.array_sort(F.coalesce("_numbers", F.array().cast("array<int>"))))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("dropped_lines") > 0, F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "dropped_lines")
+    """The columns of docs with recurring lines cut out of the text; ``dropped_lines``, the numbers of these lines, and
+    ``first_lines``, those of recurring lines that stay because no earlier document has them."""
+    names = [c for c in docs.columns if c not in ADDED]
+    ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    uid = F.xxhash64(ident, F.coalesce(text, F.lit("")))
+    drops = find_drops(docs.select(uid.alias("uid"), ident.alias("doc_id"), text.alias("text")), **rules)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), uid.alias("uid"))
+    both = rows.join(drops.select("uid", "numbers", "firsts").hint("shuffle_hash"), "uid", "left")
+    text = F.col(f"row.`{text_col}`")
+    lines = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("numbers"))  # by hash, so linear
+    cut = F.when(F.size(F.coalesce("numbers", F.array().cast("array<int>"))) == 0, text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    out = both.withColumn("cut", cut)
+    none = F.array().cast("array<int>")
+
+    def column(c: str):
+        if c == text_col:
+            return F.col("cut").alias(c)
+        if c == "n_chars":
+            return F.when(F.size("numbers") > 0, F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")).alias(c)
+        return F.col(f"row.`{c}`")
+
+    return out.select(*map(column, names), F.coalesce("numbers", none).alias("dropped_lines"), F.coalesce("firsts", none).alias("first_lines"))

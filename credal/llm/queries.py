@@ -72,7 +72,7 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs).select(
-        "doc_id", F.size("dropped_lines").cast("long").alias("n_dropped"), "dropped_lines", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+        "doc_id", F.size("dropped_lines").cast("long").alias("n_dropped"), "dropped_lines", "first_lines", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
     )
 
 

@@ -356,9 +356,11 @@ def test_line_dedup(spark, odd_docs):
     template = lambda name, n: f"Posted by {name} in the forum on day {n} of the old calendar"
     rows = [(i, f"{own(i)}\nThe end.\n{template('name' + chr(97 + i), i)}\n{passage if i in (2, 7) else own(i + 12)}", "en", "s", 9) for i in range(10)]
     out = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS), depth=2).collect()}
-    assert out[0].dropped_lines == [] and out[0].text == rows[0][1] and out[0].n_chars == 9
+    assert out[0].dropped_lines == [] and out[0].first_lines == [1, 2] and out[2].first_lines == [3] and out[0].text == rows[0][1] and out[0].n_chars == 9
+    everywhere = {r.doc_id: r.dropped_lines for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS), depth=2, keep_first=False).collect()}
+    assert everywhere == {i: [1, 2, 3] if i in (2, 7) else [1, 2] for i in range(10)}
     for i in range(1, 10):
-        assert out[i].dropped_lines == ([2, 3] if i == 7 else [2]) and own(i) in out[i].text and "The end." in out[i].text and out[i].n_chars == len(out[i].text)
+        assert out[i].dropped_lines == ([1, 2, 3] if i == 7 else [1, 2]) and own(i) in out[i].text and out[i].n_chars == len(out[i].text)
     odd = {(r.doc_id, r.text) for r in line_dedup.dedup(odd_docs).collect()}
     assert odd == {(r.doc_id, r.text) for r in odd_docs.collect()}
     assert line_dedup.dedup(odd_docs.where("false")).collect() == []
@@ -366,13 +368,81 @@ def test_line_dedup(spark, odd_docs):
 
 def test_short_lines_that_recur_are_dropped(spark):
     own = lambda i: f"{chr(97 + i)}own {chr(97 + i)}line"
-    rows = [(i, f"{own(i)}\nall rights reserved.\nPage {i} of 12\n{i} {i + 1}\nMenu\n{'Seldom seen' if i < 10 else own(i)}\n77", "en", "s", 9) for i in range(12)]
+    rows = [(i, f"{own(i)}\nall rights reserved.\nPage {i} of 12\n{i} {i + 1}\nMenu\n{'Seldom seen' if i < 6 else own(i)}\n77", "en", "s", 9) for i in range(13)]
     out = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
     assert out[0].dropped_lines == [] and out[0].text == rows[0][1]
-    assert all(out[i].dropped_lines == [1, 2, 4, 6] for i in range(1, 12))  # neither lines of other numbers nor two words in ten documents
-    rows = [(i, f"{own(i)}\nIn three documents\n{'In two documents' if i < 2 else own(i)}", "en", "s", 9) for i in range(3)]
+    assert all(out[i].dropped_lines == [1, 2, 4, 6] for i in range(1, 13))  # neither lines of other numbers nor ten words repeated
+    rows = [(i, f"{own(i)}\nIn five documents\n{'In four documents' if i < 4 else own(i)}", "en", "s", 9) for i in range(5)]
     out = {r.doc_id: r.dropped_lines for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
-    assert out == {0: [], 1: [1], 2: [1]}
+    assert out == {0: []} | {i: [1] for i in range(1, 5)}
+
+
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_line_dedup_is_a_plain_tree_s(spark, monkeypatch, keep_first):
+    """Trees, parts and drops by plain loops over words; hashes alone are the operator's."""
+    rnd = random.Random(9)
+    fixed = [[rnd.choice(["posted", "by", "in", "the", "menu", "home"]) for _ in range(rnd.choice([1, 2, 3, 6, 9]))] for _ in range(14)]
+    made = lambda: " ".join(w if rnd.random() > 0.12 else rnd.choice(["x", "yy", "7", "n12", "zed"]) for w in rnd.choice(fixed))
+    rows = [(i // 2 if i < 6 else i, "\n".join(made() if rnd.random() < 0.9 else "" for _ in range(rnd.randint(0, 9)))) for i in range(120)]
+    monkeypatch.setattr(line_dedup, "_run_drops", lambda by_doc, *_: by_doc.select("uid", F.col("at.number").alias("numbers")).where("false"))
+    df = spark.createDataFrame([(i, t, "_", 1) for i, t in rows], "doc_id long, text string, uid string, cut int")
+    out = line_dedup.dedup(df, depth=2, similarity=0.6, keep_first=keep_first)
+    assert out.columns == ["doc_id", "text", "uid", "cut", *line_dedup.ADDED]
+    every = []  # document, line number, leaf, line, words
+    for d, (i, text) in enumerate(rows):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        _, number, leaf, line, _, _, _ = line_dedup.parse_lines(buf, np.array([0, len(buf)]), 2)
+        for n, f, h in zip(number.tolist(), leaf.tolist(), line.view(np.int64).tolist()):
+            w = text.split("\n")[n].split()
+            masked = [None if any(c.isdigit() for c in x) else x for x in w]
+            every.append((d, n, f, h, w if len(w) <= line_dedup.FIELDS and not any(masked) else masked))
+    docs_of = lambda key: len({(rows[x[0]]) for x in every if key(x)})
+    WILD = object()
+
+    def placed(items):
+        found, where = [], {}
+        for name, docs, w in items:
+            share = [sum(a is WILD or b is WILD or a == b for a, b in zip(t[1], w)) / len(w) for t in found]
+            best = max(range(len(found)), key=lambda k: (share[k], -k), default=None)
+            if best is not None and share[best] >= 0.6:
+                found[best][1][:] = [a if a is not WILD and b is not WILD and a == b else WILD for a, b in zip(found[best][1], w)]
+                found[best][2] += docs
+                where[name] = found[best][0]
+            else:
+                found.append([name, list(w), docs])
+                where[name] = name
+        return found, where
+
+    template = {}
+    for f in {x[2] for x in every}:
+        lines = {x[3]: x[4] for x in every if x[2] == f}
+        docs = {h: docs_of(lambda x: x[2] == f and x[3] == h) for h in lines}
+        parts, first = [], {}
+        for k in range(line_dedup.PARTS):
+            found, where = placed([(h, docs[h], lines[h]) for h in sorted(lines, key=lambda h: (-docs[h], h)) if h % line_dedup.PARTS == k])
+            parts, first = parts + found, first | where
+        _, second = placed([(t, d, w) for t, w, d in sorted(parts, key=lambda t: (-t[2], t[0]))])
+        template |= {(f, h): (f, second[first[h]]) for h in lines}
+    want = {d: [] for d in range(len(rows))}
+    for t in set(template.values()):
+        have = sorted({rows[x[0]] for x in every if template[x[2], x[3]] == t}, key=lambda r: r[0])
+        words = len(next(x[4] for x in every if template[x[2], x[3]] == t))
+        if (len(have) - 1) * words >= 12:
+            for x in every:
+                if template[x[2], x[3]] == t and not (keep_first and rows[x[0]][0] == have[0][0] and rows[x[0]] in _firsts(have, spark)):
+                    want[x[0]].append(x[1])
+    got = sorted((r.doc_id, r.text, r.dropped_lines) for r in out.collect())
+    assert got == sorted((i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[d]), sorted(want[d])) for d, (i, t) in enumerate(rows))
+    assert sum(map(len, want.values())) > 100
+
+
+def _firsts(rows, spark):
+    """Of rows with the smallest id, the one whose hash is smallest."""
+    least = [r for r in set(rows) if r[0] == min(x[0] for x in rows)]
+    if len(least) == 1:
+        return least
+    df = spark.createDataFrame(least, "doc_id long, text string").withColumn("h", F.xxhash64("doc_id", "text"))
+    return [min(df.collect(), key=lambda r: r.h)[:2]]
 
 
 def test_shared_runs_against_brute_force():
@@ -390,12 +460,12 @@ def test_shared_runs_against_brute_force():
 def test_runs_of_lines_that_two_documents_share_are_dropped(spark):
     word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
     line = lambda k, n: " ".join(f"w{word(k)}x{word(j)}" for j in range(n))
-    passage = [line(1, 12), "", line(2, 2), line(3, 9), line(4, 10)]
+    passage = [line(1, 8), "", line(2, 2), line(3, 5), line(4, 6)]
     rows = {
-        5: [line(50, 8), *passage, line(51, 8), line(5, 14), line(6, 15), line(52, 9)],
-        3: [*passage, line(30, 8), line(31, 9), line(5, 14), line(32, 9), line(6, 15)],  # 5 and 6 are apart here
-        8: [line(2, 2), line(80, 7), line(7, 16), line(8, 13)],
-        9: [line(7, 16), line(8, 13), line(90, 7), line(2, 2)],  # 29 words together
+        5: [line(50, 8), *passage, line(51, 8), line(5, 7), line(6, 8), line(52, 9)],
+        3: [*passage, line(30, 8), line(31, 9), line(5, 7), line(32, 9), line(6, 8)],  # 5 and 6 are apart here
+        8: [line(2, 2), line(80, 7), line(7, 6), line(8, 5)],
+        9: [line(7, 6), line(8, 5), line(90, 7), line(2, 2)],  # 11 words together
         10: [line(2, 2), line(100, 8)],
     }
     df = spark.createDataFrame([(i, "\n".join(x), "en", "s", 1) for i, x in rows.items()], DOCS)
@@ -450,6 +520,29 @@ def test_edited_counts(spark):
         assert r.n_tokens == len(reference("byte_bpe_50k.json", text or "")) and r.edited_tokens == len(reference("byte_bpe_50k.json", now))
 
 
+def test_stages_on_awkward_tables(spark, odd_docs):
+    """Nulls, empty and long texts, repeated rows, clashing columns, empty tables: each stage keeps the columns and what its docstring says."""
+    import corpus_pipeline as c
+
+    clash = {k: F.lit(7) for k in ("row", "score", "slot", "uid", "s", "id", "other", "cut", "mix_tokens", "dropped_lines", "x", "hash", "n")}
+    docs = odd_docs.union(odd_docs.where("doc_id IN (4, 10)")).withColumns(clash)
+    key = lambda df: sorted(map(repr, df.select("doc_id", "text", "score", "row").collect()))
+    for name, stage in c.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = key(out)
+        if name.startswith("n-gram"):
+            assert len(rows) == docs.count() - 2 - 2 and sum(r.doc_id == 3 for r in out.collect()) == 1
+        elif name.startswith("line"):
+            assert len(rows) == docs.count()
+        else:
+            assert set(rows) <= set(key(docs)) and len(rows) >= (docs.count() if name.startswith("mixing") else 0)
+        empty = stage(spark, docs.where("false"), SF)
+        assert empty.columns == docs.columns and empty.collect() == []
+    packed = c.packing_stage(spark, docs, SF).collect()
+    assert len([r for r in packed if r.start == 0]) == docs.count() and c.packing_stage(spark, docs.where("false"), SF).collect() == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
