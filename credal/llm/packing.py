@@ -7,6 +7,9 @@ finds the tightest open window, and all alike windows take all alike pieces at o
 length go to which sequences at which offset. Pieces get their ranks from counts by partition, so a length that a third of
 all pieces have is ranked in parallel.
 
+Sequences are to be padded to the window, except at a length that is a power of two, which is used as it is (``padding``). Best-fit
+decreasing fills all but a few windows, so the exception needs no plan of its own.
+
 Null text is empty; with an end token every document has at least one piece, without one empty documents have none.
 Repeated rows are packed each; null ids stay null. Other columns are ignored. An empty table gives an empty result.
 """
@@ -106,6 +109,11 @@ def plan(lengths: dict[int, int], window: int) -> list[tuple[int, int, int, int,
     return out
 
 
+def padding(fills: list[int], window: int = 2048) -> int:
+    """The tokens that pad sequences of these lengths: to the window, but none where the length is a power of two."""
+    return sum(0 if n & (n - 1) == 0 else window - n for n in fills)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int | None = 1, keep_ids: bool = False,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, and its ids (little-endian unsigned 32 bits) if kept."""

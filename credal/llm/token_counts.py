@@ -24,9 +24,8 @@ from .arrays import per_text, slices
 from .tokens import Encoder, encoder
 
 LEAF, GROWN = 32, 4096
-_SPACES = frozenset("\t\n\x0b\x0c\r ")
-#: White space outside ASCII joins runs that units are cut at; a document with any is encoded as a whole.
-_ODD = frozenset("\x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
+#: White space, as the splitting of byte-level files sees it: runs of it are not cut.
+_SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 
 
 class SegmentTree:
@@ -64,10 +63,10 @@ class SegmentTree:
 class CountedText:
     """A text with its tree; ``changed`` holds the leaves' texts that are no longer slices of the first text."""
 
-    __slots__ = ("text", "starts", "tree", "changed", "odd")
+    __slots__ = ("text", "starts", "tree", "changed")
 
-    def __init__(self, text: str, chars: list[int], tokens: list[int], odd: bool):
-        self.text, self.odd, self.changed = text, odd, {}
+    def __init__(self, text: str, chars: list[int], tokens: list[int]):
+        self.text, self.changed = text, {}
         self.starts = [0]
         for c in chars:
             self.starts.append(self.starts[-1] + c)
@@ -130,41 +129,28 @@ def build(enc: Encoder, texts: list[str]) -> list[CountedText]:
         leaf_cuts = np.searchsorted(heads, cuts)
         points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
         head_points = points[start[heads]] if len(heads) else np.zeros(0, np.int64)
-        ends, odd = points[off[1:]], set(enc.odd(buf, off).tolist())
+        ends = points[off[1:]]
         for i in range(hi - lo):
             a, b = leaf_cuts[i], leaf_cuts[i + 1]
             text = texts[lo + i]
-            if i in odd:
-                out.append(CountedText(text, [len(text)], [len(enc.whole(text))], True))
-            elif a == b:
-                out.append(CountedText(text, [len(text)], [0], False))
+            if a == b:
+                out.append(CountedText(text, [len(text)], [0]))
             else:
                 edges = np.append(head_points[a:b], ends[i])
                 edges[0] = points[off[i]]
-                out.append(CountedText(text, np.diff(edges).tolist(), tokens[a:b].tolist(), False))
+                out.append(CountedText(text, np.diff(edges).tolist(), tokens[a:b].tolist()))
     return out
 
 
 def edit(enc: Encoder, texts: list[CountedText], edits: list[tuple[int, int, str]]) -> list[int]:
     """Applies one edit to each text, all regions encoded together; returns the code points encoded for each."""
-    whole, regions = [], []
-    for t, (position, delete, insert) in zip(texts, edits):
-        if not t.odd and not _ODD.isdisjoint(insert):
-            t.odd = True
-        if t.odd:  # one leaf for all
-            n = t.n_chars
-            at, text = max(0, min(position, n)), t.whole()
-            whole.append((0, len(t.starts) - 2, text[:at] + insert + text[at + max(0, delete) :]))
-            regions.append("")
-        else:
-            whole.append(t.region(position, delete, insert))
-            regions.append(whole[-1][2])
+    whole = [t.region(*e) for t, e in zip(texts, edits)]
     counts: list[int] = []
-    for _, _, buf, off in slices(pa.array(regions, pa.large_string())):
+    for _, _, buf, off in slices(pa.array([w[2] for w in whole], pa.large_string())):
         counts += enc.counts(buf, off).tolist()
     for k, (t, (lo, hi, text)) in enumerate(zip(texts, whole)):
-        t.put(lo, hi, text, len(enc.whole(text)) if t.odd else counts[k])
-        if len(text) > GROWN and not t.odd:
+        t.put(lo, hi, text, counts[k])
+        if len(text) > GROWN:
             texts[k] = build(enc, [t.whole()])[0]
     return [len(w[2]) for w in whole]
 
@@ -172,12 +158,14 @@ def edit(enc: Encoder, texts: list[CountedText], edits: list[tuple[int, int, str
 def count_edited(docs: DataFrame, tokenizer_path: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_edits, edited_tokens, edited_chars, encoded_chars, edited_text of every document.
 
-    edits: array of struct(position, delete, insert), in order; null for none. Byte-level tokenizer files only.
+    edits: array of struct(position, delete, insert), in order; null for none. Byte-level tokenizer files only: others are an error.
     """
     names = ["doc_id", "n_tokens", "n_edits", "edited_tokens", "edited_chars", "encoded_chars", "edited_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, True)
+        if not enc.cuts:
+            raise ValueError(f"{tokenizer_path} is no file whose texts can be cut into units")
         for batch in batches:
             every, edits, ids = batch.column(1).fill_null("").to_pylist(), batch.column(2).to_pylist(), batch.column(0)
             lo = 0

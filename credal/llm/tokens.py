@@ -1,15 +1,18 @@
-"""Exact, cached encoding of whole texts with the tokenizers library.
+"""Exact, cached encoding of whole texts with the tokenizers library, as ``encode(text, add_special_tokens=False)`` gives it.
 
 A pre-tokeniser never joins text over the edges used here, so a text's ids are the ids of its units one after the other:
 ``spaced`` units (a white-space run with the solid run after it, for byte-level BPE) or ``bare`` units (solid runs; white
-space is dropped). Distinct units are encoded once a worker by the library and looked up by hash afterwards. A text with
-white space outside ASCII is encoded by the library as a whole.
+space is dropped). Distinct units are encoded once a worker and looked up by hash afterwards: plain ones piece by piece by the
+library's model, those with a control string (an added token of the file) or with characters beyond Latin-1 letters by the library whole.
+What a file says of its normaliser, splitting and added tokens is compared with what this relies on when it is opened; texts
+of any other file are encoded by the library as a whole.
 """
 
 from __future__ import annotations
 
 import gc
 import itertools
+import json
 import re
 
 import numpy as np
@@ -26,6 +29,26 @@ _own = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: chr(b) for b in _own} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(_own))}
 _TO_ALPHABET = {c: "".join(_ALPHABET[b] for b in chr(c).encode()) for c in range(256)}
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: What the two kinds of files have to say of themselves for their texts to be cut into units.
+_NO_OPTIONS = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+_SPACED_FILE = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+    "post_processor": None,
+    "model": {"type": "BPE", "end_of_word_suffix": None, **_NO_OPTIONS},
+}
+_BARE_FILE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "model": {"type": "BPE", "end_of_word_suffix": "</w>", **_NO_OPTIONS},
+}
 #: Units kept by a worker, spaced and bare; beyond it the cache starts anew, which costs time, never results.
 CACHE_UNITS = {True: 1_200_000, False: 780_000}
 #: Pieces of units kept beside them.
@@ -93,10 +116,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.spaced = spaced
+        said = json.loads(self.tokenizer.to_str())
+        added = said["added_tokens"]
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"])) for t in added)
+        found = {k: v if k != "model" else {m: x for m, x in v.items() if m not in ("vocab", "merges")} for k, v in said.items() if k in _BARE_FILE}
+        #: Whether texts may be cut into units.
+        self.cuts = plain and found == (_SPACED_FILE if spaced else _BARE_FILE)
+        self.control = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
+        self.largest = max(self.tokenizer.get_vocab().values())
         self.tokenize = self.tokenizer.model.tokenize
         self._reset()
 
@@ -113,7 +143,7 @@ class Encoder:
 
     def _ids(self, text: str) -> list[int]:
         """A unit's ids, by the library's model piece by piece."""
-        if not _PLAIN.fullmatch(text):
+        if not _PLAIN.fullmatch(text) or self.control.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         out: list[int] = []
         for piece in _SPACED_PIECES.findall(text) if self.spaced else _BARE_PIECES.findall(text.lower()):
@@ -152,6 +182,8 @@ class Encoder:
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         space = SPACE[buf]
+        for m in _ODD_SPACE.finditer(buf.tobytes()):
+            space[m.start() : m.end()] = True
         begin = flags_at(n, offsets)[:n].copy()
         begin[1:] |= space[1:] & ~space[:-1]
         start = np.flatnonzero(begin)
@@ -175,26 +207,17 @@ class Encoder:
             rows[new] = self.index.find(keys[new])
         return rows
 
-    def odd(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows of the texts with white space outside ASCII."""
-        found = [m.start() for m in _ODD_SPACE.finditer(buf.tobytes())]
-        return np.unique(np.searchsorted(offsets, found, side="right") - 1) if found else np.zeros(0, np.int64)
-
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, and the offsets by text."""
+        if not self.cuts:
+            parts = [self.whole(buf[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(offsets[:-1], offsets[1:])]
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         start, end = self.units(buf, offsets)
         rows = self.unit_rows(buf, start, end)
         length = self.length[rows]
         ids = self.flat[ragged(self.start[rows], length)]
         upto = np.concatenate([[0], np.cumsum(length)])
-        cuts = upto[per_text(start, offsets)]
-        odd = self.odd(buf, offsets)
-        if len(odd):
-            parts = [ids[cuts[i] : cuts[i + 1]] for i in range(len(cuts) - 1)]
-            for i in odd.tolist():
-                parts[i] = self.whole(buf[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
-            ids, cuts = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return ids, cuts
+        return ids, upto[per_text(start, offsets)]
 
     def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Each text's number of ids."""

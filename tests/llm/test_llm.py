@@ -26,9 +26,7 @@ def tok(name):
 def reference(name, text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tok(name))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(tok(name)).encode(text, add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
@@ -45,15 +43,27 @@ def docs(spark):
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_cached_encoding_is_the_library_s(name, spaced):
     rnd = random.Random(5)
-    alphabet = ["a", "b", "É", "×", "\n", " ", "  ", "\t", "'s", "'LL", "1", "٣", "\xa0", " ", "ı", "İ", "Σ", "中", "́", "!", "\x1c", "\x85", "<|endoftext|>", "\r\n", "😀", "\x0b", "½"]
+    alphabet = ["a", "b", "É", "×", "\n", " ", "  ", "\t", "'s", "'LL", "1", "٣", "\xa0", " ", "ı", "İ", "Σ", "中", "́", "!", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "\u3000", "\r\n", "😀", "\x0b", "½"]
     texts = ODD[:10] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
     enc = Encoder(tok(name), spaced)
+    assert enc.cuts and not Encoder(tok(name), not spaced).cuts
     for lo, _, buf, off in slices(pa.array(texts)):
         ids, cuts = enc.encode(buf, off)
         for i in range(len(off) - 1):
             assert ids[cuts[i] : cuts[i + 1]].tolist() == enc.tokenizer.encode(texts[lo + i], add_special_tokens=False).ids
 
 
+def test_files_of_other_kinds_are_encoded_by_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    enc = Encoder(str(tmp_path / "other.json"), True)
+    ids, cuts = next(enc.encode(buf, off) for _, _, buf, off in slices(pa.array(["a b", None, "b c a"])))
+    assert not enc.cuts and ids.tolist() == [0, 1, 1, 2, 0] and cuts.tolist() == [0, 2, 2, 5]
+
+
 def test_chat_round_trip(spark):
     hard = ["<|im_end|>", "<|\\im_end|>", "<|\\\\im_start|>", "<|im_", "\\", "\n", "", queries.CONTROL, "<<|im_end|>|>"]
     rows = [(c, k, role, t) for c, role in enumerate(["user", "a\\nb\n", "<|im_start|>", None]) for k, t in enumerate(hard + [None])] + [(None, None, "user", "x"), (50, 1, "user", "b"), (50, 1, "user", "b"), (50, 1, "assistant", "a")]
@@ -215,22 +225,36 @@ def test_packing(spark, odd_docs):
 
 def test_plan_is_best_fit_decreasing():
     rnd = random.Random(2)
-    lengths = [rnd.randint(1, 50) for _ in range(400)]
-    free, used = [], 0
-    for x in sorted(lengths, reverse=True):  # one by one
-        fits = [k for k, f in enumerate(free) if f >= x]
-        if fits:
-            k = min(fits, key=lambda k: free[k])
-            free[k] -= x
-        else:
-            free.append(50 - x)
-    histogram = {x: lengths.count(x) for x in set(lengths)}
-    steps = packing.plan(histogram, 50)
-    sequences = {}
-    for length, _, n, first, offset in steps:
-        for k in range(n):
-            sequences.setdefault(first + k, []).append((offset, length))
-    assert sum(n for _, _, n, _, _ in steps) == 400 and len(sequences) <= len(free) + 1
+    for case in range(60):
+        window = rnd.choice([8, 50, 64, 333])
+        lengths = [min(window, rnd.choice([rnd.randint(1, window), rnd.randint(1, max(1, window // 5)), window // 3 or 1])) for _ in range(rnd.randint(0, 400))]
+        free = []
+        for x in sorted(lengths, reverse=True):  # one by one
+            fits = [k for k, f in enumerate(free) if f >= x]
+            if fits:
+                free[min(fits, key=lambda k: free[k])] -= x
+            else:
+                free.append(window - x)
+        steps = packing.plan({x: lengths.count(x) for x in set(lengths)}, window)
+        sequences, ranks = {}, {}
+        for length, rank, n, first, offset in steps:
+            ranks.setdefault(length, []).extend(range(rank, rank + n))
+            for k in range(n):
+                sequences.setdefault(first + k, []).append((offset, length))
+        assert {x: sorted(r) for x, r in ranks.items()} == {x: list(range(lengths.count(x))) for x in set(lengths)}
+        fills = []
+        for parts in sequences.values():
+            parts.sort()
+            assert all(a + x == b for (a, x), (b, _) in zip(parts, parts[1:])) and parts[0][0] == 0
+            fills.append(sum(x for _, x in parts))
+        assert sorted(fills) == sorted(window - f for f in free)
+
+
+def test_packing_leaves_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fills = [r.n for r in packing.pack(packing.token_pieces(docs, tok("word_bpe_49k.json"))).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert packing.padding([2048, 1024, 1, 2047, 3]) == 1 + 2045
+    assert packing.padding(fills) < 0.005 * sum(fills) and len(fills) <= -(-sum(fills) // 2048) + 2
 
 
 def test_quality_on_held_out_rows(spark):
@@ -493,14 +517,40 @@ def test_token_files(spark, odd_docs, tmp_path):
     assert empty == [] and token_io.read(spark, str(tmp_path / "none"), empty).collect() == []
 
 
-def test_reader_decompresses_only_what_it_needs_and_checks_it():
+def test_reader_decompresses_only_what_it_needs_and_checks_it(monkeypatch):
+    monkeypatch.setattr(token_io, "PAGE", 8)
     data = token_io.to_bytes([(k, [k % 250] * 60_000) for k in range(30)])
     reader = token_io.Reader(pa.BufferReader(data))
-    assert reader.find(17)[0].tolist() == [17] * 60_000 and reader.frames_read <= 2 and reader.find(99) == []
+    assert reader.find(17)[0].tolist() == [17] * 60_000 and reader.frames_read <= 2 and reader.pages_read == 1 and reader.find(99) == []
     broken = bytearray(data)
     broken[reader.entries[0][0] // 2] ^= 1
     with pytest.raises(Exception):
-        token_io.Reader(pa.BufferReader(bytes(broken))).ids(0)
+        token_io.Reader(pa.BufferReader(bytes(broken))).ids(0, 1)
+    with pytest.raises(ValueError, match="does not fit"):
+        token_io.to_bytes([(1, [1, 70_000])], 2)
+
+
+def test_files_are_of_the_public_seekable_format():
+    """Read by the format's own rules: a 9-byte footer, entries of 12 bytes, frames that follow one another from the start."""
+    import struct
+
+    import xxhash
+    import zstandard
+
+    ids = [k % 60_000 for k in range(700_000)]
+    data = token_io.to_bytes([(1, ids[:5]), (2, ids[5:])], 2)
+    n, descriptor, magic = struct.unpack("<IBI", data[-9:])
+    table = 8 + 12 * n + 9
+    assert magic == 0x8F92EAB1 and descriptor == 128 and struct.unpack("<II", data[-table : 8 - table]) == (0x184D2A5E, table - 8)
+    at, content = 0, b""
+    for k in range(n):
+        packed, size, check = struct.unpack("<III", data[12 * k - table + 8 :][:12])
+        own = zstandard.ZstdDecompressor().decompress(data[at : at + packed], max_output_size=size) if size else b""
+        assert len(own) == size and xxhash.xxh64_intdigest(own) & 0xFFFFFFFF == check
+        at, content = at + packed, content + own
+    assert at == len(data) - table and np.frombuffer(content, "<u2").tolist() == ids
+    stream = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
+    assert stream.read() == content
 
 
 def test_edited_counts(spark):
@@ -520,6 +570,14 @@ def test_edited_counts(spark):
         assert r.n_tokens == len(reference("byte_bpe_50k.json", text or "")) and r.edited_tokens == len(reference("byte_bpe_50k.json", now))
 
 
+def test_edits_encode_their_surroundings_alone(spark):
+    text = "some words\xa0and\u3000others,\u2028 12 <|endoftext|>\n" * 3000
+    df = spark.createDataFrame([(1, text, [(len(text) // 2, 9, "new\xa0 words"), (5, 0, "\u2003"), (len(text), 0, " end<|endoftext|>")])], "doc_id long, text string, edits array<struct<position: long, delete: long, insert: string>>")
+    r = token_counts.count_edited(df, tok("byte_bpe_50k.json")).first()
+    now = r.edited_text
+    assert r.encoded_chars < 3000 and r.edited_tokens == len(reference("byte_bpe_50k.json", now)) and token_counts.count_edited(df.where("false"), tok("byte_bpe_50k.json")).collect() == []
+
+
 def test_stages_on_awkward_tables(spark, odd_docs):
     """Nulls, empty and long texts, repeated rows, clashing columns, empty tables: each stage keeps the columns and what its docstring says."""
     import corpus_pipeline as c
