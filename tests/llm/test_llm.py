@@ -75,26 +75,41 @@ def test_chat_round_trip(spark):
     assert got[0].n_escaped == 5 and chat.digest(chat.format_conversations(df.where("false"))).collect() == []
 
 
-def test_ann_recall_ties_and_odd_vectors(spark):
+@pytest.mark.parametrize("dim", [32, 600])
+def test_ann_ties_and_odd_vectors(spark, dim):
     rng = np.random.default_rng(1)
-    base = rng.standard_normal((900, 32)).round(3)
+    base = rng.standard_normal((900, dim)).round(3)
     base[100:160] = base[100]
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(1000, None), (1050, [0.0] * 32), (1100, [float("nan")] * 32), (1150, [None] * 32), (None, [1.0] * 32), (1200, []), (1250, [1.0, 2.0]), (50, [9e9] * 32)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    base[200] *= 2.0**660
+    base[201], base[250] = base[200] * 2.0**-1040, base[200]
+    odd = [(1000, None), (1050, [0.0] * dim), (1100, [float("nan")] * dim), (1150, [None] * dim), (None, [1.0] * dim), (1200, []), (1250, [1.0, 2.0]), (50, [9e9] * dim)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + odd
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"cls": F.lit("clash"), "v": F.lit(1)})
     got = {}
     for r in ann.nearest(df, df.where("vec_id % 50 = 0"), k=5, block_rows=200, query_block_rows=8).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.vec_id)
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert set(got) == set(range(0, 900, 50))
-    kept = {i: min([v for j, v in rows if j == i and v]) for i in range(900)}
-    m = np.array([kept[i] for i in range(900)])
-    hits = 0
+    m = ann.unit(np.array([min([v for j, v in rows if j == i and v]) for i in range(900)]))
     for q, found in got.items():
-        s = ann.cosine(np.repeat(m[q : q + 1], 900, axis=0), m)
-        want = [int(i) for i in np.lexsort((np.arange(900), -s)) if i != q][:5]
-        hits += len(set(want) & set(found))
-        if q == 100:
-            assert found == [101, 102, 103, 104, 105]
-    assert hits >= 0.95 * 5 * len(got)
+        s = m @ m[q]
+        want = [int(i) for i in np.lexsort((np.arange(900), -s.round(12))) if i != q][:5]
+        assert [i for i, _ in found] == want and np.allclose([x for _, x in found], s[want], atol=1e-12)
+    assert [i for i, _ in got[100]] == [101, 102, 103, 104, 105]
+
+
+def test_ann_bounds_hold(spark):
+    rng = np.random.default_rng(3)
+    x, turn = rng.standard_normal((4000, 64)), ann.Rotation(64, 7)
+    codes, f = ann.encode(x, turn)
+    estimate, error = ann.bounds(codes, f, turn(ann.unit(x[:40])), 4.0)
+    assert (np.abs(estimate - ann.unit(x[:40]) @ ann.unit(x).T) <= error + 1e-6).mean() > 0.9997
+
+
+def test_ann_small_tables(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (7, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect()]
+    assert sorted(got) == [(0, 1, 50), (0, 2, 7), (50, 1, 0), (50, 2, 7)]
+    assert ann.nearest(df.where("false"), df).collect() == [] and ann.nearest(df, df.where("false")).collect() == []
 
 
 def _brute(rows, width, percent):
