@@ -3,11 +3,15 @@
 Each whole text gives a fixed vector of statistics, transformed to be roughly Gaussian. A class's model is its share, mean
 and shrunken covariance: (1 - shrinkage) * own + shrinkage * (pooled covariance mixed with its diagonal). The score is the
 class probability from the difference of the Mahalanobis log-densities, by Cholesky factors that are computed once. The
-fit uses every labelled row given to it, through class counts, sums and sums of products alone, which add up by partition.
+fit uses every labelled row given to it, through class counts, sums and sums of products about the labelled rows' mean (a first
+pass finds it, so nothing cancels), which add up by partition. Where no shrinkage is given, the largest of ``GRID`` is taken whose mean
+log-loss over ``FOLDS`` folds (dealt by a hash of the id) of the labelled rows is the least or within ``TIE`` of it; the folds' sums come
+from the same pass.
 
 Null text is empty; an empty text has the statistics of an empty text and a score like any other. Labels other than 0
-and 1, null labels and null ids are left out of the fit; several labels of an id each count. Without labels of a class the
-other class's share decides (0.5 without any). Other columns are ignored; an empty table gives an empty result.
+and 1, null labels and null ids are left out of the fit; several labels of an id each count, as do repeated rows. Without labels
+of a class the other class's share decides (0.5 without any). Columns of any name are kept beside the score, which takes the place of
+one named ``score``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import LOWER_CODE, distinct_sorted, owner, per_text, prefix_hash, slices, span_hash, words
+from .runtime import materialise, release
 from .spotsigs import ANCHORS, _anchor_table
 
+#: Shrinkages tried where none is given, the folds they are tried on, and what counts as a tie in mean log-loss.
+GRID, FOLDS, TIE = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7), 5, 1e-4
 FEATURES = (
     "log_bytes", "log_words", "word_length", "word_length_spread", "upper", "digit", "exclaim", "symbol", "comma_stop", "distinct_words",
     "repeated_word", "line_length", "distinct_lines", "common_words", "capitalised", "high_bytes", "byte_entropy", "long_words", "stops_per_word",
@@ -96,8 +104,8 @@ class Model:
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
-def model_of(sums: dict[int, tuple[int, np.ndarray, np.ndarray]], shrinkage: float, floor: float = 1e-4) -> Model:
-    """A model from each class's count, sum and sum of products."""
+def model_of(sums: dict[int, tuple[int, np.ndarray, np.ndarray]], shrinkage: float, center: np.ndarray | float = 0.0, floor: float = 1e-4) -> Model:
+    """A model from each class's count, sum and sum of products about ``center``."""
     d = len(FEATURES)
     n = [sums[c][0] if c in sums else 0 for c in (0, 1)]
     if not min(n):
@@ -113,12 +121,65 @@ def model_of(sums: dict[int, tuple[int, np.ndarray, np.ndarray]], shrinkage: flo
         lower = np.linalg.cholesky(shrunk)
         factor.append(np.linalg.inv(lower))
         log_det.append(2 * np.log(np.diag(lower)).sum())
-    return Model(np.log(np.array(n) / sum(n)), np.array(mean), np.array(factor), np.array(log_det), (n[0], n[1]))
+    return Model(np.log(np.array(n) / sum(n)), np.array(mean) + center, np.array(factor), np.array(log_det), (n[0], n[1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", shrinkage: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on all rows of ``docs`` that ``labels`` marks 0 or 1. What reaches the driver is two rows of sums a partition group."""
-    marks = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("label")).where("_id IS NOT NULL AND label IN (0, 1)")
+def _totals(rows: DataFrame, center: np.ndarray, products: bool) -> dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray]]:
+    """By fold and label: count, sum and, asked for, sum of products about ``center``. At most 2 * FOLDS rows of sums reach the driver a cell."""
+    d = len(FEATURES)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            group, x = batch.column(1).to_numpy(), batch.column(0).flatten().to_numpy().reshape(-1, d) - center
+            for g in np.unique(group).tolist():
+                own = x[group == g]
+                parts = [np.array([len(own)]), own.sum(axis=0)] + [(own.T @ own).ravel()] * products
+                sums[g] = sums.get(g, 0) + np.concatenate(parts)
+        for g, values in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), g), pa.int32()), pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], ["group", "cell", "value"])
+
+    total = rows.select("x", (F.col("fold") * 2 + F.col("label")).alias("group")).mapInArrow(gather, "group int, cell int, value double").groupBy("group", "cell").agg(F.sum("value").alias("value"))
+    flat: dict[int, np.ndarray] = {}
+    for r in total.collect():  # 2 * FOLDS groups by 1 + d + d * d cells
+        flat.setdefault(r["group"], np.zeros(1 + d + d * d))[r["cell"]] = r["value"]
+    return {(g // 2, g % 2): (int(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d)) for g, v in flat.items()}
+
+
+def _added(totals: dict, folds: set[int]) -> dict[int, tuple]:
+    """The sums of some folds by label."""
+    out: dict[int, tuple] = {}
+    for (fold, label), (n, s, p) in totals.items():
+        if fold in folds:
+            before = out.get(label, (0, 0.0, 0.0))
+            out[label] = (before[0] + n, before[1] + s, before[2] + p)
+    return out
+
+
+def choose_shrinkage(rows: DataFrame, totals: dict, center: np.ndarray) -> float:
+    """The largest shrinkage of GRID whose mean log-loss on left-out folds is within TIE of the least."""
+    models = {(f, s): model_of(_added(totals, set(range(FOLDS)) - {f}), s, center) for f in range(FOLDS) for s in GRID}
+    d = len(FEATURES)
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(GRID))
+        for batch in batches:
+            x, label, fold = batch.column(0).flatten().to_numpy().reshape(-1, d), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for f in np.unique(fold).tolist():
+                at = fold == f
+                for k, s in enumerate(GRID):
+                    p = np.clip(models[f, s].score(x[at]), 1e-12, 1 - 1e-12)
+                    sums[k] -= np.log(np.where(label[at] == 1, p, 1 - p)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(GRID)), pa.int32()), pa.array(sums)], ["k", "loss"])
+
+    found = {r["k"]: r["loss"] for r in rows.select("x", "label", "fold").mapInArrow(losses, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
+    n = max(1, sum(v[0] for v in totals.values()))
+    return max((GRID[k] for k in found if found[k] <= min(found.values()) + TIE * n), default=GRID[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", shrinkage: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fits on all rows of ``docs`` that ``labels`` marks 0 or 1."""
+    marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("marked"), F.col(f"`{label_col}`").cast("int").alias("label")).where("marked IS NOT NULL AND label IN (0, 1)")
     d = len(FEATURES)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,34 +188,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", shrinkag
                 x = statistics(buf, off)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float64()))], ["id", "x"])
 
-    # Texts are measured where they lie: only d numbers a document meet the labels.
+    # Texts are measured where they lie: only d numbers a document meet the labels, and only labelled ones are kept.
     ids = F.col(f"`{id_col}`").cast("long").alias("id")
-    rows = docs.select(ids, F.col(f"`{text_col}`").alias("text")).mapInArrow(measure, "id long, x array<double>").join(marks, F.col("id") == F.col("_id")).select("x", "label")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {c: [0, np.zeros(d), np.zeros((d, d))] for c in (0, 1)}
-        for batch in batches:
-            label, x = batch.column(1).to_numpy(), batch.column(0).flatten().to_numpy().reshape(-1, d)
-            for c in (0, 1):
-                own = x[label == c]
-                sums[c][0] += len(own)
-                sums[c][1] += own.sum(axis=0)
-                sums[c][2] += own.T @ own
-        for c, (n, s, p) in sums.items():
-            if n:
-                values = np.concatenate([[n], s, p.ravel()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), c), pa.int32()), pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], ["label", "cell", "value"])
-
-    total = rows.mapInArrow(gather, "label int, cell int, value double").groupBy("label", "cell").agg(F.sum("value").alias("value"))
-    flat: dict[int, np.ndarray] = {}
-    for r in total.collect():  # two classes by 1 + d + d * d cells
-        flat.setdefault(r["label"], np.zeros(1 + d + d * d))[r["cell"]] = r["value"]
-    return model_of({c: (int(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d)) for c, v in flat.items()}, shrinkage)
+    rows = docs.select(ids, F.col(f"`{text_col}`").alias("text")).mapInArrow(measure, "id long, x array<double>").join(marks, F.col("id") == F.col("marked"))
+    rows = materialise(rows.select("x", "label", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
+    first = _added(_totals(rows, np.zeros(d), False), set(range(FOLDS)))
+    n = sum(v[0] for v in first.values())
+    center = sum((v[1] for v in first.values()), np.zeros(d)) / max(n, 1)
+    totals = _totals(rows, center, True)
+    model = model_of(_added(totals, set(range(FOLDS))), choose_shrinkage(rows, totals, center) if shrinkage is None else shrinkage, center)
+    release(rows)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and ``score``, the probability of class 1 of each whole text."""
-    at, schema = docs.columns.index(text_col), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
+    """The columns of docs and ``score``, the probability of class 1 of each whole text."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"])
+    at, schema = docs.columns.index(text_col), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     names = [*docs.columns, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -280,6 +280,37 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == marks[r.doc_id] for r in rows]) > 0.97
 
 
+def test_quality_is_a_direct_density_s(spark):
+    """Scores from NumPy's own covariances and determinants of the statistics; shrinkage by a plain loop over folds."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    rows = docs.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS))).collect()
+    x = np.concatenate([quality.statistics(buf, off) for _, _, buf, off in slices(pa.array([r.text for r in rows]))])
+    known = np.array([r.doc_id in marks for r in rows])
+    y, fold = np.array([marks.get(r.doc_id, -1) for r in rows]), np.array([r.fold for r in rows])
+
+    def direct(train, at, shrinkage):
+        own = [train & (y == c) for c in (0, 1)]
+        cov = [np.cov(x[o].T, bias=True) for o in own]
+        pooled = sum(o.sum() * c for o, c in zip(own, cov)) / train.sum()
+        logs = []
+        for o, c in zip(own, cov):
+            m = (1 - shrinkage) * c + shrinkage * (pooled + np.diag(np.diag(pooled))) / 2 + 1e-4 * np.eye(len(c))
+            z = x[at] - x[o].mean(axis=0)
+            logs.append(np.log(o.sum() / train.sum()) - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(m), z) - 0.5 * np.linalg.slogdet(m)[1])
+        return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+
+    loss = {}
+    for s in quality.GRID:
+        p = np.concatenate([np.where(y[at] == 1, q, 1 - q) for f in range(quality.FOLDS) for at in [known & (fold == f)] for q in [np.clip(direct(known & (fold != f), at, s), 1e-12, 1 - 1e-12)]])
+        loss[s] = -np.log(p).sum()
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs.withColumn("score", F.lit("clash")), model).collect()}
+    want = direct(known, np.ones(len(rows), bool), max(s for s in loss if loss[s] <= min(loss.values()) + quality.TIE * known.sum()))
+    assert np.allclose([got[r.doc_id] for r in rows], want, atol=1e-6)
+
+
 def test_quality_edges(spark, odd_docs):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 1), (2, 5)], "doc_id long, quality int")
     model = quality.fit(odd_docs, labels)
