@@ -2,28 +2,100 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+_made: list[tuple[SparkSession, str]] = []
+_scopes: list[list[DataFrame]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one, which is then set."""
+    """The folder in spark.checkpoint.dir. Where that is unset, on one machine, a temporary one, which is then set; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that all of them see")
         found = f"file://{tempfile.mkdtemp(prefix='credal-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder; deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/credal-{tag}-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(_clear)
+    _made.append((spark, path))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _clear() -> None:
+    for spark, path in _made:
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            _delete(spark, path)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a table that ``materialise`` wrote and that nothing will read again."""
+    path = getattr(df, "_credal_path", None)
+    if path and any(x[1] == path for x in _made):
+        _delete(df.sparkSession, path)
+        _made[:] = [x for x in _made if x[1] != path]
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """The same rows, written as Parquet in the shared folder and read back: what follows neither repeats nor plans what came before.
+
+    Survives lost executors; readers read only the columns they need.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._credal_path = path
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+def tidy(tag: str) -> Callable:
+    """For functions that return a table: it is written, and what was materialised on the way is deleted."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(f)
+        def run(*args, **named) -> DataFrame:
+            _scopes.append([])
+            try:
+                out = materialise(f(*args, **named), tag)
+                _scopes[-1].pop()  # the result itself
+            finally:
+                for t in _scopes.pop():
+                    release(t)
+            if _scopes:
+                _scopes[-1].append(out)
+            return out
+
+        return run
+
+    return wrap
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a checkpoint: what follows neither repeats nor plans what came before."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The same rows with their lineage cut."""
+    return materialise(df, "cut")
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
