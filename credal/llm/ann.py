@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import columns_named, materialise
+from .runtime import columns_named, materialise, tidy
 
 CODE = "cls long, dim int, code binary, f double"
 #: The least number of bits of a code; the bytes of it that the first pass reads; up to which dimension rotations are matrices.
@@ -216,6 +216,7 @@ def _cosines(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("dim", F.size("v")).select(*names, "v", "w", "dim").mapInArrow(run, schema)
 
 
+@tidy("nearest")
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
             eps: float = 4.0, seed: int = 7, block_rows: int = 1 << 18, query_block_rows: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest vectors other than itself."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, release
+from .runtime import materialise, release, tidy
 
 
+@tidy("components")
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(id, component) for every id in the links (a, b): component is the smallest id that links lead to.
 
@@ -15,7 +16,17 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     Groups are never gathered: a round is joins with minimums, and a hot id's links are pre-aggregated and joined under
     skew handling. A link with a null end or to itself counts for nothing (an id linked only with itself is left out).
     """
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), tag)
+
+    def print_of(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+    # An id's links to smaller ones become one link to the smallest, which takes the others over: several leaders of one group meet at once.
+    given = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), tag)
+    lowest = given.groupBy("u").agg(F.min("v").alias("m"))
+    taken = given.join(lowest.withColumnRenamed("u", "id"), F.col("u") == F.col("id")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    now = materialise(lowest.select("u", F.col("m").alias("v")).union(taken.distinct()).distinct(), tag)
+    release(given)
+    seen = print_of(now)
     while True:
         # Large star: with m(u) = the smallest of u and its neighbours, each larger neighbour hangs on m(u).
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,9 +36,8 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = materialise(small, tag)
-        same = new.count() == now.count() and new.join(now, ["u", "v"], "left_anti").isEmpty()
         release(now)
-        now = new
-        if same:
+        now, before, seen = new, seen, print_of(new)
+        if before == seen:  # the number of links and two hashes over all of them
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER_CODE, binary_column, mix, owner, per_text, prefix_hash, ragged, slices, span_hash, words
-from .runtime import hash_counts, marked, materialise, release
+from .runtime import hash_counts, marked, materialise, release, share, tidy
 
 MARK_BITS, FIELDS, PARTS = 26, 4, 16
 #: The columns that ``dedup`` adds.
@@ -105,7 +105,7 @@ def _line_words(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
         for b in batches:
             yield b.column(0).to_numpy().view(np.uint64)
 
-    marks = docs.sparkSession.sparkContext.broadcast(hash_counts(leaves.select("leaf"), leaf_hashes, MARK_BITS, marks=True))
+    marks = share(docs.sparkSession, hash_counts(leaves.select("leaf"), leaf_hashes, MARK_BITS, marks=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,6 +338,7 @@ def _run_drops(by_doc: DataFrame, counts: DataFrame, long_words: int) -> DataFra
     return made.repartition(parts, "home", "other").sortWithinPartitions("home", "other", "uid", "place").mapInArrow(run, "uid long, numbers array<int>")
 
 
+@tidy("drops")
 def find_drops(docs: DataFrame, depth: int = 4, similarity: float = 0.8, repeated_words: int = 12, keep_first: bool = True) -> DataFrame:
     """uid, numbers, firsts: the numbers of each document's lines to drop, and of recurring ones it keeps. docs: uid, doc_id, text."""
     lines = materialise(_lines(docs, depth), "lines")
@@ -355,6 +356,7 @@ def find_drops(docs: DataFrame, depth: int = 4, similarity: float = 0.8, repeate
     named = lines.join(some, ["leaf", "line"]).select("uid", "doc_id", "number", "place", "n_words", "leaf", "template")
     by_doc = named.groupBy("leaf", "template", "uid").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list(F.struct("number", "place")).alias("at"))
     by_doc = materialise(by_doc, "occurrences")
+    release(lines)
     place = F.struct("doc_id", "uid")
     counts = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.first("n_words").alias("n_words"), F.min(place).alias("home"), F.max(place).alias("away"))
     recurs = counts.where((F.col("docs") - 1) * F.col("n_words") >= repeated_words).select("leaf", "template", F.col("home.uid").alias("home"))
@@ -365,8 +367,7 @@ def find_drops(docs: DataFrame, depth: int = 4, similarity: float = 0.8, repeate
     drops = drops.groupBy("uid").agg(F.array_sort(every(False)).alias("numbers"), every(True).alias("firsts"))
     # A line kept as a template's first may lie in a run that an earlier document has.
     drops = drops.withColumn("firsts", F.array_sort(F.array_except("firsts", "numbers")))
-    release(lines)
-    return materialise(drops, "drops")
+    return drops
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:

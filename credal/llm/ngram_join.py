@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER_CODE, binary_column, distinct_sorted, give_back, mix, owner, per_text, prefix_hash, ragged, shingles, slices, span_hash, words
 from .graph import components
-from .runtime import columns_named, hash_counts, marked, materialise, release
+from .runtime import columns_named, hash_counts, marked, materialise, release, share, tidy
 
 #: Texts (bytes, offsets) to their sets (ascending distinct 64-bit hashes, offsets).
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -166,7 +166,7 @@ def _index(docs: DataFrame, sets: Sets, percent: int) -> DataFrame:
                 yield sets(buf, off)[0]
 
     counts = hash_counts(docs, shingles_in, SKETCH_BITS)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 4 * 2 ** SKETCH_BITS bytes
+    shared = share(docs.sparkSession, counts)  # 4 * 2 ** SKETCH_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,7 +385,7 @@ def _sets_for(docs: DataFrame, pairs: DataFrame, classes: DataFrame, sets: Sets)
         for b in batches:
             yield _id_hash(b.column(0).to_numpy())
 
-    marks = docs.sparkSession.sparkContext.broadcast(hash_counts(wanted.select("rep"), ids_in, MARK_BITS, marks=True))
+    marks = share(docs.sparkSession, hash_counts(wanted.select("rep"), ids_in, MARK_BITS, marks=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -537,6 +537,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     return join_sets(docs, partial(sets_of, width=width), percent, id_col, text_col).withColumnRenamed("n", "n_shingles")
 
 
+@tidy("joined")
 def join_sets(docs: DataFrame, sets: Sets, percent: int, id_col: str = "doc_id", text_col: str = "text", by_length: bool = False) -> DataFrame:
     """doc_id, n (set size), component_id of every row; by_length deals the index lists by partitions of set sizes."""
     docs = columns_named(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -545,6 +546,9 @@ def join_sets(docs: DataFrame, sets: Sets, percent: int, id_col: str = "doc_id",
     grouped = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"), F.first("short").alias("short"))
     # Numbers that are written once and read back, so they stay.
     classes = materialise(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    slim = materialise(index.select("doc_id", "n", "s1", "s2"), "documents")
+    release(index)
+    some = slim.where("doc_id IS NOT NULL AND n > 0")
     # A set of fewer shingles than this links only with equal ones.
     alone = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
     lists = materialise(_lists(_postings(classes.where(F.col("n") >= alone).select("cls", "n", "prefix"), percent, by_length), percent), "lists")
@@ -558,13 +562,14 @@ def join_sets(docs: DataFrame, sets: Sets, percent: int, id_col: str = "doc_id",
     repeated = some.groupBy("doc_id").agg(*(F.min(c).alias(f"{c}_lo") for c in ("n", "s1", "s2")), *(F.max(c).alias(f"{c}_hi") for c in ("n", "s1", "s2"))).where("n_lo <> n_hi OR s1_lo <> s1_hi OR s2_lo <> s2_hi").select("doc_id")
     repeated = materialise(some.select("doc_id", "n", "s1", "s2").join(repeated, "doc_id", "left_semi").join(classes.select("n", "s1", "s2", "cls"), ["n", "s1", "s2"]).select("doc_id", "cls").distinct(), "repeated")
     edges = edges.union(repeated.join(repeated.groupBy("doc_id").agg(F.min("cls").alias("a")), "doc_id").select("a", F.col("cls").alias("b")))
-    comp = materialise(components(edges), "components")
+    comp = components(edges)
     followers = materialise(_followers(answers).join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "leaders")
     lead = followers.where("lead <> cls").select("cls", "lead")
     known = entries.withColumnRenamed("a", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = known.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     known = known.join(mixed, "token", "left_semi").join(lead, "cls", "left").withColumn("lead", F.coalesce("lead", F.lit(-1)))
     known = materialise(known.join(classes.select("cls", "short"), "cls").drop("part"), "entries")
+    release(lists)
     unordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _further_pairs(known, percent).distinct().join(unordered, ["a", "b"], "left_anti")
     more = materialise(_possible_pairs(more, classes, percent), "further")
@@ -573,13 +578,17 @@ def join_sets(docs: DataFrame, sets: Sets, percent: int, id_col: str = "doc_id",
         links = links.union(_verify(more, _sets_for(docs, more, classes, sets), percent).where("linked").select("a", "b"))
     links = materialise(links, "links")
     if not links.isEmpty():
-        comp = materialise(components(edges.union(links)), "components")
-    release(lists)
-    release(known)
+        # Only components meet now, not their classes.
+        of = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+        met = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        wider = components(met)
+        known = comp.union(wider.select("id", F.col("id").alias("component"))).distinct()
+        comp = known.join(wider.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left").select("id", F.coalesce("whole", "component").alias("component")).distinct()
+        comp = materialise(comp, "components")
     # The smallest document of each component; classes alone keep their own.
     least = comp.join(classes.select(F.col("cls").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
     in_some = comp.join(least, "component").select(F.col("id").alias("cls"), "component_id")
     found = classes.select("n", "s1", "s2", "rep", "cls").join(in_some, "cls", "left").select("n", "s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
     # Few columns: equal sets are joined back by their hashes.
-    every = index.select("doc_id", "n", "s1", "s2").join(found, ["n", "s1", "s2"], "left")
+    every = slim.join(found, ["n", "s1", "s2"], "left")
     return every.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

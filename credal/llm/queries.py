@@ -66,7 +66,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return neighbours.edited_fingerprints(table(spark, sf_dir, "documents"), percent=80)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,70 +1,18 @@
-"""Session helpers: the shared folder, cut lineage, bounded count sketches."""
+"""Session helpers: named columns and bounded count sketches. Tables are written and released by the library's lineage helpers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import materialise, new_path, release, share, tidy  # noqa: F401  (for this subpackage's modules)
 from .arrays import give_back
 
-_made: list[tuple[SparkSession, str]] = []
-SKETCH_PARTS = 16
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one, which is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='credal-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder; deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/credal-{tag}-{uuid.uuid4().hex[:12]}"
-    if not _made:
-        atexit.register(_clear)
-    _made.append((spark, path))
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _clear() -> None:
-    for spark, path in _made:
-        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-            continue
-        _delete(spark, path)
-
-
-def release(df: DataFrame) -> None:
-    """Deletes a table that ``materialise`` wrote and that nothing will read again."""
-    path = getattr(df, "_credal_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _made[:] = [x for x in _made if x[1] != path]
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back. Survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._credal_path = path
-    return out
+SKETCH_PARTS, MERGED = 16, 256
 
 
 def columns_named(df: DataFrame, *names: str) -> DataFrame:
@@ -75,14 +23,15 @@ def columns_named(df: DataFrame, *names: str) -> DataFrame:
 def hash_counts(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int, marks: bool = False) -> np.ndarray:
     """How often each value of 64-bit hashes, cut to their top ``bits`` bits, was emitted; marks: only whether, as packed bits.
 
-    Each task fills one table and sends it in SKETCH_PARTS pieces, which are merged piece by piece. The driver gets one table
-    of 4 * 2 ** bits bytes (2 ** bits / 8 for marks) whatever the input's size. Counts stop at 2 ** 32 - 1.
+    Each task fills one table and sends the SKETCH_PARTS pieces of it that it touched. Pieces are merged in two
+    levels, MERGED of them first, one at a time, so memory is bounded whatever their number. The driver gets one table of 4 * 2 ** bits
+    bytes (2 ** bits / 8 for marks) whatever the input's size. Counts stop at 2 ** 32 - 1.
     """
     size = (1 << bits) // SKETCH_PARTS
-    names, schema = ["part", "counts"], "part int, counts binary"
+    names, schema = ["part", "task", "counts"], "part int, task int, counts binary"
 
-    def rows(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([pa.compress(t.tobytes(), "zstd", asbytes=True) for _, t in parts], pa.binary())], names)
+    def piece(part: int, task: int, table: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([pa.compress(table.tobytes(), "zstd", asbytes=True)], pa.binary())], names)
 
     width = size // 8 if marks else size * 4
 
@@ -90,6 +39,8 @@ def hash_counts(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterat
         return np.frombuffer(pa.decompress(data, width, "zstd", asbytes=True), dtype=np.uint8 if marks else np.uint32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         table = np.zeros((1 << bits) // 8, np.uint8) if marks else np.zeros(1 << bits, np.uint32)
         found = False
         for h in emit(batches):
@@ -103,7 +54,9 @@ def hash_counts(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterat
         if found:
             for k in range(SKETCH_PARTS):
                 step = len(table) // SKETCH_PARTS
-                yield rows([(k, table[k * step : (k + 1) * step])])
+                own = table[k * step : (k + 1) * step]
+                if own.any():
+                    yield piece(k, TaskContext.get().partitionId(), own)
         give_back()
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +64,12 @@ def hash_counts(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterat
         for b in batches:
             for x in b.column("counts"):
                 total = total | table_of(x.as_py()) if marks else np.minimum(total + table_of(x.as_py()), 0xFFFFFFFF)
-        yield rows([(key[0].as_py(), total.astype(np.uint8 if marks else np.uint32))])
+        yield piece(key[0].as_py(), key[1].as_py(), total.astype(np.uint8 if marks else np.uint32))
 
-    parts = {r["part"]: table_of(r["counts"]) for r in df.mapInArrow(count, schema).groupBy("part").applyInArrow(merge, schema).collect()}
+    pieces = df.mapInArrow(count, schema)
+    for task in (F.floor(F.col("task") / MERGED).cast("int"), F.lit(0)):
+        pieces = pieces.withColumn("task", task).groupBy("part", "task").applyInArrow(merge, schema)
+    parts = {r["part"]: table_of(r["counts"]) for r in pieces.collect()}
     empty = np.zeros(width if marks else size, dtype=np.uint8 if marks else np.uint32)
     return np.concatenate([parts.get(k, empty) for k in range(SKETCH_PARTS)])
 

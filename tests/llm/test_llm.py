@@ -186,9 +186,9 @@ def test_ngram_join_answers_near_misses_from_their_leader(spark, percent, monkey
         w = [x if k % 7 else f"p{i // 2}x{k}" for k, x in enumerate(base)]
         rows.append((i, " ".join(w[: 220 - i % 2])))
     asked, own = [], ngram_join._derived_links
-    monkeypatch.setattr(ngram_join, "_derived_links", lambda *a: asked.append(own(*a)) or asked[0])
+    monkeypatch.setattr(ngram_join, "_derived_links", lambda *a: (lambda df: asked.append(df.count()) or df)(own(*a)))
     got = {tuple(r) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent).collect()}
-    assert got == _brute(rows, 1, percent) and asked[0].count() > 0
+    assert got == _brute(rows, 1, percent) and asked[0] > 0
 
 
 def test_ngram_join_with_repeated_ids(spark):
@@ -380,8 +380,8 @@ def test_mixing_meets_targets_below_the_natural_entropy():
 
 def test_fingerprints_of_edited_texts(spark, docs, odd_docs):
     rows = sorted([(r.doc_id, r.text or "") for r in docs.collect()], reverse=True)
-    got = {r.doc_id: r for r in neighbours.edited_fingerprints(docs).collect()}
-    assert len(got) == len(rows)
+    got = {r.doc_id: r for r in neighbours.edited_fingerprints(docs.withColumn("component", F.lit("clash")), percent=80).collect()}
+    assert len(got) == len(rows) and {i: r.component_id for i, r in got.items()} == {r.doc_id: r.component_id for r in spotsigs.link(docs, 80).collect()}
     prints = dict(zip([i for i, _ in rows], spotsigs.fingerprint_texts(pa.array([t for _, t in rows]))))
     for (i, t), (j, u) in zip(rows, rows[1:] + rows[:1]):
         k = len(t) // 3
@@ -389,7 +389,9 @@ def test_fingerprints_of_edited_texts(spark, docs, odd_docs):
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(t)
         a, b = set(prints[i].tolist()), set(prints[j].tolist())
         assert abs(r.near_next - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12 and set(spotsigs.values_of(r.fingerprint).tolist()) == a
-    assert len(neighbours.edited_fingerprints(odd_docs).collect()) == odd_docs.count()
+    odd = neighbours.edited_fingerprints(odd_docs, percent=80).collect()
+    assert len(odd) == odd_docs.count() and [r.component_id for r in odd if r.doc_id is None] == [None] and all(r.component_id is not None for r in odd if r.doc_id is not None)
+    assert "component_id" not in neighbours.edited_fingerprints(odd_docs).columns
     assert neighbours.edited_fingerprints(docs.limit(1)).count() == 1 and neighbours.edited_fingerprints(docs.where("false")).collect() == []
 
 
