@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _made: list[tuple[SparkSession, str]] = []
-_scopes: list[list[DataFrame]] = []
+#: What functions under ``tidy`` have materialised or shared so far.
+_scopes: list[list] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -71,8 +72,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def share(spark: SparkSession, value):
+    """A broadcast variable; under ``tidy`` it goes when the function's table is written."""
+    out = spark.sparkContext.broadcast(value)
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
 def tidy(tag: str) -> Callable:
-    """For functions that return a table: it is written, and what was materialised on the way is deleted."""
+    """For functions that return a table: it is written, and what was materialised or shared on the way is deleted."""
 
     def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         @wraps(f)
@@ -83,7 +92,7 @@ def tidy(tag: str) -> Callable:
                 _scopes[-1].pop()  # the result itself
             finally:
                 for t in _scopes.pop():
-                    release(t)
+                    release(t) if isinstance(t, DataFrame) else t.destroy()
             if _scopes:
                 _scopes[-1].append(out)
             return out
