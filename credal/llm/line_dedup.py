@@ -377,12 +377,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rul
     ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     uid = F.xxhash64(ident, F.coalesce(text, F.lit("")))
     drops = find_drops(docs.select(uid.alias("uid"), ident.alias("doc_id"), text.alias("text")), **rules)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), uid.alias("uid"))
+    # Lines travel in place of the text, so that the cut below finds each by its number without splitting again.
+    others = [c for c in names if c != text_col]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0)).alias("row"), uid.alias("uid"), F.split(text, "\n").alias("lines"))
     both = rows.join(drops.select("uid", "numbers", "firsts").hint("shuffle_hash"), "uid", "left")
-    text = F.col(f"row.`{text_col}`")
-    lines = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("numbers"))  # by hash, so linear
-    cut = F.when(F.size(F.coalesce("numbers", F.array().cast("array<int>"))) == 0, text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("numbers"))  # by hash, so linear
+    cut = F.when(F.size(F.coalesce("numbers", F.array().cast("array<int>"))) == 0, F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
     out = both.withColumn("cut", cut)
     none = F.array().cast("array<int>")
 
