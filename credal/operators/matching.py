@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from credal.functions import geometry as G
 from credal.functions import names as N
 from credal.functions import strings as S
+from credal.operators.lineage import cut, tidy
 
 
 def agrees(given: Column, main: Column, variants: Column | None = None) -> Column:
@@ -27,37 +29,64 @@ def signature(groups: list[list[Column]]) -> Column:
     return F.concat(*[F.when(F.coalesce(*g).isNotNull(), "T").otherwise("F") for g in groups])
 
 
+@tidy("candidates")
 def candidates(templates: DataFrame, records: DataFrame, columns: list[str], template_id: str, record_id: str, k: int = 20, cutoff: float = 0.0) -> DataFrame:
     """template_id, record_id, score, rank: the k records that share most of the rarest values, by inverse frequency, ties to the smaller id.
 
-    No list of a frequent value ever meets the templates. For each set of columns, records with the same values there keep
-    their k smallest ids (limited before the shuffle as well); a template looks up its own values for each set. That is exact: a
-    record beyond those k in the set on which it agrees has k records before it that agree on as much and have smaller ids. A
-    template meets at most k records a set, so columns are limited to 8 (255 sets). Null values agree with nothing. Scores under
-    ``cutoff`` are left out.
+    Ids are distinct on either side; null values, and those that no record has, agree with nothing. Scores under ``cutoff`` are left out.
+
+    No list of a frequent value ever meets the templates. A template looks up groups of records that agree with it on a set of columns,
+    beginning with one column; a group keeps its k smallest ids (limited before the shuffle as well), and sets grow, by later columns only,
+    where a group holds more than k. That is exact: a record is met in the first set on the way to the columns on which it agrees whose group
+    is no larger than k; without one, in the group of just those columns, and if it is not among the k there, k records agree on as much and
+    have smaller ids. Columns on which a whole group has the template's value (a genus's family) are not added one by one, and a set that
+    lacks an earlier one of them is left to the set that has it, so nested columns make no further sets: those looked at are at most the
+    different sets of columns on which records agree with the template. Whole groups are compared by 64-bit hashes of their values.
     """
-    if len(columns) > 8:
-        raise ValueError("at most 8 columns")
-    values = [F.lower(F.col(c).cast("string")).alias(f"v{j}") for j, c in enumerate(columns)]
-    r, t = records.select(F.col(record_id).alias("r"), *values), templates.select(F.col(template_id).alias("t"), *values)
-    post = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(j).alias("field"), F.col(f"v{j}").alias("value")) for j in range(len(columns))])).alias("p")).select("p.*").where("value IS NOT NULL")
-    n = records.agg(F.count("*").alias("n"))
-    idf = post(r).groupBy("field", "value").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("field", "value", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-
-    sets = [s for size in range(1, len(columns) + 1) for s in itertools.combinations(range(len(columns)), size)]
-    whole = F.struct(*[f"v{j}" for j in range(len(columns))])
-
-    def keyed(df: DataFrame, key: str) -> DataFrame:
-        one = lambda i, s: F.when(F.array_contains(F.array(*[F.col(f"v{j}").isNull() for j in s]), True), None).otherwise(F.struct(F.lit(i).alias("set"), F.array(*[F.col(f"v{j}") for j in s]).alias("at")))
-        return df.select(key, whole.alias(f"{key}_values"), F.explode(F.array(*[one(i, s) for i, s in enumerate(sets)])).alias("e")).where("e IS NOT NULL").select(key, f"{key}_values", "e.set", "e.at")
-
-    first = Window.partitionBy("set", "at").orderBy("r")
-    heads = keyed(r, "r").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
-    pairs = keyed(t, "t").join(heads, ["set", "at"]).select("t", "r", "t_values", "r_values").dropDuplicates(["t", "r"])
-    shared = F.filter(F.array(*[F.when(F.col(f"t_values.v{j}") == F.col(f"r_values.v{j}"), F.struct(F.lit(j).alias("field"), F.col(f"t_values.v{j}").alias("value"))) for j in range(len(columns))]), lambda x: x.isNotNull())
-    scored = pairs.select("t", "r", F.explode(shared).alias("p")).select("t", "r", "p.*").join(idf, ["field", "value"]).groupBy("t", "r").agg(F.sum("idf").alias("score"))
+    n, hashed = len(columns), lambda c: F.transform(c, lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
+    values = F.array(*[F.lower(F.col(c).cast("string")) for c in columns])
+    r = records.select(F.col(record_id).alias("r"), values.alias("rv"))
+    each = lambda df, *keep: df.select(*keep, F.posexplode("rv" if "rv" in df.columns else "tv").alias("field", "value")).where("value IS NOT NULL")
+    total = records.agg(F.count("*").alias("n"))
+    df_of = each(r).groupBy("field", "value").agg(F.count("*").alias("df"))
+    idf = df_of.crossJoin(F.broadcast(total)).select("field", "value", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    known = each(templates.select(F.col(template_id).alias("t"), values.alias("tv")), "t").join(idf, ["field", "value"])
+    place = lambda e: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.element_at(F.map_from_entries(F.collect_list(F.struct("field", e))), j))
+    t = cut(known.groupBy("t").agg(place("value").alias("tv"), place("idf").alias("tw")))
+
+    # A set of columns with its values: an array with null where a column is not in the set; core is the last column added.
+    at = lambda had, j, v: F.transform(had, lambda x, i: F.when(i == j, v).otherwise(x))
+    nothing = F.array_repeat(F.lit(None).cast("string"), n)
+    asked = cut(each(t, "t", "tv", "tw").select("t", "tv", "tw", F.col("field").alias("core"), at(nothing, F.col("field"), F.col("value")).alias("at"), F.array_repeat(F.lit(False), n).alias("held")))
+    own = each(r, "r", "rv").select("r", "rv", F.col("field").alias("core"), at(nothing, F.col("field"), F.col("value")).alias("at"))
+    met = []
+    for size in range(1, n + 1):
+        members = cut(own.join(asked.select("at").distinct(), "at", "left_semi"))
+        lows = [F.min(F.xxhash64(F.col("rv")[j])).alias(f"low{j}") for j in range(n)]
+        same = [((F.min(F.when(F.col("rv")[j].isNotNull(), F.xxhash64(F.col("rv")[j]))) == F.max(F.xxhash64(F.col("rv")[j]))) & (F.count(F.col("rv")[j]) == F.count("*"))).alias(f"same{j}") for j in range(n)]
+        counted = members.groupBy("at").agg(F.count("*").alias("size"), *lows, *same)
+        one = F.array(*[F.when(F.col(f"same{j}"), F.col(f"low{j}")) for j in range(n)])
+        groups = cut(counted.select("at", "size", F.when(F.col("size") > k, one).alias("whole")))
+        judged = asked.join(groups, "at").withColumn("now", F.when(F.col("whole").isNull(), F.col("held")).otherwise(F.zip_with("whole", hashed(F.col("tv")), lambda w, v: F.coalesce(w == v, F.lit(False)))))
+        earlier = F.slice(F.zip_with("now", "held", lambda a, b: a & ~b), F.lit(1), F.col("core"))
+        judged = cut(judged.where(~F.exists(earlier, lambda x: x)))
+        first = Window.partitionBy("at").orderBy("r")
+        heads = members.select("at", "r", "rv").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+        agreed = F.zip_with(F.zip_with("tv", "rv", lambda x, y: F.coalesce(x == y, F.lit(False))), "tw", lambda yes, w: F.when(yes, w).otherwise(0.0))
+        met.append(judged.select("t", "tv", "tw", "at").join(heads, "at").select("t", "r", F.aggregate(agreed, F.lit(0.0), lambda acc, x: acc + x).alias("score")))
+        if size == n:
+            break
+        further = judged.where("whole IS NOT NULL").select("t", "tv", "tw", "at", "now", F.col("core").alias("before"), F.posexplode("tv").alias("core", "value"))
+        further = further.where("core > before AND value IS NOT NULL AND NOT now[core]")
+        asked = cut(further.select("t", "tv", "tw", "core", F.col("at").alias("above"), at(F.col("at"), F.col("core"), F.col("value")).alias("at"), F.col("now").alias("held")))
+        if not asked.take(1):
+            break
+        grown = asked.groupBy("above").agg(F.collect_set("core").alias("cores"))
+        own = members.drop("core").join(grown, F.col("at") == F.col("above")).select("r", "rv", "at", F.explode("cores").alias("core")).where("rv[core] IS NOT NULL")
+        own = own.select("r", "rv", "core", at(F.col("at"), F.col("core"), F.col("rv")[F.col("core")]).alias("at"))
+    found = reduce(DataFrame.unionByName, met).groupBy("t", "r").agg(F.max("score").alias("score"))
     order = Window.partitionBy("t").orderBy(F.desc(F.round("score", 9)), "r")
-    return scored.where(F.col("score") >= cutoff).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("t").alias(template_id), F.col("r").alias(record_id), F.round("score", 6).alias("score"), "rank")
+    return found.where(F.col("score") >= cutoff).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("t").alias(template_id), F.col("r").alias(record_id), F.round("score", 6).alias("score"), "rank")
 
 
 def immediate(posterior: Column, conditional: Column) -> Column:

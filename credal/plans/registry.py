@@ -86,6 +86,26 @@ def candidate_top_k(spark: SparkSession, d: str) -> DataFrame:
     return matching.candidates(part.where("record % 20 = 0").withColumnRenamed("record", "template"), part, ["brand", "type", "size"], "template", "record")
 
 
+_WIDE = {
+    "shade": ("split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 1)"), "kind": ("split_part(p_name, ' ', 2)", "split_part(p_name, ' ', 2)"), "brand": ("p_brand", "p_brand"), "maker": ("left(p_brand, 7)", "left(p_brand, 7)"),
+    "type": ("p_type", "p_type"), "letter": ("left(p_type, 1)", "left(p_type, 1)"), "size": ("p_size", "p_size"), "decade": ("p_size div 10", "p_size // 10"),
+    "hundred": ("CAST(floor(p_retailprice / 100) AS INT)", "floor(p_retailprice / 100)::INT"), "thousand": ("CAST(floor(p_retailprice / 1000) AS INT)", "floor(p_retailprice / 1000)::INT"),
+    "odd": ("IF(p_size % 2 = 1, 'odd', NULL)", "CASE WHEN p_size % 2 = 1 THEN 'odd' END"), "all": ("'part'", "'part'"),
+}
+
+
+@_query(f"""WITH p AS (SELECT p_partkey AS k, unnest([{", ".join(f"['{c}', lower(({sql})::VARCHAR)]" for c, (_, sql) in _WIDE.items())}]) AS x FROM part),
+    i AS (SELECT x, ln(1 + ((SELECT count(*) FROM part) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p WHERE x[2] IS NOT NULL GROUP BY x),
+    t AS (SELECT * FROM p WHERE k % 20 = 0),
+    s AS (SELECT t.k AS template, p.k AS record, sum(idf) AS score FROM t JOIN i USING (x) JOIN p USING (x) GROUP BY 1, 2)
+    SELECT template, record, round(score, 6) AS score, rank::INTEGER AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY template ORDER BY round(score, 9) DESC, record) AS rank FROM s) WHERE rank <= 20""")
+def wide_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates over twelve columns, some of them nested and one the same throughout, for the stated query set (every twentieth part)."""
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("record"), *[F.expr(e).alias(c) for c, (e, _) in _WIDE.items()])
+    return matching.candidates(part.where("record % 20 = 0").withColumnRenamed("record", "template"), part, list(_WIDE), "template", "record")
+
+
 @_query("""WITH s AS (SELECT s_suppkey, s_nationkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
     w AS (SELECT s_nationkey AS nation, count(*)::DOUBLE AS weight FROM supplier GROUP BY 1)
     SELECT c_custkey AS customer, c_nationkey AS nation, round(weight / (SELECT sum(weight) FROM w), 6) AS probability, CASE WHEN weight IS NULL THEN 'none' ELSE 'single' END AS outcome

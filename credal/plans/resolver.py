@@ -29,23 +29,32 @@ class Model:
     def observed(self) -> list[str]:
         return [v for v in self.network.vertices if v != self.hypothesis]
 
+    def groups(self) -> dict[str, list[str]]:
+        """The vertices that come and go together, by the network's groups in order; a vertex without a group is one of its own."""
+        out: dict[str, list[str]] = {}
+        for v in self.network.ordered():
+            if v != self.hypothesis:
+                out.setdefault(self.network.groups.get(v, v), []).append(v)
+        return out
+
     def sub(self, signature: str) -> Network:
-        """The network without the vertices whose place (in the order of ``observed``) is F."""
-        whole = Network(self.network.id, self.network.vertices, self.network.edges, {v: v for v in self.observed()})
-        return whole.erase({v for v, bit in zip(self.observed(), signature) if bit == "F"})
+        """The network without the groups whose place (in the order of ``groups``) is F."""
+        whole = Network(self.network.id, self.network.vertices, self.network.edges, {v: g for g, held in self.groups().items() for v in held})
+        return whole.erase({g for g, bit in zip(self.groups(), signature) if bit == "F"})
 
 
 def build(model: Model, records: DataFrame) -> DataFrame:
     """The index: records with weight (null: 1), prior, signature and the parameters ``<vertex>|<parents>|<signs>`` that their signature needs.
 
-    records have distinct ids under the hypothesis's name. The signature marks the vertices that a record has; others are erased from its
-    network, and edges go on to what follows. Each distinct (vertex, parents) among the signatures that occur is one table of sums over
+    records have distinct ids under the hypothesis's name. The signature marks the groups of vertices of which a record has any; others are
+    erased from its network, and edges go on to what follows. A vertex without a value in a group that is there is certain whatever is above
+    it, and left out of the sums of what is below it. Each distinct (vertex, parents) among the signatures that occur is one table of sums over
     distinct values, joined once; so the number of joins follows the network. A supposed record is one: with it, its value is certain where
     all other parents agree; without it, its own weight is taken from the sums.
     """
     h, w = model.hypothesis, model.weight
     rows = records.withColumn(w, F.coalesce(F.col(w).cast("double"), F.lit(1.0)))
-    rows = rows.withColumn("signature", matching.signature([[F.col(v)] for v in model.observed()]))
+    rows = rows.withColumn("signature", matching.signature([[F.col(v) for v in held] for held in model.groups().values()]))
     total = rows.agg(F.sum(w).alias("_total"))
     out = cut(rows.crossJoin(F.broadcast(total)).withColumn("prior", parameters.clamp(F.col(w) / F.col("_total"))).drop("_total"))
     needed: dict[tuple[str, tuple[str, ...]], None] = {}
@@ -68,7 +77,7 @@ def build(model: Model, records: DataFrame) -> DataFrame:
             p = parameters.own_conditional(own, F.col(f"b_{name}"), F.col(f"g_{name}"))
             if at.get(h):
                 p = parameters.clamp(F.lit(1.0 if all(at[x] for x in others) else 0.0))
-            made[column(v, above, signs)] = F.when(F.col(v).isNotNull(), p)
+            made[column(v, above, signs)] = F.when(F.col(v).isNotNull(), p).otherwise(1.0)
         out = cut(joined.withColumns(made).select(*out.columns, *[f"`{c}`" for c in made]))
     return out
 
@@ -79,10 +88,10 @@ def column(v: str, above: tuple[str, ...], signs: tuple[bool, ...]) -> str:
 
 
 def signatures(index: DataFrame) -> list[str]:
-    """The signatures that occur: at most 2 to the number of vertices; more than 1,024 are an error."""
+    """The signatures that occur: at most 2 to the number of groups; more than 1,024 are an error."""
     found = [r.signature for r in index.select("signature").distinct().limit(1025).collect()]
     if len(found) > 1024:
-        raise ValueError("more than 1,024 signatures: use fewer vertices that may be absent")
+        raise ValueError("more than 1,024 signatures: put vertices into groups")
     return sorted(found)
 
 

@@ -64,3 +64,16 @@ def test_nothing_to_resolve(spark):
     t = spark.createDataFrame([("t1", "Acacia", None, None)], "tid string, genus string, epithet string, family string")
     assert resolver.resolve(MODEL, empty, t, "tid").collect() == []
     assert resolver.resolve(MODEL, resolver.build(MODEL, _records(spark)), t.limit(0), "tid").collect() == []
+
+
+def test_groups_of_vertices_share_a_place_in_the_signature(spark):
+    vertices = ["id", "genus", "epithet", *[f"p{k}" for k in range(8)]]
+    edges = [("id", "genus"), ("id", "epithet"), *[("genus", f"p{k}") for k in range(8)]]
+    model = resolver.Model(Network("wide", vertices, edges, {"genus": "name", "epithet": "name"} | {f"p{k}": "place" for k in range(8)}), "id")
+    assert list(model.groups()) == ["name", "place"] and model.sub("TF").vertices == ["id", "genus", "epithet"]
+    rows = [(f"r{k}", f"g{k % 5}", f"e{k}", *[f"v{(k % 5) * 10 + j}" if k % 4 else None for j in range(8)]) for k in range(40)]
+    records = spark.createDataFrame(rows, "id string, genus string, epithet string" + "".join(f", p{k} string" for k in range(8))).withColumn("weight", F.lit(1.0))
+    index = resolver.build(model, records.withColumn("p7", F.when(F.col("id") == "r1", None).otherwise(F.col("p7"))))
+    assert {r.id: r.signature for r in index.collect()} == {f"r{k}": "TT" if k % 4 else "TF" for k in range(40)}
+    got = {r.t: r.matched for r in resolver.resolve(model, index, records.withColumnRenamed("id", "t"), "t").collect()}
+    assert got == {f"r{k}": f"r{k}" for k in range(40)}

@@ -3,6 +3,7 @@
 import functools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +223,24 @@ def test_candidates_against_brute_force(spark):
         assert [i for _, i in sorted(scored)[:5]] == [r.id for r in sorted((r for r in got if r.t == t[0]), key=lambda r: r.rank)]
 
 
+def test_candidates_over_many_nested_columns(spark):
+    rng, rows = random.Random(3), []
+    for k in range(400):
+        family = rng.choice("ab")
+        genus = family + rng.choice("xyz")
+        rows.append((k, *[None if rng.random() < 0.05 else v for v in ("K", family, genus, genus + rng.choice("12"), *map(rng.choice, ("pq", "pqr", "st", "uv", "wW", "mn")))]))
+    columns, low = [f"c{j}" for j in range(10)], lambda r: [None if v is None else v.lower() for v in r[1:]]
+    counts = Counter((j, v) for r in rows for j, v in enumerate(low(r)))
+    idf = lambda j, v: math.log(1 + (400 - counts[j, v] + 0.5) / (counts[j, v] + 0.5))
+    df = spark.createDataFrame(rows, "id int" + "".join(f", {c} string" for c in columns))
+    templates = df.where("id < 20").withColumnRenamed("id", "t").unionByName(spark.createDataFrame([(99, *["none"] * 10)], df.withColumnRenamed("id", "t").schema))
+    got = matching.candidates(templates, df, columns, "t", "id", k=5).collect()
+    assert not any(r.t == 99 for r in got)
+    for t in rows[:20]:
+        scored = [(-round(sum(shared), 9), r[0]) for r in rows if (shared := [idf(j, a) for j, (a, b) in enumerate(zip(low(t), low(r))) if a is not None and a == b])]
+        assert [i for _, i in sorted(scored)[:5]] == [r.id for r in sorted((r for r in got if r.t == t[0]), key=lambda r: r["rank"])]
+
+
 def test_signed_conditionals_known_and_blank(spark):
     rows = spark.createDataFrame([("rufus", "Osphranter", 70.0), ("dealbata", "Acacia", 100.0), ("abbreviata", "Acacia", 20.0), ("dealbata", "Montitega", 30.0), ("atropurpurea", "Agathis", 10.0), (None, "Agathis", 20.0)], "e string, g string, w double")
     got = {(r.g, r.e): (r.p_t, r.p_f) for r in parameters.signed_conditionals(rows, "g", ["e"], "w").collect()}
