@@ -6,6 +6,7 @@ Every step is column expressions. ``analyse`` chains them over a DataFrame; each
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +24,22 @@ INVALID = (
     "Superorder", "Order", "Suborder", "Superfamily", "Family", "Subfamily", "Genus", "Genus sp.", "Subgenus", "Species", "Subspecies",
 )
 
-# Markers below species.
-LOW_MARKERS = "subsp|ssp|var|subvar|subf|f|cv|infrasp|convar"
-
-_ISSUES = "array<string>"
+# Markers of species and below.
+LOW_MARKERS = ("sp", "subsp", "ssp", "var", "subvar", "subf", "f", "cv", "infrasp", "convar")
+# Words for "compare" and "new".
+CONFER = ("cf", "cfr", "conf")
+NEW = ("nov", "nov.", "novum")
 
 
 def unquoted(c: Column) -> Column:
-    """Without the quotation marks around the whole text."""
-    return F.trim(F.regexp_replace(F.trim(c), r"""^(["'])(.*)\1$""", "$2"))
+    """Without the pairs of quotation marks around the whole text, however many; blanks between them go too."""
+    c = F.trim(c)
+    marks = lambda run: F.regexp_replace(F.regexp_extract(c, run, 1), r"\s", "")
+    ahead, behind = marks(r"""^(["'\s]*)"""), F.reverse(marks(r"""(["'\s]*)$"""))
+    least = F.least(F.length(ahead), F.length(behind))
+    pairs = F.size(F.filter(F.sequence(F.lit(0), least), lambda k: (k > 0) & (F.left(ahead, k) == F.left(behind, k))))
+    around = F.concat(F.lit(r"""^(?:\s*["']){"""), pairs, F.lit(r"""}|(?:["']\s*){"""), pairs, F.lit("}$"))
+    return F.when(pairs > 0, F.trim(F.regexp_replace(c, around, F.lit("")))).otherwise(c)
 
 
 def printable(c: Column, replacement: str = "") -> Column:
@@ -49,46 +57,76 @@ def alternating(c: Column) -> Column:
     return F.when(whole & (F.size(unique) > 0), last)
 
 
+def _bare(word: Column) -> Column:
+    return F.regexp_replace(word, r"\.$", "")
+
+
+def _letter(word: Column, first: Column) -> Column:
+    """What a word is, as one letter: s marker of a species or below, m other marker, a affinity, c confer, n new, N capital word, L capital letter,
+    D digits, C other word with a capital, e epithet, w other word, ( bracket, o anything else. The first word is no marker."""
+    bare = _bare(word)
+    table = [
+        (~first & bare.isin(*LOW_MARKERS), "s"), (~first & bare.isin(*MARKERS.split("|")), "m"), (~first & (bare == "aff"), "a"), (~first & bare.isin(*CONFER), "c"),
+        (word.isin(*NEW), "n"), (word.rlike("^[A-Z][a-z]+$"), "N"), (word.rlike("^[A-Z]$"), "L"), (word.rlike("^[0-9]+$"), "D"), (word.rlike("^[A-Z][A-Za-z0-9'-]*$"), "C"),
+        (word.rlike("^[a-z-]+$"), "e"), (word.rlike("^[A-Za-z0-9'-]+$"), "w"), (F.startswith(word, F.lit("(")), "("),
+    ]
+    return reduce(lambda other, x: F.when(x[0], x[1]).otherwise(other), reversed(table), F.lit("o"))
+
+
+def _letters(words: Column) -> Column:
+    """The letters of all words; a single word may be a marker."""
+    return F.array_join(F.transform(words, lambda w, i: _letter(w, (i == 0) & (F.size(words) > 1))), "")
+
+
+#: A name's kind by the letters of its words. New species, phrase names and what is like them keep their markers.
+_SHAPES = {"new species": "[sm]n", "phrase name": r"^Ne?[sm][NCL][NCLDew]*\(", "phrase-like name": "^NsN+$", "rank ending": "[sm]$", "code placeholder": "^N[sm][LD]", "rank marker": "[sm]."}
+
+
 def analyse(df: DataFrame, column: str, canonical: bool = True) -> DataFrame:
     """Adds name, rank, kind and issues for the text in ``column``; with ``canonical`` false issues are found and names stay.
 
-    kind: scientific, phrase, placeholder, informal or invalid; null texts and blank ones have a null name and no issue.
-    The order is fixed: quotes, unprintable characters, comments, indeterminate, affinity, confer, new species, phrase names, rank endings, rank
-    markers, invalid texts.
+    kind: scientific, phrase, placeholder, informal or invalid; null texts and blank ones have a null name and no issue. Comments and question
+    marks go first. Then each word is given a letter, and the letters of the whole name say what it is and which words stay, go or are
+    written in one form. Columns of any name are kept, but name, rank, kind and issues.
     """
     tidy = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
-    out = df.withColumns({"name": tidy(printable(unquoted(F.col(column)))), "rank": F.lit(None).cast("string"), "kind": F.lit("scientific"), "issues": F.array().cast(_ISSUES)})
-
-    def step(frame: DataFrame, issue: str, pattern: str, replacement: str | Column | None = None, kind: str | None = None, rank: Column | None = None, unless: Column | None = None) -> DataFrame:
-        hit = F.coalesce(F.col("name").rlike(pattern), F.lit(False))
-        hit = hit & ~unless if unless is not None else hit
-        frame = frame.withColumn("_hit", hit).withColumn("issues", F.when(F.col("_hit"), F.array_append("issues", F.lit(issue))).otherwise(F.col("issues")))
-        if rank is not None:
-            frame = frame.withColumn("rank", F.when(F.col("_hit"), F.coalesce(rank, F.col("rank"))).otherwise(F.col("rank")))
-        if kind:
-            frame = frame.withColumn("kind", F.when(F.col("_hit"), F.lit(kind)).otherwise(F.col("kind")))
-        if replacement is not None and canonical:
-            frame = frame.withColumn("name", F.when(F.col("_hit"), tidy(F.regexp_replace("name", F.lit(pattern), F.lit(replacement)))).otherwise(F.col("name")))
-        return frame.drop("_hit")
-
-    marker = rf"(?:^|\s)({MARKERS})\.?(?:\s|$)"
-    of = lambda p: rank_of(F.nullif(F.regexp_extract("name", p, 1), F.lit("")))
-    out = step(out, "comment", f"(?i)(?:{'|'.join(COMMENTS)})", " ")
-    out = step(out, "indeterminate", r"\?", " ", "informal")
-    out = step(out, "affinity", r"\s+aff\.?(?:\s+|$)", " aff. ", "informal")
-    out = step(out, "confer", r"\s+(?:cf|cfr|conf)\.?(?:\s+|$)", " cf. ", "informal")
-    out = step(out, "new species", rf"(?<=\s)({MARKERS})\.?\s+(?:nov\.?|novum)(?:\s+|$)", "$1. nov. ", None, of(marker))
-    novel = F.array_contains("issues", "new species")
-    phrase = rf"^[A-Z][a-z]+(?:\s+[a-z-]+)?\s+({MARKERS})\.?\s+[A-Z][A-Za-z0-9' -]*\s*\([^)]+\).*$"
-    out = step(out, "phrase name", phrase, None, "phrase", of(r"\s(" + MARKERS + r")\.?\s"), novel)
-    like = rf"^[A-Z][a-z]+\s+(sp|{LOW_MARKERS})\.?\s+(?:[A-Z][a-z]+(?:\s+|$))+$"
-    out = step(out, "phrase-like name", like, None, "placeholder", of(r"\s(" + MARKERS + r")\.?\s"))
-    settled = novel | F.col("kind").isin("phrase", "placeholder")
-    out = step(out, "rank ending", rf"(?:^|\s+)({MARKERS})\.?$", "", "informal", F.lit("unranked"), settled)
-    code = rf"^[A-Z][a-z]+\s({MARKERS})\.?\s(?:[A-Z]|\d+)(?:$|\s)"
-    out = step(out, "code placeholder", code, None, "placeholder", of(r"\s(" + MARKERS + r")\.?\s"), settled)
-    out = step(out, "rank marker", rf"\s+({MARKERS})\.?\s+", " ", None, of(r"\s(" + MARKERS + r")\.?\s"), settled | (F.col("kind") == "placeholder"))
-    return step(out, "invalid", rf"(?i)^(?:{'|'.join(INVALID)})$", None, "invalid")
+    kept = [c for c in df.columns if c not in ("name", "rank", "kind", "issues")]
+    comments = f"(?i)(?:{'|'.join(COMMENTS)})"
+    out = df.select(F.struct(*kept).alias("row"), tidy(printable(unquoted(F.col(column)))).alias("text")).withColumn("plain", tidy(F.regexp_replace("text", comments, " ")))
+    out = out.withColumn("plain", tidy(F.translate("plain", "?", " "))).withColumn("words", F.split("plain", " "))
+    # A bracket begins a word of its own where a name's shape is read.
+    out = out.withColumn("shape", F.coalesce(_letters(F.col("words")), F.lit(""))).withColumn("spaced", F.coalesce(_letters(F.split(tidy(F.replace("plain", F.lit("("), F.lit(" ("))), " ")), F.lit("")))
+    is_, text = lambda k: F.col("shape").rlike(_SHAPES[k]), F.coalesce(F.col("text"), F.lit(""))
+    novel = is_("new species")
+    phrase = ~novel & F.col("spaced").rlike(_SHAPES["phrase name"]) & F.col("plain").rlike(r"\([^)]+\)")
+    like = is_("phrase-like name") & ~phrase
+    open_ = ~(novel | phrase | like)
+    code = open_ & is_("code placeholder")
+    found = {
+        "comment": text.rlike(comments), "indeterminate": F.contains(text, F.lit("?")), "affinity": F.contains("shape", F.lit("a")), "confer": F.contains("shape", F.lit("c")), "new species": novel,
+        "phrase name": phrase, "phrase-like name": like, "rank ending": open_ & is_("rank ending"), "code placeholder": code, "rank marker": open_ & ~code & is_("rank marker"),
+    }
+    out = out.withColumn("found", F.struct(*[hit.alias(k) for k, hit in found.items()]))
+    hit = lambda k: F.col(f"found.`{k}`")
+
+    letter = lambda i: F.substring(F.col("shape"), i + 1, F.lit(1))
+
+    def written(word: Column, i: Column) -> Column:
+        marker, last = letter(i).isin("s", "m"), i == F.size("words") - 1
+        gone = marker & F.when(last, hit("rank ending")).otherwise(hit("rank marker"))
+        new = hit("new species") & marker & (letter(i + 1) == "n")
+        return F.when(gone, None).when(letter(i) == "a", "aff.").when(letter(i) == "c", "cf.").when(new, F.concat(_bare(word), F.lit("."))).when(hit("new species") & (letter(i) == "n") & (i > 0) & letter(i - 1).isin("s", "m"), "nov.").otherwise(word)
+
+    if canonical:
+        out = out.withColumn("text", F.nullif(F.array_join(F.transform("words", written), " "), F.lit("")))
+    place = F.regexp_instr(F.when(hit("new species"), F.regexp_replace("shape", "[sm](?!n)", "-")).otherwise(F.col("shape")), F.lit("[sm]"))
+    ranked = F.when(place > 0, rank_of(F.get("words", place - 1)))
+    by_marker = hit("new species") | hit("phrase name") | hit("phrase-like name") | hit("code placeholder") | hit("rank marker")
+    invalid = F.coalesce(F.col("text").rlike(rf"(?i)^(?:{'|'.join(INVALID)})$"), F.lit(False))
+    informal = hit("indeterminate") | hit("affinity") | hit("confer") | hit("rank ending")
+    kind = F.when(invalid, "invalid").when(hit("code placeholder") | hit("phrase-like name"), "placeholder").when(hit("phrase name"), "phrase").when(informal, "informal").otherwise("scientific")
+    issues = F.filter(F.array(*[F.when(hit(k), k) for k in found], F.when(invalid, "invalid")), lambda x: x.isNotNull())
+    return out.select("row.*", F.col("text").alias("name"), F.when(by_marker, ranked).when(hit("rank ending"), "unranked").alias("rank"), kind.alias("kind"), issues.alias("issues"))
 
 
 def parts(c: Column) -> Column:

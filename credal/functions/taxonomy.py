@@ -126,6 +126,10 @@ Protista ICZN Animalia,Viridiplantae,Plantae,Fungi,Chromista,Protozoa"""
 LEADING = {"AE": "E", "CN": "N", "CT": "T", "CZ": "C", "DJ": "J", "EA": "E", "EU": "U", "GN": "N", "KN": "N", "MC": "MAC", "MN": "N", "OE": "E", "QU": "Q", "PS": "S", "PT": "T", "TS": "S", "WR": "R", "X": "Z"}
 INNER = [("AE", "I"), ("IA", "A"), ("OE", "I"), ("OI", "A"), ("SC", "S"), ("E", "I"), ("O", "A"), ("U", "I"), ("Y", "I"), ("K", "C"), ("Z", "C"), ("H", "")]
 
+# Letters with accents by their plain letter; ways to write "in the strict sense" and "in the wide sense", without blanks.
+ACCENTED = {"A": "ÀÁÂÃÄÅ", "C": "Ç", "E": "ÈÉÊË", "I": "ÌÍÎÏ", "N": "Ñ", "O": "ÒÓÔÕÖØ", "U": "ÙÚÛÜ"}
+SENSES = ("S.S.", "S.STR", "S.STR.", "SENS.STR", "SENS.STR.", "SENSUSTRICTO", "S.L.", "S.LAT", "S.LAT.", "SENS.LAT", "SENS.LAT.", "SENSULATO")
+
 _RANKS = [line.split() for line in RANKS.splitlines()]
 MARKERS = "|".join(sorted({m for *_, m in _RANKS if m != "-"} | set(MORE_MARKERS), key=len, reverse=True))
 
@@ -268,18 +272,25 @@ def taxon_phonetic(name: Column, rank: Column | None = None, scientific: bool =
     Scientific names lose rank markers unless ``nov`` follows; other names keep them, and digits. Words after the first are
     epithets where the rank is null or at or below species.
     """
-    c = F.regexp_replace(F.upper(F.translate(name, "áàâäãåéèêëíìîïóòôöõøúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕØÚÙÛÜÑÇ", "aaaaaaeeeeiiiioooooouuuuncAAAAAAEEEEIIIIOOOOOOUUUUNC")), "Æ", "AE")
-    marked = rf"(?i)\s+({MARKERS})\.?\s+nov\.?"
-    steps = [
-        (r"(?i)&amp;", "&"), (r"<[^>]+>", ""), (marked + r"\s+['\"(]([A-Z\s]+)['\")](?=\s|$)", " $2"), (marked + r"(?=\s|$)", " $1 NOV"),
-        (r"(?i)\s+aff\.?(?=\s|$)", " AFF"), (r"(?i)\s+(cf|cfr|conf)\.?(?=\s|$)", " CF"),
-        (r"(?i)\s+(s\.\s*s(tr)?\.?|sens\.\s*str\.?|sensu\s*stricto|s\.\s*l(at)?\.?|sens\.\s*lat\.?|sensu\s*lato)(?=\s|$)", " "),
-    ]
-    if scientific:
-        steps.append((rf"(?i)\s+({MARKERS})\.?(?!\s+nov)(?=\s|$)", " "))
-    steps += [(r"\s+", " "), (r"[^A-Za-z .]" if scientific else r"[^A-Za-z0-9 .]", "")]
-    for pattern, value in steps:
-        c = F.regexp_replace(c, pattern, value)
+    bare = lambda w: F.regexp_replace(w, r"\.$", "")
+    marker = lambda w: bare(w).isin(*[m.upper() for m in MARKERS.split("|")])
+
+    def said(words: Column, w: Column, i: Column) -> Column:
+        """A word as it counts among the others; null if it does not."""
+        after, before = F.coalesce(F.get(words, i + 1), F.lit("")), F.coalesce(F.get(words, i - 1), F.lit(""))
+        cultivar = lambda k: F.array_join(F.slice(words, k + 1, F.size(words)), " ").rlike(r"""^('[A-Z ]+'|"[A-Z ]+"|\([A-Z ]+\))( |$)""")
+        sense = w.isin(*SENSES) | F.concat(w, after).isin(*SENSES) | ((i > 1) & F.concat(before, w).isin(*SENSES))
+        new, follows_marker = bare(w) == "NOV", (i > 1) & marker(before)
+        inner = F.when(sense, None).when(bare(w) == "AFF", "AFF").when(bare(w).isin("CF", "CFR", "CONF"), "CF")
+        inner = inner.when(new & follows_marker, F.when(~cultivar(i + 1), "NOV")).when(marker(w) & (bare(after) == "NOV"), F.when(~cultivar(i + 2), bare(w)))
+        if scientific:
+            inner = inner.when(marker(w) & ~F.startswith(after, F.lit("NOV")), None)
+        return F.when(i == 0, w).otherwise(inner.otherwise(w))
+
+    folded = F.replace(F.translate(F.upper(name), "".join(ACCENTED.values()), "".join(k * len(v) for k, v in ACCENTED.items())), F.lit("Æ"), F.lit("AE"))
+    plain = F.filter(F.split(F.regexp_replace(F.replace(folded, F.lit("&AMP;"), F.lit("")), r"<[^>]+>", ""), r"\s+"), lambda w: w != "")
+    # The array of words is bound once: inside a lambda an expression is computed anew for each word.
+    spoken = F.flatten(F.transform(F.array(plain), lambda words: F.transform(words, lambda w, i: F.regexp_replace(said(words, w, i), "[^A-Z .]" if scientific else "[^A-Z0-9 .]", ""))))
     low = F.lit(True) if rank is None else F.coalesce(rank_id(rank) >= 7000, F.lit(True))
 
     def sound(w: Column, k: Column) -> Column:
@@ -288,5 +299,5 @@ def taxon_phonetic(name: Column, rank: Column | None = None, scientific: bool =
         w = F.regexp_replace(F.concat(F.left(w, F.lit(1)), rest), r"(\w)\1+", "$1")
         return F.when(((k > 0) & low) | F.lit(epithet), F.regexp_replace(w, "(IS|IM|AS)$", "A")).otherwise(w)
 
-    words = F.filter(F.split(F.trim(F.upper(c)), " "), lambda w: w != "")
+    words = F.filter(spoken, lambda w: w != "")
     return F.nullif(F.array_join(F.transform(words, sound), " "), F.lit(""))

@@ -202,6 +202,21 @@ def test_polygons_against_brute_force(spark):
     assert one(spark, G.contains(G.rings(F.lit("POINT (1 1)")), F.lit(1.0), F.lit(1.0)).alias("c")).c is None
 
 
+def test_names_are_read_word_by_word(spark):
+    want = {
+        "\" 'Acacia dealbata' \"": ("Acacia dealbata", None, "scientific", []), "Acacia subsp. dealbata sp.": ("Acacia dealbata", "subspecies", "informal", ["rank ending", "rank marker"]),
+        "Acacia cf dealbata aff.": ("Acacia cf. dealbata aff.", None, "informal", ["affinity", "confer"]), "sp.": (None, "unranked", "informal", ["rank ending"]),
+        "Acacia sp. novum costata": ("Acacia sp. nov. costata", "species", "scientific", ["new species"]), "Acacia sp. Big Leaf": ("Acacia sp. Big Leaf", "species", "placeholder", ["phrase-like name"]),
+        "Acacia sp. Big Leaf(J. Smith 12) x": ("Acacia sp. Big Leaf(J. Smith 12) x", "species", "phrase", ["phrase name"]), "Acacia sect. Poelia": ("Acacia Poelia", "section", "scientific", ["rank marker"]),
+        "Acacia [sic] dealbata? hybrid": ("Acacia dealbata", None, "informal", ["comment", "indeterminate"]), "*": (None, None, "scientific", ["comment"]), '"': (None, None, "scientific", []),
+    }
+    df = spark.createDataFrame([(n, k, "kept") for k, n in enumerate(want)], "n string, row int, words string")
+    out = N.analyse(df, "n")
+    assert out.columns == ["n", "row", "words", "name", "rank", "kind", "issues"]
+    assert {r.n: (r["name"], r["rank"], r.kind, r.issues) for r in out.collect()} == want
+    assert N.analyse(df.limit(0), "n").collect() == []
+
+
 def test_candidates_against_brute_force(spark):
     rng = random.Random(11)
     records = [(k, rng.choice(["a", "A", "b", None]), rng.choice(["x", "y", "z", None]), rng.randint(0, 3)) for k in range(200)]
