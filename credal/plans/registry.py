@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from credal.functions import strings as S
-from credal.operators import hierarchy, matching, parameters
+from credal.operators import conditions, hierarchy, matching, parameters
+from credal.plans import matcher, resolver
 from credal.plans import taxa  # noqa: F401  (registers its queries)
 from credal.plans.base import PLACES as _PLACES, QUERIES as _QUERIES, SQL as _SQL, places as _places, query as _query, rounded as _r, table as _t
 from credal.plans.network import Network
+from credal.plans.resolver import Model
 from credal.sources import archive
 
 @_query(f"""WITH {_PLACES}, t AS (
@@ -106,16 +108,33 @@ def wide_candidates(spark: SparkSession, d: str) -> DataFrame:
     return matching.candidates(part.where("record % 20 = 0").withColumnRenamed("record", "template"), part, list(_WIDE), "template", "record")
 
 
-@_query("""WITH s AS (SELECT s_suppkey, s_nationkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-    w AS (SELECT s_nationkey AS nation, count(*)::DOUBLE AS weight FROM supplier GROUP BY 1)
-    SELECT c_custkey AS customer, c_nationkey AS nation, round(weight / (SELECT sum(weight) FROM w), 6) AS probability, CASE WHEN weight IS NULL THEN 'none' ELSE 'single' END AS outcome
-    FROM customer LEFT JOIN w ON c_nationkey = nation""")
+_NATIONS = Model(Network("nations", ["nation", "name", "region"], [("nation", "name"), ("nation", "region")]), "nation")
+
+
+@_query("""WITH w AS (SELECT n_nationkey AS nation, n_regionkey AS r, (count(s_suppkey) + 1)::DOUBLE AS w FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2),
+    p AS (SELECT *, w / sum(w) OVER (PARTITION BY r) AS alone FROM w)
+    SELECT c_custkey AS customer, c_nationkey AS matched, CASE WHEN c_custkey % 4 = 3 THEN 1 ELSE 0 END AS source, CASE WHEN c_custkey % 4 = 2 AND alone < 0.9 THEN 1 ELSE 0 END AS hint,
+        CASE WHEN c_custkey % 4 = 1 THEN 1 ELSE 0 END AS change, CASE c_custkey % 4 WHEN 1 THEN 'no region' WHEN 3 THEN 'spelling' ELSE '' END AS issues,
+        CASE WHEN c_custkey % 4 = 2 AND alone >= 0.9 AND alone < 0.99 THEN 'single' ELSE 'immediate' END AS outcome, CASE WHEN c_custkey % 4 = 2 AND alone >= 0.9 THEN round(alone, 6) ELSE 1.0 END::DOUBLE AS probability
+    FROM customer JOIN p ON c_nationkey = nation""")
 def match_customers(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's nation resolved against the nations that suppliers weigh, with the match's probability."""
-    s = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("_nation"), F.lit(1.0).alias("w"))
-    w = parameters.priors(s, "_nation", "w")
-    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation"))
-    return c.join(w, F.col("nation") == F.col("_nation"), "left").select("customer", "nation", _r("prior").alias("probability"), F.when(F.col("prior").isNull(), "none").otherwise("single").alias("outcome"))
+    """Each customer's nation, resolved stage by stage against the nations that suppliers weigh; what customers give is dealt out by key.
+
+    Of four customers one gives name and region, one a wrong region (which a change removes), one its region alone with a hint of the
+    name, and one a misspelt name alone (which a change of the template mends).
+    """
+    n, k = _t(spark, d, "nation"), F.col("c_custkey") % 4
+    s = _t(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    records = n.join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    records = records.select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region"), (F.coalesce("n", F.lit(0)) + 1).cast("double").alias("weight"))
+    c = _t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.when(k < 2, F.col("n_name")).when(k == 3, F.concat("n_name", F.lit("~")))
+    region = F.when(k == 1, "nowhere").when(k != 3, F.col("n_regionkey").cast("string"))
+    templates = c.select("c_custkey", name.alias("name"), region.alias("region"), F.when(k == 2, F.array("n_name")).alias("names"))
+    mend = conditions.Change("spelling", (("name", F.rtrim(F.col("name"), F.lit("~"))),), F.endswith("name", F.lit("~")), (), ("spelling",))
+    control = matcher.Control(_NATIONS, match_changes=((conditions.remove("region", ["region"], issue="no region"),),), hints={"name": "names"}, source_changes=((mend,),))
+    out = matcher.match(control, resolver.build(_NATIONS, records), templates, "c_custkey")
+    return out.select(F.col("c_custkey").alias("customer"), "matched", "stage.source", F.col("stage.hint").cast("int").alias("hint"), "stage.change", F.array_join("issues", ",").alias("issues"), "outcome", _r("posterior").alias("probability"))
 
 
 @_query("""SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(lower(p_name), '[[:punct:]]+', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM part""")

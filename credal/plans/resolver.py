@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credal.operators import matching, parameters
@@ -98,14 +99,33 @@ def signatures(index: DataFrame) -> list[str]:
 def score(model: Model, index: DataFrame, templates: DataFrame, template_id: str) -> DataFrame:
     """Candidates of each template with prior, evidence, conditional, posterior, fidelity, score and rank.
 
-    A template's value is compared in any case; null on either side leaves the vertex open. Candidates are checkpointed once, then each
-    signature's pairs run its network's program.
+    A template's value is compared in any case; null on either side leaves the vertex open.
+    """
+    return scored(model, index, paired(model, looked_up(model, index, templates, template_id), templates, template_id), template_id)
+
+
+def looked_up(model: Model, index: DataFrame, templates: DataFrame, template_id: str) -> DataFrame:
+    """Each template's candidates: template_id, the record's id, score, rank."""
+    return matching.candidates(templates, index.select(model.hypothesis, *model.observed()), model.observed(), template_id, model.hypothesis, model.candidates)
+
+
+def paired(model: Model, found: DataFrame, templates: DataFrame, template_id: str) -> DataFrame:
+    """Candidates with what their templates give, as given_<vertex>."""
+    given = templates.select(F.col(template_id).alias("_t"), *[F.col(v).alias(f"given_{v}") for v in model.observed()])
+    return found.join(given, F.col(template_id) == F.col("_t")).drop("_t")
+
+
+def scored(model: Model, index: DataFrame, pairs: DataFrame, key: str, valid: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """pairs (key, the record's id, given_<vertex>, perhaps score and rank) with the probabilities of their records, and the columns of the index to keep.
+
+    ``valid`` says of the given values and the record's columns which pairs are looked at. Pairs are written once, then those of each
+    signature run its network's program.
     """
     seen, h = model.observed(), model.hypothesis
-    found = matching.candidates(templates, index.select(h, *seen), seen, template_id, h, model.candidates)
-    given = templates.select(F.col(template_id).alias("_t"), *[F.col(v).alias(f"_given_{v}") for v in seen])
-    pairs = found.join(given, F.col(template_id) == F.col("_t")).drop("_t").join(index, h)
-    pairs = cut(pairs.withColumns({f"_seen_{v}": matching.agrees(F.col(f"_given_{v}").cast("string"), F.col(v).cast("string")) for v in seen}))
+    places = [x for x in ("score", "rank") if x in pairs.columns]
+    pairs = pairs.join(index, h)
+    pairs = pairs if valid is None else pairs.where(valid)
+    pairs = cut(pairs.withColumns({f"_seen_{v}": matching.agrees(F.col(f"given_{v}").cast("string"), F.col(v).cast("string")) for v in seen}))
     out = None
     for s in signatures(index):
         net = model.sub(s)
@@ -119,7 +139,7 @@ def score(model: Model, index: DataFrame, templates: DataFrame, template_id: str
     if out is None:
         out = pairs.withColumns({c: F.lit(0.0) for c in ("evidence", "conditional", "posterior")})
     like = matching.mean_likeness([F.when(F.col(f"_seen_{v}").isNotNull(), F.col(f"_seen_{v}").cast("double")) for v in seen])
-    return out.select(template_id, h, "prior", "evidence", "conditional", "posterior", like.alias("fidelity"), "score", "rank")
+    return out.select(key, h, *keep, "prior", "evidence", "conditional", "posterior", like.alias("fidelity"), *places)
 
 
 def resolve(model: Model, index: DataFrame, templates: DataFrame, template_id: str, changes: list[list[Change]] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credal.operators import conditions as C
-from credal.plans import resolver
+from credal.plans import matcher, resolver
 from credal.plans.network import Network
 
 NETS = {
@@ -77,3 +77,33 @@ def test_groups_of_vertices_share_a_place_in_the_signature(spark):
     assert {r.id: r.signature for r in index.collect()} == {f"r{k}": "TT" if k % 4 else "TF" for k in range(40)}
     got = {r.t: r.matched for r in resolver.resolve(model, index, records.withColumnRenamed("id", "t"), "t").collect()}
     assert got == {f"r{k}": f"r{k}" for k in range(40)}
+
+
+TAXA = resolver.Model(Network("taxa", ["id", "name", "family"], [("id", "name"), ("id", "family")]), "id", accepted="stands")
+
+
+def _taxa(spark):
+    rows = [
+        ("r1", "Acacia dealbata", "Fabaceae", "accepted", "species", "ICBN", None, 10.0), ("r2", "Racosperma dealbatum", "Fabaceae", "homotypicSynonym", "species", "ICBN", "r1", 1.0),
+        ("r3", "Agathis", "Araucariaceae", "accepted", "genus", "ICBN", None, 5.0), ("r4", "Agathis", "Braconidae", "accepted", "genus", "ICZN", None, 5.0),
+        ("r5", "Poa annua", "Poaceae", "accepted", "species", "ICBN", None, 10.0), ("r6", "Poa annua", "Poaceae", "synonym", "species", "ICBN", "r1", 1.0), ("r7", "Acacia falsa", "Fabaceae", "misapplied", "species", "ICBN", "r1", 1.0),
+    ]
+    return spark.createDataFrame(rows, "id string, name string, family string, status string, rank string, code string, stands string, weight double")
+
+
+def test_the_taxon_list_settles_staged_matches(spark):
+    index = resolver.build(TAXA, _taxa(spark))
+    fields = {x: x for x in ("name", "rank", "status", "code", "weight")}
+    drop = C.remove("family", ["family"], issue="removed family")
+    control = matcher.Control(TAXA, possible=matcher.possible_taxon(), match_changes=((drop,),), source_changes=((C.remove("name", ["name"], issue="removed name"),),), fields=fields, name="name")
+    rows = [("t1", "acacia dealbata", None), ("t2", "Agathis", None), ("t3", "Agathis", "Braconidae"), ("t4", "Poa annua", None), ("t5", "Acacia falsa", None), ("t6", "Acacia dealbata", "Poaceae"), ("t7", "Nothing", None), ("t8", None, None), ("t9", "Racosperma dealbatum", "Fabaceae")]
+    t = spark.createDataFrame(rows, "t string, name string, family string")
+    got = {r.t: r for r in matcher.match(control, index, t, "t").collect()}
+    assert {k: (r.matched, r.accepted, r.outcome, r.valid, r.issues) for k, r in got.items()} == {
+        "t1": ("r1", "r1", "rule 2", True, []), "t2": ("r3", "r3", "rule 3", False, ["unresolved homonym"]), "t3": ("r4", "r4", "rule 2", True, []), "t4": ("r5", "r5", "rule 6", True, ["accepted and synonym"]),
+        "t5": ("r7", "r1", "rule 2", True, ["misapplied"]), "t6": ("r1", "r1", "rule 2", True, ["removed family"]), "t9": ("r2", "r1", "rule 2", True, []),
+    }
+    assert got["t6"].stage == (0, 0, 1) and got["t1"].stage == (0, 0, 0) and math.isclose(got["t2"].posterior, 0.5, abs_tol=1e-6)
+    assert matcher.match(control, index, t.limit(0), "t").collect() == []
+    only = matcher.Control(TAXA, valid=C.presence_kept(F.col("signature"), 1, F.col("given_family"), F.lit(None).cast("string")), prepare=lambda df: df.withColumn("name", F.initcap("name")))
+    assert [(r.t, r.matched, r.outcome, r.issues) for r in matcher.match(only, index, t.where("t = 't3'").withColumn("issues", F.array(F.lit("given"))), "t").collect()] == [("t3", "r4", "immediate", ["given"])]
