@@ -169,3 +169,22 @@ def match(c: Control, index: DataFrame, templates: DataFrame, template_id: str)
     fields = ("matched", "outcome", "posterior", "valid", "issues", "stage")
     first = every.groupBy("case.template").agg(F.min_by(F.struct(*fields), F.struct(~F.col("valid"), "stage")).alias("m")).select("template", "m.*")
     return first.join(accepted, F.col("matched") == F.col("_id"), "left").select(F.col("template").alias(template_id), "matched", "accepted", "outcome", "posterior", "valid", "issues", "stage")
+
+
+def estimated(c: Control, index: DataFrame, templates: DataFrame, template_id: str, levels: list[tuple[str, str]], name: str, rank: str, wanted: str) -> DataFrame:
+    """Templates with estimated: what the accepted record of a template's higher names has in the index's column ``wanted``; null where the
+    template gives it itself or no level finds any.
+
+    levels: columns of the templates with the rank of their names, the most specific first. Each distinct (name, rank) is matched once.
+    """
+    key = lambda n, r: F.concat_ws("|", F.lit(r), F.lower(n))
+    open_ = templates.where(F.col(wanted).isNull()) if wanted in templates.columns else templates
+    keys = F.array(*[F.when(F.col(n).isNotNull(), F.struct(key(F.col(n), r).alias("asked"), F.lower(F.col(n)).alias("name"), F.lit(r).alias("rank"))) for n, r in levels])
+    asked = cut(open_.select(F.col(template_id).alias("_t"), F.posexplode(keys).alias("level", "k")).where("k IS NOT NULL").select("_t", "level", "k.*"))
+    once = asked.groupBy("asked").agg(F.first("name").alias("_name"), F.first("rank").alias("_rank"))
+    empty = [F.lit(None).cast(index.schema[v].dataType).alias(v) for v in c.model.observed() if v not in (name, rank)]
+    found = match(c, index, once.select("asked", F.col("_name").alias(name), F.col("_rank").alias(rank), *empty), "asked").where("valid")
+    of = index.select(F.col(c.model.hypothesis).alias("_id"), F.col(wanted).alias("_wanted")).where("_wanted IS NOT NULL")
+    values = found.select("asked", "accepted").join(of, F.col("accepted") == F.col("_id")).select("asked", "_wanted")
+    best = asked.join(values, "asked").groupBy("_t").agg(F.min_by("_wanted", "level").alias("estimated"))
+    return templates.join(best, F.col(template_id) == F.col("_t"), "left").drop("_t")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from credal.functions import strings as S
 from credal.operators import conditions, hierarchy, matching, parameters
 from credal.plans import matcher, resolver
-from credal.plans import taxa  # noqa: F401  (registers its queries)
+from credal.plans import building, taxa  # noqa: F401  (they register their queries)
 from credal.plans.base import PLACES as _PLACES, QUERIES as _QUERIES, SQL as _SQL, places as _places, query as _query, rounded as _r, table as _t
 from credal.plans.network import Network
 from credal.plans.resolver import Model

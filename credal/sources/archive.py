@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import time
 import xml.etree.ElementTree as ET
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credal.functions.taxonomy import common_name_order
+from credal.operators.lineage import new_path
+
 _NS = "{http://rs.tdwg.org/dwc/text/}"
 
 
@@ -45,28 +49,112 @@ def descriptor(xml: str, folder: str) -> tuple[FileOf, list[FileOf]]:
 
 
 def read_file(spark: SparkSession, f: FileOf) -> DataFrame:
-    """A file of an archive: _id and its columns (the first of those that repeat a name)."""
+    """A file of an archive: _id, _at (the row's place, which orders the rows as the file does) and its columns (the first of those that repeat a name)."""
     df = spark.read.csv(f.path, header=f.skip > 0, sep=f.sep, encoding=f.encoding, nullValue="", escape='"', enforceSchema=True)
-    df = df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    df = df.select("*", at.alias("_at")).toDF(*[f"_{k}" for k in range(len(df.columns))], "_at")
     names = {n: k for k, n in sorted(f.fields.items(), reverse=True)}
-    return df.select(F.col(f"_{f.id_at}").alias("_id"), *[F.col(f"_{k}").alias(n) for n, k in sorted(names.items(), key=lambda x: x[1])])
+    return df.select(F.col(f"_{f.id_at}").alias("_id"), "_at", *[F.col(f"_{k}").alias(n) for n, k in sorted(names.items(), key=lambda x: x[1])])
+
+
+#: Filters and orders of extension rows, by name; a source's configuration names them.
+FILTERS: dict[str, Callable[[], Column]] = {"current names": lambda: ~F.coalesce(F.lower("status") == "deprecated", F.lit(False))}
+ORDERS: dict[str, Callable[[], Column]] = {"file": lambda: F.col("_at"), "common names": lambda: -common_name_order(F.col("status"), F.lit(False))}
 
 
 def aggregate(values: str, how: str = "all", order: Column | None = None) -> Column:
-    """An extension column's values for a core row: all (distinct), first, max or min by order."""
+    """An extension column's values for a core row: all (distinct), the first in the file's order, max or min by order (the values' own without one)."""
     if how == "all":
         return F.array_sort(F.collect_set(values))
-    if how == "first":
-        return F.first(values, ignorenulls=True)
-    return (F.max_by if how == "max" else F.min_by)(values, order)
+    by = order if order is not None else F.col("_at" if how == "first" else values)
+    there = F.when(F.col(values).isNotNull(), by)
+    return (F.max_by if how == "max" else F.min_by)(values, there)
 
 
-def star(core: DataFrame, extension: DataFrame, columns: list[str], how: str = "all", order: Column | None = None) -> DataFrame:
+def star(core: DataFrame, extension: DataFrame, columns: list[str], how: str = "all", order: Column | None = None, where: Column | None = None) -> DataFrame:
     """Core rows with an extension's columns aggregated; rows that the core does not have are left out with their extensions."""
-    grouped = extension.groupBy("_id").agg(*[aggregate(c, how, order).alias(f"ext_{c}") for c in columns])
+    rows = extension if where is None else extension.where(where)
+    grouped = rows.groupBy("_id").agg(*[aggregate(c, how, order).alias(f"ext_{c}") for c in columns])
     return core.join(grouped, "_id", "left")
 
 
+def accessed(files: dict[str, DataFrame], core: str, kind: str, column: str, terms: list[str], classes: set[str] | None = None, link: bool = False, how: str = "all", order: Column | None = None, where: Column | None = None) -> DataFrame:
+    """The rows of one file with ``column``, the array of distinct values that an observable has there, by each term in order.
+
+    A term's values are the row's own (where the file's kind is among ``classes``; a link prefers the core), then the core row's (where
+    the file lacks the term, or for a link), then those of the other files of ``classes``, filtered and aggregated as ``star`` does. Rows
+    whose core row is missing are left out. files: by kind, with _id and _at.
+    """
+    classes, out = {kind} if classes is None else classes, files[kind]
+    out = out if kind == core else out.join(files[core].select("_id"), "_id", "left_semi")
+    parts: list[Column] = []
+    from_core = [t for t in terms if t in files[core].columns and (t not in files[kind].columns or link) and kind != core]
+    if from_core:
+        out = out.join(files[core].select("_id", *[F.col(t).alias(f"_core_{t}") for t in from_core]), "_id")
+    for t in terms:
+        own = t in files[kind].columns
+        if own and ((kind in classes and not link) or (link and kind == core)):
+            parts.append(F.array(t))
+        if t in from_core:
+            parts.append(F.array(f"_core_{t}"))
+        for n, other in enumerate(k for k in files if k not in (kind, core) and k in classes and t in files[k].columns):
+            rows = files[other] if where is None else files[other].where(where)
+            made = aggregate(t, how, order)
+            name = f"_{t}_{n}"
+            out = out.join(rows.groupBy("_id").agg((made if how == "all" else F.array(made)).alias(name)), "_id", "left")
+            parts.append(F.coalesce(F.col(name), F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    values = F.array_distinct(F.filter(F.concat(*parts), lambda x: x.isNotNull())) if parts else none
+    return out.withColumn("_values", values).select(*files[kind].columns, F.col("_values").alias(column))
+
+
+def unpacked(spark: SparkSession, location: str) -> str:
+    """The folder of an archive: the location itself, or for a packed one (zip or jar, in any file system that Spark reads, http too) a new
+    folder under the shared one. Entries are copied one after the other as streams; one that leaves the folder is an error."""
+    if not location.lower().split("?")[0].endswith((".zip", ".jar")):
+        return location.rstrip("/")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(location)
+    folder = new_path(spark, "archive")
+    target = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
+    packed = jvm.java.util.zip.ZipInputStream(path.getFileSystem(conf).open(path))
+    try:
+        while (entry := packed.getNextEntry()) is not None:
+            name = entry.getName()
+            if name.startswith("/") or ".." in name.split("/"):
+                raise ValueError(f"an entry leaves the archive: {name}")
+            if not entry.isDirectory():
+                out = target.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(packed, out, 65536, False)
+                finally:
+                    out.close()
+    finally:
+        packed.close()
+    return folder
+
+
+def read_archive(spark: SparkSession, location: str) -> tuple[str, dict[str, DataFrame]]:
+    """The core's kind and the files of an archive, by kind; several of one kind are an error."""
+    folder = unpacked(spark, location)
+    meta = spark.read.text(f"{folder}/meta.xml", wholetext=True).first().value
+    core, more = descriptor(meta, folder)
+    kinds = [f.kind for f in (core, *more)]
+    if len(set(kinds)) < len(kinds):
+        raise ValueError(f"several files of one kind: {kinds}")
+    return core.kind, {f.kind: read_file(spark, f) for f in (core, *more)}
+
+
+def source(spark: SparkSession, location: str) -> tuple[str, dict[str, DataFrame]]:
+    """A source by its location: a delimited file (.csv, one file of kind "record") or an archive (a folder, .zip or .jar)."""
+    end = location.lower().split("?")[0].rsplit("/", 1)[-1]
+    if end.endswith(".csv"):
+        return "record", {"record": read_csv(spark, location)}
+    if "." in end and not end.endswith((".zip", ".jar")):
+        raise ValueError(f"no source of this kind: {location}")
+    return read_archive(spark, location)
+
+
 def write_index(df: DataFrame, path: str) -> None:
     """Writes records; an index that is there already is kept under a name with the time."""
     spark = df.sparkSession
