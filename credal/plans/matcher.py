@@ -112,7 +112,7 @@ def _without(cases: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def match(c: Control, index: DataFrame, templates: DataFrame, template_id: str) -> DataFrame:
     """template_id, matched, accepted, outcome, posterior, valid, issues, stage: one row for each template that a stage settles.
 
-    Template ids are distinct and not null. stage says where: source (number of the change of the template, 0 for none), hint (number of the choice
+    Template ids are distinct; templates without one are left out. Templates that give the same in all their columns are matched once. stage says where: source (number of the change of the template, 0 for none), hint (number of the choice
     of hints, 0 for none) and change (number of the change, 0 for none). A match that is not valid (a homonym) counts only if no later stage
     gives a valid one; of several the first counts. Templates without any match are not returned; empty tables give no rows.
     """
@@ -137,9 +137,14 @@ def match(c: Control, index: DataFrame, templates: DataFrame, template_id: str)
         """The cases that are still open."""
         found, fine = settled(cases, candidates, source, 0)
         left = cut(_without(cases, found, "case"))
-        bad = cut(_without(left, fine, "case")) if c.match_changes else None
+        if not c.match_changes or left.isEmpty():
+            return left
+        bad = cut(_without(left, fine, "case"))
         for number, steps in enumerate(trials_of([list(x) for x in c.match_changes])[1:], 1):
-            found, _ = settled(cut(_tried(bad, steps)), candidates, source, number)
+            tried = cut(_tried(bad, steps))
+            if tried.isEmpty():
+                continue
+            found, _ = settled(tried, candidates, source, number)
             bad, left = cut(_without(bad, found, "case")), cut(_without(left, found, "case"))
         return left
 
@@ -149,26 +154,33 @@ def match(c: Control, index: DataFrame, templates: DataFrame, template_id: str)
         case = lambda n: F.struct("template", n.cast("long").alias("hint"))
         cases = rows.join(candidates.select("template").distinct(), "template", "left_semi").withColumn("case", case(F.lit(0)))
         left = find(cut(cases), candidates, source)
-        if c.hints:
+        if c.hints and not left.isEmpty():
             tried = hinted(left, "case", c.hints).where("trial > 0").withColumn("case", case(F.col("trial"))).drop("trial")
             find(cut(tried), candidates, source)
 
-    open_ = templates.withColumnRenamed(template_id, "template")
+    # Templates that give the same are matched once, under the digest of what they give.
+    given = [x for x in templates.columns if x != template_id]
+    keyed = cut(templates.where(F.col(template_id).isNotNull()).withColumn("template", F.sha2(F.to_json(F.struct(*given)), 256)))
+    open_ = keyed.groupBy("template").agg(F.any_value(F.struct(*given)).alias("given")).select("template", "given.*")
     open_ = cut(open_ if "issues" in open_.columns else open_.withColumn("issues", F.array().cast("array<string>")))
     for number, steps in enumerate(trials_of([list(x) for x in c.source_changes])):
-        search(_tried(open_, steps) if steps else open_, number)
+        rows = cut(_tried(open_, steps)) if steps else open_
+        if steps and rows.isEmpty():
+            continue
+        search(rows, number)
         done = parts[0].where("valid")
         for x in parts[1:]:
             done = done.unionByName(x.where("valid"))
         open_ = cut(_without(open_, done.select(F.col("case.template").alias("template")), "template"))
-        if number and open_.isEmpty():
+        if open_.isEmpty():
             break
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
     fields = ("matched", "outcome", "posterior", "valid", "issues", "stage")
     first = every.groupBy("case.template").agg(F.min_by(F.struct(*fields), F.struct(~F.col("valid"), "stage")).alias("m")).select("template", "m.*")
-    return first.join(accepted, F.col("matched") == F.col("_id"), "left").select(F.col("template").alias(template_id), "matched", "accepted", "outcome", "posterior", "valid", "issues", "stage")
+    out = keyed.select(template_id, F.col("template").alias("_key")).join(first, F.col("_key") == F.col("template"))
+    return out.join(accepted, F.col("matched") == F.col("_id"), "left").select(template_id, "matched", "accepted", "outcome", "posterior", "valid", "issues", "stage")
 
 
 def estimated(c: Control, index: DataFrame, templates: DataFrame, template_id: str, levels: list[tuple[str, str]], name: str, rank: str, wanted: str) -> DataFrame:
