@@ -10,12 +10,14 @@ sequence is one shingle; without words the set is empty and links with nothing.
    their pairs at once. In a longer one the class with the largest share of its prefix in such lists leads and is paired with all.
 3. Pairs that counts by hash bucket rule out are gone; the others are verified exactly, and the verified links make
    components. Of the leaders that a class is near to, the one most followed becomes its own, with the difference to it.
-4. Long lists of several components are read again, block against block. A pair of blocks is skipped when its sizes, its
-   positions, its components or its leaders leave nothing to find, a pair of classes when one of these or its bucket counts
-   do. Few are left to verify.
-5. Classes of one leader are answered from their differences to it: two sets differ by as much as their differences differ.
+4. Classes of one leader are answered from their differences to it: two sets differ by as much as their differences differ.
    A class that its leader does not link with has to share elements of its difference with any partner, so differences are
-   joined by prefixes of what recurs among them, rare first, through the same blocks.
+   joined by prefixes of what recurs among them, rare first, through lists and blocks as in step 5.
+5. Long lists of several components are read again. Where they hold many more pairs of different components than entries,
+   a few pairs an entry are drawn and verified first, in rounds, so a group of near copies that its leader does not link with
+   becomes one component without all its pairs. The rest is read block against block. A pair of blocks is skipped when its
+   sizes, its positions, its components or its leaders leave nothing to find, a pair of classes when one of these or its
+   bucket counts do. Few are left to verify.
 Only pairs that cannot link or whose ends are linked already are skipped, so components are exact; no list or group is
 expanded into all its pairs.
 
@@ -27,7 +29,7 @@ linked. Further columns, of whatever name, are ignored. An empty table gives an
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ from .runtime import columns_named, hash_counts, marked, materialise, release, s
 #: Texts (bytes, offsets) to their sets (ascending distinct 64-bit hashes, offsets).
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 SKETCH_BITS, MARK_BITS, BLOCK, CHUNK, SHORT_BITS = 21, 26, 256, 256, 6
+#: Pairs an entry above which pairs are drawn first; those drawn an entry and round; rounds in a row that may take away less than a quarter.
+MANY, NEXT, STALLS = 4, 4, 2
 
 
 def sets_of(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -349,6 +353,88 @@ def _pairs_of_blocks(entries: DataFrame, blocks: DataFrame, names: list[str], te
     return work.repartition(parts, "x", "y").sortWithinPartitions("x", "y", "block").mapInArrow(run, "a long, b long")
 
 
+def _pairs_left(entries: DataFrame, apart: list[str]) -> tuple[float, int]:
+    """At most so many pairs of the lists differ in all columns of ``apart``, and the number of entries."""
+    k = F.col("k").cast("double")
+    by = [entries.groupBy("token", c).agg(F.count("*").alias("k")).groupBy("token").agg(((F.sum(k) * F.sum(k) - F.sum(k * k)) / 2).alias("left"), F.sum("k").alias("n")) for c in apart]
+    lists = by[0]
+    for other in by[1:]:
+        lists = lists.unionByName(other)
+    left, n = lists.groupBy("token").agg(F.min("left").alias("left"), F.first("n").alias("n")).agg(F.sum("left"), F.sum("n")).first()
+    return left or 0.0, n or 0
+
+
+def _drawn(entries: DataFrame, apart: list[str], fits: str, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """The entries with the components that links of drawn pairs make, and these links (a, b), a table a round.
+
+    entries: token, cls, component and what ``fits`` needs, SQL over two entries x and y of a list. In a round an entry meets the NEXT ones
+    after it in its list, in an order drawn anew for each list and round, long lists in parts of about BLOCK drawn anew: so a
+    group of many links becomes one component in a few rounds of at most NEXT rows an entry. Rounds go on while many pairs that may fit
+    are left and a round takes away a quarter. Where they end decides how many pairs the blocks still have to look at, never what is found.
+    """
+    links: list[DataFrame] = []
+    before, stalled, given = None, 0, entries
+    while True:
+        left, n = _pairs_left(entries, apart)
+        stalled = stalled + 1 if before is not None and left > 0.75 * before else 0
+        if left <= MANY * n or stalled >= STALLS:
+            return entries, links
+        before, salt = left, F.lit(len(links))
+        size = entries.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "parts")
+        placed = entries.join(size, "token").withColumn("drawn", F.pmod(F.xxhash64("cls", salt), "parts")).withColumn("x", F.struct(*entries.columns))
+        order = _window(["token", "drawn"], F.xxhash64("cls", "token", salt), "cls")
+        others = F.array(*(F.lead("x", k).over(order) for k in range(1, NEXT + 1)))
+        met = placed.select("x", others.alias("ys")).withColumn("ys", F.expr("filter(ys, y -> y.component <> x.component)"))
+        met = materialise(met.select(F.col("x.cls").alias("a"), F.size("ys").alias("differ"), F.expr(f"transform(filter(ys, y -> {fits}), y -> y.cls)").alias("fit")), "drawn")
+        differ, fit = met.agg(F.sum("differ"), F.sum(F.size("fit"))).first()
+        if not fit or left * fit <= MANY * n * differ:  # as many of the others may be expected to fit
+            release(met)
+            return entries, links
+        pairs = met.select("a", F.explode("fit").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links.append(materialise(verify(pairs), "joins"))
+        release(met)
+        known = entries.select("cls", "component").distinct()
+        of = lambda side: known.select(F.col("cls").alias(side), F.col("component").alias(f"c{side}"))  # noqa: E731, B023
+        wider = components(links[-1].join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        moved = entries.join(wider.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left")
+        moved = materialise(moved.select(*(F.coalesce("whole", "component").alias(c) if c == "component" else F.col(c) for c in entries.columns)), "entries")
+        if entries is not given:
+            release(entries)
+        entries = moved
+
+
+def _wider(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (id, component) with further links (a, b) between its components and classes in none: only components meet, not their classes."""
+    if links.isEmpty():
+        return comp
+    of = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    met = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    wider = components(met)
+    known = comp.union(wider.select("id", F.col("id").alias("component"))).distinct()
+    found = known.join(wider.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left").select("id", F.coalesce("whole", "component").alias("component")).distinct()
+    return materialise(found, "components")
+
+
+def _leaders_apart() -> Column:
+    """A class's leader; without one, a value of its own."""
+    return F.when(F.col("lead") >= 0, F.col("lead")).otherwise(-1 - F.col("cls"))
+
+
+def _further_links(entries: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """a, b: links of different components and leaders in the long lists. entries as in ``_further_pairs``."""
+    fits = (
+        f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND (100 + {percent}) * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)"
+        " AND x.leader <> y.leader AND x.lead <> y.cls AND y.lead <> x.cls"
+    )
+    slim = entries.select("token", "block", "n", "pos", "cls", "component", "lead", _leaders_apart().alias("leader"))
+    slim, links = _drawn(slim, ["component", "leader"], fits, verify)
+    if links:
+        known = slim.select("cls", "component").distinct()
+        entries = entries.drop("component").join(known, "cls")
+    more = verify(_further_pairs(entries, percent).distinct())
+    return [*links, more]
+
+
 def _further_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components and leaders in the long lists. entries: token, n, pos, block, cls, component, lead, short."""
 
@@ -511,8 +597,6 @@ def _derived_links(followers: DataFrame, percent: int) -> DataFrame:
         return (c["component"][p] != c["component"][q]) & (2 * left >= c["d"][p] + c["d"][q] - slack(c["n"][p], c["n"][q], percent))
 
     rule = lambda x, y: f"2 * least({x}.left, {y}.left) >= {x}.d_lo + {y}.d_lo - (({x}.n_hi + {y}.n_hi) * {100 - percent}) div {100 + percent} - 1"
-    blocks = _block_pairs(entries, F.col("r") - F.col("pos"), ["n", "d"], ["component"], rule)
-    pairs = materialise(_pairs_of_blocks(entries, blocks, ["n", "d", "pos", "r", "component"], test).distinct(), "likely")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -522,11 +606,19 @@ def _derived_links(followers: DataFrame, percent: int) -> DataFrame:
             ok = np.diff(ox) // 8 + np.diff(oy) // 8 - 2 * same <= slack(b.column("na").to_numpy(), b.column("nb").to_numpy(), percent)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    of = lambda side: some.select("lead", F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("delta").alias(f"d{side}"))
-    return pairs.join(of("a"), "a").join(of("b"), ["lead", "b"]).select("a", "b", "na", "nb", "da", "db").mapInArrow(decide, "a long, b long")
+    def verify(pairs: DataFrame) -> DataFrame:
+        of = lambda side: some.select("lead", F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("delta").alias(f"d{side}"))
+        return pairs.join(of("a"), "a").join(of("b"), ["lead", "b"]).select("a", "b", "na", "nb", "da", "db").mapInArrow(decide, "a long, b long")
 
+    # Whole numbers: 2 * left >= d + d - slack.
+    fits = f"2 * least(x.r - x.pos, y.r - y.pos) >= x.d + y.d - (x.n + y.n) + 2 * (({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
+    entries, links = _drawn(entries, ["component"], fits, verify)
+    blocks = _block_pairs(entries, F.col("r") - F.col("pos"), ["n", "d"], ["component"], rule)
+    pairs = materialise(_pairs_of_blocks(entries, blocks, ["n", "d", "pos", "r", "component"], test).distinct(), "likely")
+    return reduce(DataFrame.union, [*links, verify(pairs)])
 
-def _window(key: str, *order: str):
+
+def _window(key: str | list[str], *order: str | Column):
     from pyspark.sql.window import Window
 
     return Window.partitionBy(key).orderBy(*order)
@@ -564,6 +656,7 @@ def join_sets(docs: DataFrame, sets: Sets, percent: int, id_col: str = "doc_id",
     edges = edges.union(repeated.join(repeated.groupBy("doc_id").agg(F.min("cls").alias("a")), "doc_id").select("a", F.col("cls").alias("b")))
     comp = components(edges)
     followers = materialise(_followers(answers).join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "leaders")
+    comp = _wider(comp, materialise(_derived_links(followers, percent), "derived"))
     lead = followers.where("lead <> cls").select("cls", "lead")
     known = entries.withColumnRenamed("a", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = known.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
@@ -571,20 +664,14 @@ def join_sets(docs: DataFrame, sets: Sets, percent: int, id_col: str = "doc_id",
     known = materialise(known.join(classes.select("cls", "short"), "cls").drop("part"), "entries")
     release(lists)
     unordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _further_pairs(known, percent).distinct().join(unordered, ["a", "b"], "left_anti")
-    more = materialise(_possible_pairs(more, classes, percent), "further")
-    links = materialise(_derived_links(followers, percent), "derived")
-    if not more.isEmpty():
-        links = links.union(_verify(more, _sets_for(docs, more, classes, sets), percent).where("linked").select("a", "b"))
-    links = materialise(links, "links")
-    if not links.isEmpty():
-        # Only components meet now, not their classes.
-        of = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
-        met = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        wider = components(met)
-        known = comp.union(wider.select("id", F.col("id").alias("component"))).distinct()
-        comp = known.join(wider.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left").select("id", F.coalesce("whole", "component").alias("component")).distinct()
-        comp = materialise(comp, "components")
+
+    def verified(found: DataFrame) -> DataFrame:
+        new = materialise(_possible_pairs(found.join(unordered, ["a", "b"], "left_anti"), classes, percent), "further")
+        if new.isEmpty():
+            return new
+        return materialise(_verify(new, _sets_for(docs, new, classes, sets), percent).where("linked").select("a", "b"), "links")
+
+    comp = _wider(comp, reduce(DataFrame.union, _further_links(known, percent, verified)))
     # The smallest document of each component; classes alone keep their own.
     least = comp.join(classes.select(F.col("cls").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
     in_some = comp.join(least, "component").select(F.col("id").alias("cls"), "component_id")

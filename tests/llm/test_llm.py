@@ -191,6 +191,24 @@ def test_ngram_join_answers_near_misses_from_their_leader(spark, percent, monkey
     assert got == _brute(rows, 1, percent) and asked[0] > 0
 
 
+def test_copies_that_their_leader_misses_make_few_links(spark):
+    """Classes of one leader that it does not link with, two groups of near copies: not all of their pairs are made, and no group is split."""
+    rnd = random.Random(7)
+    rows = [(10**6, 10**6, 200, 200, True, b"", 10**6)]
+    for i in range(1200):
+        own = [1 + 1000 * (i % 2) + k for k in range(12)]
+        for k in rnd.sample(range(12), 2):
+            own[k] = 10**5 + 100 * i + k
+        rows.append((10**6, i, 200, 200, False, np.array(sorted(own), dtype=np.uint64).tobytes(), i))
+    followers = spark.createDataFrame(rows, "lead long, cls long, n long, nl long, linked boolean, delta binary, component long")
+    links = {(r.a, r.b) for r in ngram_join._derived_links(followers, 80).collect()}
+    sets = {r[1]: set(np.frombuffer(r[5], np.uint64).tolist()) for r in rows[1:]}
+    assert all(len(sets[a] ^ sets[b]) <= ngram_join.slack(200, 200, 80) for a, b in links)
+    got = {r.id: r.component for r in components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    assert got == {i: i % 2 for i in range(1200)}
+    assert len(links) < 120000  # of 359,400
+
+
 def test_ngram_join_with_repeated_ids(spark):
     text = lambda k: " ".join(f"t{k}x{j}" for j in range(30))
     rows = [(i, text(2 * i + j)) for i in range(40) for j in (0, 1)] + [(100 + k, text(k) + " more") for k in range(80)] + [(5, text(10)), (7, ""), (300, "")]
