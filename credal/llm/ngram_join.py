@@ -45,6 +45,8 @@ Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 SKETCH_BITS, MARK_BITS, BLOCK, CHUNK, SHORT_BITS = 21, 26, 256, 256, 6
 #: Pairs an entry above which pairs are drawn first; those drawn an entry and round; rounds in a row that may take away less than a quarter.
 MANY, NEXT, STALLS = 4, 4, 2
+#: Up to so many ids travel themselves (8 bytes each), more as marks of 2 ** MARK_BITS bits.
+FEW = 1 << 20
 
 
 def sets_of(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +190,9 @@ def _index(docs: DataFrame, sets: Sets, percent: int) -> DataFrame:
                     ["doc_id", "n", "s1", "s2", "prefix", "sig", "short"],
                 )
 
-    return materialise(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary, sig binary, short binary"), "sets")
+    made = materialise(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary, sig binary, short binary"), "sets")
+    release(shared)  # else a copy of it stays on each executor's disk
+    return made
 
 
 def prefix_size(n, percent: int):
@@ -355,12 +359,12 @@ def _pairs_of_blocks(entries: DataFrame, blocks: DataFrame, names: list[str], te
 
 def _pairs_left(entries: DataFrame, apart: list[str]) -> tuple[float, int]:
     """At most so many pairs of the lists differ in all columns of ``apart``, and the number of entries."""
-    k = F.col("k").cast("double")
-    by = [entries.groupBy("token", c).agg(F.count("*").alias("k")).groupBy("token").agg(((F.sum(k) * F.sum(k) - F.sum(k * k)) / 2).alias("left"), F.sum("k").alias("n")) for c in apart]
-    lists = by[0]
-    for other in by[1:]:
-        lists = lists.unionByName(other)
-    left, n = lists.groupBy("token").agg(F.min("left").alias("left"), F.first("n").alias("n")).agg(F.sum("left"), F.sum("n")).first()
+    values = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).cast("long").alias("value")) for i, c in enumerate(apart)))).alias("x")
+    counts = entries.select("token", values).groupBy("token", "x.kind", "x.value").agg(F.count("*").cast("double").alias("k"))
+    n = [F.sum(F.when(F.col("kind") == i, F.col("k"))) for i in range(len(apart))]
+    left = [(n[i] * n[i] - F.sum(F.when(F.col("kind") == i, F.col("k") * F.col("k")))) / 2 for i in range(len(apart))]
+    lists = counts.groupBy("token").agg((F.least(*left) if len(left) > 1 else left[0]).alias("left"), n[0].alias("n"))
+    left, n = lists.agg(F.sum("left"), F.sum("n").cast("long")).first()
     return left or 0.0, n or 0
 
 
@@ -471,18 +475,23 @@ def _sets_for(docs: DataFrame, pairs: DataFrame, classes: DataFrame, sets: Sets)
         for b in batches:
             yield _id_hash(b.column(0).to_numpy())
 
-    marks = share(docs.sparkSession, hash_counts(wanted.select("rep"), ids_in, MARK_BITS, marks=True))
+    few = wanted.count() <= FEW
+    known = share(docs.sparkSession, np.unique(wanted.select("rep").toArrow().column(0).to_numpy()) if few else hash_counts(wanted.select("rep"), ids_in, MARK_BITS, marks=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(marked(marks.value, _id_hash(b.column(0).fill_null(0).to_numpy()), MARK_BITS)))
+            ids = b.column(0).fill_null(0).to_numpy()
+            b = b.filter(pa.array(_common(ids, known.value) if few else marked(known.value, _id_hash(ids), MARK_BITS), pa.bool_()))
             for lo, hi, buf, off in slices(b.column(1)):
                 v, cuts = sets(buf, off)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(cuts)), *map(pa.array, set_hashes(v, cuts)), binary_column(v, cuts)], ["rep", "n", "s1", "s2", "set"])
 
     made = docs.where("doc_id IS NOT NULL").mapInArrow(run, "rep long, n long, s1 long, s2 long, set binary")
     found = made.join(wanted, ["rep", "n", "s1", "s2"]).groupBy("cls").agg(F.first("set").alias("set"))
-    return materialise(found, "pairsets")
+    out = materialise(found, "pairsets")
+    release(known)
+    release(wanted)
+    return out
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:

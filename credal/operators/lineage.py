@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 _made: list[tuple[SparkSession, str]] = []
 #: What functions under ``tidy`` have materialised or shared so far.
 _scopes: list[list] = []
+#: Spark's setting that deletes a query's shuffle files when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,8 +52,13 @@ def _clear() -> None:
             _delete(spark, path)
 
 
-def release(df: DataFrame) -> None:
-    """Deletes a table that ``materialise`` wrote and that nothing will read again."""
+def release(df) -> None:
+    """Deletes a table that ``materialise`` wrote, or a broadcast variable of ``share``, that nothing will read again."""
+    if not isinstance(df, DataFrame):
+        df.destroy()
+        for scope in _scopes:
+            scope[:] = [x for x in scope if x is not df]
+        return
     path = getattr(df, "_credal_path", None)
     if path and any(x[1] == path for x in _made):
         _delete(df.sparkSession, path)
@@ -61,10 +68,16 @@ def release(df: DataFrame) -> None:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """The same rows, written as Parquet in the shared folder and read back: what follows neither repeats nor plans what came before.
 
-    Survives lost executors; readers read only the columns they need.
+    Survives lost executors; readers read only the columns they need. The shuffle files of the write go with it (from Spark 4.1 on;
+    before, when the driver happens to collect its garbage).
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._credal_path = path
     if _scopes:
@@ -92,7 +105,7 @@ def tidy(tag: str) -> Callable:
                 _scopes[-1].pop()  # the result itself
             finally:
                 for t in _scopes.pop():
-                    release(t) if isinstance(t, DataFrame) else t.destroy()
+                    release(t)
             if _scopes:
                 _scopes[-1].append(out)
             return out

@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+import time
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from credal.llm import ann, chat, line_dedup, mixing, neighbours, ngram_join, packing, quality, queries, spotsigs, token_counts, token_io
+from credal.llm import ann, chat, graph, line_dedup, mixing, neighbours, ngram_join, packing, quality, queries, spotsigs, token_counts, token_io
 from credal.llm.arrays import slices
 from credal.llm.graph import components
 from credal.llm.tokens import Encoder
@@ -234,6 +236,90 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 31)} | {i: 50 for i in [*range(50, 60), 100]} | {200: 200, 201: 200}
 
 
+def test_components_of_few_links_take_few_tasks_and_equal_the_rounds(spark, monkeypatch):
+    rnd = random.Random(3)
+    path = rnd.sample(range(2000, 2200), 200)
+    links = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(500)] + list(zip(path, path[1:])) + [(5000 - k, 6000) for k in range(100)] * 2
+    edges = spark.createDataFrame(links, "a long, b long").coalesce(2)
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    want = {x: top(x) for x in list(root)}
+    assert {r.id: r.component for r in components(edges.where("false")).collect()} == {}
+    sc, held = spark.sparkContext, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "50"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few links", "")
+        got = [tuple(r) for r in components(edges).collect()]
+        status = sc.statusTracker()
+        tasks = sum(status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("few links") for s in status.getJobInfo(j).stageIds if status.getStageInfo(s))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(want) and dict(got) == want
+    assert 0 < tasks < 50  # rounds of shuffles: over 1,000
+    monkeypatch.setattr(graph, "WHOLE", 0)
+    assert {r.id: r.component for r in components(edges).collect()} == want
+
+
+def test_pairs_left_count_each_list_by_the_column_that_leaves_fewest(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(12), rnd.randrange(5), rnd.choice([-1, -2, rnd.randrange(10**12)])) for _ in range(700)]
+    entries = spark.createDataFrame(rows, "token long, component long, leader long")
+
+    def left(token, c):
+        own = [r[c] for r in rows if r[0] == token]
+        return sum(x != y for i, x in enumerate(own) for y in own[:i])
+
+    for names, columns in ((["component", "leader"], (1, 2)), (["leader"], (2,))):
+        assert ngram_join._pairs_left(entries, names) == (sum(min(left(t, c) for c in columns) for t in range(12)), 700)
+    assert ngram_join._pairs_left(entries.where("false"), ["component"]) == (0, 0)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_wanted_sets_are_found_by_ids_and_by_marks_and_broadcasts_go(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    made = []
+    monkeypatch.setattr(ngram_join, "share", lambda session, value: made.append(session.sparkContext.broadcast(value)) or made[-1])
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} d") for i in range(-20, 300)] + [(None, "a1 b1 c1 d")], "doc_id long, text string")
+    sets = partial(ngram_join.sets_of, width=1)
+    index = ngram_join._index(docs, sets, 80).where("doc_id IS NOT NULL")
+    classes = index.select("n", "s1", "s2", F.col("doc_id").alias("rep"), (F.col("doc_id") + 1000).alias("cls"))
+    got = {r.cls: len(r.set) for r in ngram_join._sets_for(docs, spark.createDataFrame([(980, 1007), (1007, 1299)], "a long, b long"), classes, sets).collect()}
+    assert got == {980: 32, 1007: 32, 1299: 32}
+    assert len(made) == 2 and not any(b._jbroadcast.isValid() for b in made)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    from credal.operators.lineage import materialise
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.length())) if n.startswith("shuffle_")}
+
+    before = files()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    out = materialise(df, "test")
+    for _ in range(100):  # they are deleted in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and {(r.k, r["count"]) for r in out.collect()} == {(k, 142 + (k < 6)) for k in range(7)}
+
+
 def test_packing(spark, odd_docs):
     rows = packing.pack(packing.token_pieces(odd_docs, tok("word_bpe_49k.json"), window=64, keep_ids=True), 64).collect()
     want = sorted(zlib.crc32(np.array(reference("word_bpe_49k.json", t or "") + [1], dtype="<u4").tobytes()) for t in [*ODD, None, "no id here", "a", "other text"])
